@@ -7,17 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, sharding, warc
+from corvane.llm import codec, lattice, packing, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -32,7 +40,7 @@ def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_rank_array_bpe, op6_feistel_shards, op9_seekable_warc)
+    f.__name__: f for f in (op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
