@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, packing, sharding, warc
+from corvane.llm import codec, lattice, ordermin, packing, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_read(spark, sf_dir, "pages"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc)
+    f.__name__: f for f in (op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc, op10_order_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
