@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, ordermin, packing, sharding, warc
+from corvane.llm import codec, lattice, ordermin, packing, perplexity, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(_read(spark, sf_dir, "documents"))
+
+
 def op2_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,7 +48,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc, op10_order_minhash)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc, op10_order_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
