@@ -244,8 +244,8 @@ def log_likelihood(docs: DataFrame, model: DataFrame, block_rows: int = 4_000_00
 
 def judge(
     docs: DataFrame,
-    below: float = 8.0,
-    above: float = 8.0,
+    below: float = 6.0,
+    above: float = 4.0,
     least_spread: float = 0.02,
     block_rows: int = 4_000_000,
     id_col: str = "doc_id",
