@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, ordermin, packing, perplexity, sharding, warc
+from corvane.llm import codec, lattice, ordermin, packing, perplexity, quality, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_read(spark, sf_dir, "pages"))
 
@@ -48,7 +56,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op9_seekable_warc, op10_order_minhash)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
