@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, ordermin, packing, perplexity, quality, sharding, toxicity, warc
+from corvane.llm import codec, lattice, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
