@@ -1,10 +1,73 @@
-"""A corpus pipeline of five stages; filled in as its operators are done."""
+"""A corpus pipeline: quality, perplexity, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+stage's result as Parquet in the shared scratch folder and rereads it as the next
+one's documents. All but the last return the columns of documents.
+
+Rows that repeat an id are one document: the near-duplicate stage keeps one of
+them. Null texts count as empty, fail the quality rules and go. Rows with a null
+id pass the stages that join by id only where noted. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import ordermin, packing, perplexity, quality, scratch, suffixdedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention model scores 0.3 or more; a null id is scored alike."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.filtered(docs, labels).select(COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in their language's perplexity band."""
+    verdict = perplexity.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each class; rows with a null id go."""
+    kept = ordermin.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; documents of which nothing is left go."""
+    cut = suffixdedup.clean(docs).select(F.col("doc_id").alias("cut_id"), "kept_text")
+    out = docs.drop("text").join(cut, F.col("doc_id") == F.col("cut_id")).where("kept_text <> ''")
+    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 4096 tokens."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", suffix_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The classifier and the language model are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, from the table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return docs
