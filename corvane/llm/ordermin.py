@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import scratch
 from corvane.llm.components import components, forest
-from corvane.llm.textscan import BYTE_HASH, LOWER, U64, chunks, mix, owner, powers, prefix_hash, runs, span_hash
+from corvane.llm.textscan import BYTE_HASH, LOWER, U64, chunks, mix, powers, prefix_hash, ragged, runs, span_hash
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[65:91] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
@@ -131,13 +131,17 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tails)
 
 
+def least_common(n: int, m: int, threshold: float) -> int:
+    """How many of n and m k-mers a pair at the threshold aligns at least."""
+    return int(np.ceil(round(threshold / (1 + threshold) * (n + m), 9)))
+
+
 def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """aligned / (all - aligned) >= threshold."""
-    n = len(a) + len(b)
-    need = int(np.ceil(round(threshold / (1 + threshold) * n, 9)))
+    need = least_common(len(a), len(b), threshold)
     if min(len(a), len(b)) < need:
         return False
-    return aligned(a, b, n - 2 * need) >= need
+    return aligned(a, b, len(a) + len(b) - 2 * need) >= need
 
 
 class Bucket:
@@ -159,22 +163,66 @@ class Bucket:
                 x = root[x]
             return x
 
-        size = [len(s) for s in seqs]
-        some = [frozenset(s[s < 2**28].tolist()) for s in seqs]  # a sixteenth of the k-mers, by value
-        low = 0
+        sets: dict[int, frozenset[int]] = {}
+
+        def members(x: int) -> frozenset[int]:
+            if x not in sets:
+                sets[x] = frozenset(seqs[x].tolist())
+            return sets[x]
+
+        def join(x: int, y: int) -> bool:
+            if ids[x] != ids[y]:
+                need = least_common(len(seqs[x]), len(seqs[y]), self.threshold)
+                # No alignment has more than all that is common.
+                if min(len(seqs[x]), len(seqs[y])) < need or len(members(x) & members(y)) < need or not linked(seqs[x], seqs[y], self.threshold):
+                    return False
+            root[find(y)] = find(x)
+            self.a.append(ids[x])
+            self.b.append(ids[y])
+            return True
+
+        size = np.array([len(s) for s in seqs])
+        likely = self._likely(seqs, size) if n > 16 else None
+        low = parts = 0  # parts: classes among the members so far
         for y in range(n):
             while size[low] < self.threshold * size[y]:
                 low += 1
-            for x in range(y - 1, low - 1, -1):
-                if cross and side[x] == side[y] or find(x) == find(y):
-                    continue
-                total = len(some[x]) + len(some[y])
-                if total >= 48 and 3 * len(some[x] & some[y]) < total:
-                    continue  # an estimate under a half, many deviations below the threshold
-                if ids[x] == ids[y] or linked(seqs[x], seqs[y], self.threshold):
-                    root[find(y)] = find(x)
-                    self.a.append(ids[x])
-                    self.b.append(ids[y])
+            parts += 1
+            if y and low < y and not (cross and side[y - 1] == side[y]) and join(y - 1, y):
+                parts -= 1
+            if parts == 1:
+                continue
+            found = np.arange(low, y)[::-1] if likely is None else likely(low, y)
+            for x in found.tolist():
+                if not (cross and side[x] == side[y]) and find(x) != find(y) and join(x, y):
+                    parts -= 1
+
+    def _likely(self, seqs: list[np.ndarray], size: np.ndarray):
+        """Earlier members that share enough of a sample of k-mers, about 32 a text and the same values in all."""
+        top = np.uint32(min(2**32 - 1, int(2**32 * 32 / max(32, float(np.median(size))))))
+        picked = [s[s <= top] for s in seqs]
+        k = np.array([len(p) for p in picked])
+        off = np.concatenate([[0], np.cumsum(k)])
+        value, own = np.concatenate(picked), np.repeat(np.arange(len(seqs)), k)
+        order = np.argsort(value, kind="stable")
+        v = value[order]
+        new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+        group = np.empty(len(v), np.int64)
+        group[order] = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, len(v)))
+        holder = own[order]
+
+        def likely(low: int, y: int) -> np.ndarray:
+            g = group[off[y] : off[y + 1]]
+            c = np.bincount(holder[ragged(start[g], count[g])], minlength=len(seqs))[low:y]
+            every = np.maximum(1, k[low:y] + k[y] - c)
+            # Five deviations under the threshold of an estimate from so many; a text of few is always likely.
+            near = (c >= (self.threshold - 5 * np.sqrt(0.16 / every)) * every) | (every < 8)
+            x = np.flatnonzero(near)
+            return low + x[np.argsort(-c[x], kind="stable")]
+
+        return likely
 
     def take(self) -> pa.RecordBatch:
         a, b = np.array(self.a, np.int64), np.array(self.b, np.int64)
