@@ -20,11 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.labelled import Adam, platt, remainder, sample, sigmoid
 from corvane.llm.ordermin import FOLDED
 from corvane.llm.textscan import U64, chunks, mix, powers, prefix_hash, repeats, span_hash, words
-from corvane.llm.toxicity import _joined
 
 PASSAGE = 64
 BAG = 16
@@ -148,7 +148,9 @@ def train(pdf: pd.DataFrame) -> Attention:
     if not len(y) or y.min() == y.max():
         net.at["c"][:] = 0
         return net
-    x, bounds = passages(*_joined(pdf["text"].tolist()))
+    read = [passages(buf, off) for _, _, buf, off in chunks(pa.array(pdf["text"].tolist(), pa.string()))]  # some MB at a time
+    x = np.concatenate([f for f, _ in read])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in read]))])
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = bounds[rows + 1] - bounds[rows]
@@ -168,12 +170,27 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int =
 
     top_passage: the place of the passage with the largest attention weight.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, label, by, out, most)))  # some kB
+    held = F.coalesce(remainder(F.col("doc_id"), by) == out, F.lit(False))
+    given = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"))
+    return _scored(given, sample(docs, labels, label, by, out, most), cut)
+
+
+def filtered(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, out: int = 0, most: int = 6000, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``cut``; in one scan, without a join."""
+    columns = F.struct(*docs.columns).alias("row")
+    given = docs.select(F.col("text").cast("string").alias("text"), columns)
+    return _scored(given, sample(docs, labels, label, by, out, most), cut).where("predicted = 1").select("row.*")
+
+
+def _scored(given: DataFrame, few: pd.DataFrame, cut: float) -> DataFrame:
+    """``given`` without its first column, a text, and what the model says of it."""
+    model = given.sparkSession.sparkContext.broadcast(train(few))  # some kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for b in batches:
-            for i, j, buf, off in chunks(b.column(1)):
+            names = b.schema.names[1:]
+            for i, j, buf, off in chunks(b.column(0)):
                 x, bounds = passages(buf, off)
                 s, a = net.score(x, bounds)
                 top = np.maximum.reduceat(a, bounds[:-1])
@@ -181,9 +198,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int =
                 row = np.searchsorted(bounds, first, "right") - 1
                 place = np.zeros(j - i, np.int64)
                 place[row] = first - bounds[row]
-                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(np.diff(bounds)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "n_passages", "top_passage"])
-
-    held = F.coalesce(remainder(F.col("doc_id"), by) == out, F.lit(False))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    return given.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_passage long")
+                cols = [b.column(k).slice(i, j - i) for k in range(1, b.num_columns)]
+                cols += [pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(np.diff(bounds)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted", "n_passages", "top_passage"])
+
+    fields = T.StructType(given.schema.fields[1:])
+    for name, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_passages", T.LongType()), ("top_passage", T.LongType())):
+        fields = fields.add(name, kind)
+    return given.mapInArrow(run, fields)
