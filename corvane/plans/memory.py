@@ -1 +1,111 @@
-"""Queries."""
+"""Memory-log queries: events as records, documents as contents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corvane.operators import memory as mm
+from corvane.plans.fixtures import read
+from corvane.plans.registry import query
+
+_REC = """r AS (SELECT doc_id AS id, text AS content, round((doc_id * 29 % 100) / 100.0, 2)::DOUBLE AS similarity, (doc_id % 11) / 10.0::DOUBLE AS confidence, lang AS kind,
+    ['t' || (doc_id % 3), 'u' || (doc_id % 5)] AS tags, doc_id % 13 = 0 AS deleted, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 365)::INTEGER AS observed FROM documents)"""
+
+
+def _records(spark, sf_dir):
+    d = F.col("doc_id")
+    tag = lambda p, n: F.concat(F.lit(p), (d % n).cast("string"))
+    observed = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (d % 365) * 86400)
+    return read(spark, sf_dir, "documents").select(
+        d.alias("id"), F.col("text").alias("content"), F.round((d * 29 % 100) / F.lit(100.0), 2).alias("similarity"), ((d % 11) / F.lit(10.0)).alias("confidence"), F.col("lang").alias("kind"),
+        F.array(tag("t", 3), tag("u", 5)).alias("tags"), (d % 13 == 0).alias("deleted"), observed.alias("observed"),
+    )
+
+
+@query(
+    f"""WITH {_REC} SELECT id, round(similarity * least(1, greatest(0.01, confidence)), 6) AS score FROM r
+    WHERE NOT deleted AND confidence >= 0.5 AND similarity >= 0.72 AND kind = 'en' AND list_has_any(tags, ['t1', 't2']) AND NOT list_has_any(tags, ['u0']) ORDER BY score DESC, id LIMIT 20"""
+)
+def f28_recall(spark, sf_dir):
+    return mm.recall(_records(spark, sf_dir), kind="en", tags=["t1", "t2"], exclude_tags=["u0"], k=20).select("id", "score")
+
+
+@query(f"WITH {_REC} SELECT id, confidence FROM r WHERE NOT deleted AND list_contains(tags, 't1')")
+def m1_m4_m7_live_tagged(spark, sf_dir):
+    return _records(spark, sf_dir).where(~F.col("deleted") & F.array_contains("tags", "t1")).select("id", "confidence")
+
+
+_SETS = """s AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-zA-Z0-9_]+'), lambda x: x <> ''))) AS w FROM {src}),
+one AS (SELECT w, min(id) AS id FROM s GROUP BY w),
+x AS (SELECT id, w, unnest(w) AS t FROM one),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(len(a.w)) AS n, any_value(len(b.w)) AS m FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id)"""
+_BENCH = "src AS (SELECT item_id AS id, text AS content FROM benchmark UNION ALL SELECT item_id + 100000, text || ' extra' FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT item_id + 200000, text FROM benchmark WHERE item_id % 5 = 0)"
+
+
+def _bench(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    more = b.where("id % 3 = 0").select((F.col("id") + 100000).alias("id"), F.concat("content", F.lit(" extra")).alias("content"))
+    same = b.where("id % 5 = 0").select((F.col("id") + 200000).alias("id"), "content")
+    return b.unionByName(more).unionByName(same)
+
+
+@query(
+    f"""WITH {_BENCH}, {_SETS.format(src="src")} SELECT a, b, round(c / (n + m - c), 6) AS similarity FROM p WHERE c / (n + m - c) > 0.85
+    UNION ALL SELECT one.id, s.id, 1.0 FROM s JOIN one ON s.w = one.w WHERE s.id <> one.id"""
+)
+def j10_lexical_pairs(spark, sf_dir):
+    return mm.similar_pairs(_bench(spark, sf_dir), 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH {_REC}, b AS (SELECT *, 0.4 + (id % 4) / 10.0 AS conf FROM r), {_SETS.format(src="(SELECT id, content FROM r WHERE id < 0)")}
+    SELECT issue, count(*) AS n FROM (SELECT 'low-confidence' AS issue FROM r WHERE confidence < 0.5 UNION ALL SELECT 'stale' FROM r WHERE observed < TIMESTAMP '2024-10-01' - INTERVAL 60 DAY) GROUP BY issue"""
+)
+def m6_lint_counts(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    now = F.lit("2024-10-01 00:00:00").cast("timestamp")
+    return mm.lint(r, now).where("issue <> 'near-duplicate'").groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_BENCH}, {_SETS.format(src="src")}, g AS (SELECT one.id AS rep, s.id FROM s JOIN one ON s.w = one.w),
+    near AS (SELECT a, b FROM p WHERE c / (n + m - c) >= 0.85), hit AS (
+        SELECT id FROM g WHERE id >= 100000 AND (rep < 100000 OR rep IN (SELECT b FROM near WHERE a < 100000)))
+    SELECT id FROM src WHERE id >= 100000 AND id NOT IN (SELECT id FROM hit)"""
+)
+def j16_m13_capture_dedup(spark, sf_dir):
+    b = _bench(spark, sf_dir)
+    return mm.new_candidates(b.where("id >= 100000"), b.where("id < 100000")).select("id")
+
+
+@query(
+    """WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS m FROM documents WHERE doc_id = 1),
+    c AS (SELECT doc_id AS id, list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)), m) AS s, (doc_id % 17) / 17.0 AS score FROM documents, q WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0)
+    SELECT id, len(s) AS shared, len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) AS content_shared FROM c WHERE len(s) >= 2 AND len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) >= 1 ORDER BY content_shared DESC, shared DESC, score DESC, id LIMIT 15"""
+)
+def m11_auto_inject(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    c = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), ((F.col("doc_id") % 17) / F.lit(17.0)).alias("score"))
+    message = d.where("doc_id = 1").select(F.col("text").alias("message"))
+    done = c.where("id % 6 = 0").select("id")
+    found = mm.inject(c.crossJoin(F.broadcast(message)), F.col("message"), done, 15, stop=["the", "and", "was"])  # one row
+    return found.select("id", F.col("shared").cast("long").alias("shared"), F.col("content_shared").cast("long").alias("content_shared"))
+
+
+@query("SELECT p_brand AS ns, count(*) AS n, max(p_partkey) AS ver FROM part GROUP BY 1 ORDER BY n DESC, ver DESC, ns LIMIT 5")
+def m22_namespace_adoption(spark, sf_dir):
+    return mm.namespaces(read(spark, sf_dir, "part").select(F.col("p_brand").alias("ns"), F.col("p_partkey").alias("ver"))).limit(5)
+
+
+@query("SELECT p_partkey, (p_size // 10, p_size % 10, p_partkey % 7) > (2, 3, 4) AS newer FROM part")
+def m19_version_compare(spark, sf_dir):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    v = F.concat_ws(".", F.floor(s / 10).cast("string"), (s % 10).cast("string"), F.concat((k % 7).cast("string"), F.lit("-rc1")))
+    return read(spark, sf_dir, "part").select("p_partkey", mm.version_newer(v, F.lit("2.3.4")).alias("newer"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'incomplete' WHEN event_id % 5 = 0 THEN 'partial' ELSE 'ok' END AS state, event_id % 4 > 0 OR event_id % 6 > event_id % 7 AS unhealthy FROM events")
+def m16_m18_run_state(spark, sf_dir):
+    i = F.col("event_id")
+    state = F.when(i % 3 == 0, "incomplete").when(i % 5 == 0, "partial").otherwise("ok")
+    return read(spark, sf_dir, "events").select(i, state.alias("state"), ((i % 4 > 0) | (i % 6 > i % 7)).alias("unhealthy"))
