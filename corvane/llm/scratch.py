@@ -7,6 +7,7 @@ after others are lost.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,20 @@ def table(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the scratch table that ``df`` reads, once what is made of it has been written."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete every scratch table of this application."""
     jvm = spark.sparkContext._jvm

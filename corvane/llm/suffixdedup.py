@@ -6,9 +6,8 @@ input. The work is dealt by content:
 
 1.  A window of ``width`` bytes is named by the least hash of its ``gram``-byte
     strings, which equal windows share. A document's windows fall into runs of one
-    name. Names found in one document of a chunk are asked about, names found in
-    several are answered on the spot, so a name is sent once a chunk however many
-    documents have it.
+    name. A chunk asks about each name once, however many of its documents have
+    it; where several have, they are answered on the spot.
 2.  Each document takes its runs under names that others have, as snippets. Of
     equal snippets in a chunk the smallest id's are sent; the others' are covered
     already.
@@ -39,7 +38,7 @@ from corvane.llm import scratch
 from corvane.llm.induced import Sorter
 from corvane.llm.textscan import U64, chunks, mix, ragged
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 NAME_BYTES = 6
 
 
@@ -115,10 +114,12 @@ def _ask(docs: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
                 name, row = name[new], row[new]
                 group = np.cumsum(np.concatenate([[True], name[1:] != name[:-1]])) - 1 if len(name) else np.zeros(0, np.int64)
                 several = np.bincount(group)[group] > 1 if len(name) else np.zeros(0, bool)
+                lead = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else several
                 out: list[tuple] = []
                 where = _shard(name, shards)
                 for told in (False, True):
-                    pick = np.flatnonzero(several == told)
+                    # Of several documents' names one still asks, for the other chunks' sake.
+                    pick = np.flatnonzero(several if told else ~several | lead)
                     key = np.full(len(pick), -1) if told else where[pick]
                     pick = pick[np.lexsort((doc[row[pick]], key))]
                     key = np.full(len(pick), -1) if told else where[pick]
@@ -219,7 +220,7 @@ def _snippets(texts: DataFrame, width: int, gram: int, shards: int) -> DataFrame
 def equal_windows(snippets: list[bytes], low: np.ndarray, width: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest ``low`` of any snippet with the window at each byte, and the snippets' bounds.
 
-    -1 where no window starts.
+    The largest number where no window starts.
     """
     size = np.array([len(s) for s in snippets], np.int64)
     off = np.concatenate([[0], np.cumsum(size + 1)])
@@ -228,7 +229,7 @@ def equal_windows(snippets: list[bytes], low: np.ndarray, width: int, memory: in
     body = ragged(off[:-1], size)
     t[body] = np.frombuffer(b"".join(snippets), np.uint8).astype(np.uint16) + 2
     last = np.repeat(off[1:] - 1 - width, size + 1)
-    out = np.full(off[-1], -1, np.int64)
+    out = np.full(off[-1], np.iinfo(np.int64).max)
     own = np.repeat(low, size + 1)
     for pos, lcp in Sorter(t, 258, width, memory).descending():
         valid = pos <= last[np.minimum(pos, len(last) - 1)]
@@ -242,48 +243,59 @@ def equal_windows(snippets: list[bytes], low: np.ndarray, width: int, memory: in
 
 
 def _covered(width: int, memory: int):
+    """Shard by shard, the rows of which come together: each document's covered spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        docs, starts, which = [], [], []
+        held, at = [], None
         for b in batches:
-            for d, s, z, data in zip(*(b.column(k).to_pylist() for k in ("docs", "starts", "sizes", "data")), strict=True):
-                at = 0
-                for n in np.frombuffer(z, "<i4").tolist():
-                    which.append(number.setdefault(data[at : at + n], len(number)))
-                    at += n
-                docs.append(np.frombuffer(d, "<i8"))
-                starts.append(np.frombuffer(s, "<i8"))
-        if not which:
-            return
-        doc, start, own = np.concatenate(docs), np.concatenate(starts), np.array(which)
-        del docs, starts, which
-        low = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(low, own, doc)
-        least, off = equal_windows(list(number), low, width, memory)
-        del number
-        order = np.argsort(doc, kind="stable")
-        doc, start, own = doc[order], start[order], own[order]
-        count = off[1:][own] - off[:-1][own] - 1 - width + 1
-        for k in range(0, len(doc), 50_000):  # occurrences of snippets
-            d, s, c, o = doc[k : k + 50_000], start[k : k + 50_000], count[k : k + 50_000], own[k : k + 50_000]
-            hit = least[ragged(off[:-1][o], c)] < np.repeat(d, c)
-            place = ragged(s, c)
-            occ = np.repeat(np.arange(len(d)), c)
-            hit &= least[ragged(off[:-1][o], c)] >= 0
-            place, occ = place[hit], occ[hit]
-            if not len(place):
-                continue
-            new = np.concatenate([[True], (occ[1:] != occ[:-1]) | (place[1:] != place[:-1] + 1)])
-            a = np.flatnonzero(new)
-            z = np.append(a[1:], len(place)) - 1
-            begin, length, who = place[a], place[z] - place[a] + width, d[occ[a]]
-            cut = _cuts(who)
-            rows = [(int(who[x]), begin[x:y].astype("<i8").tobytes(), length[x:y].astype("<i4").tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield _batch(rows, ["doc_id", "starts", "sizes"], [pa.int64(), pa.binary(), pa.binary()])
+            for shard, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "docs", "starts", "sizes", "data")), strict=True):
+                if shard != at and held:
+                    yield from _shard_spans(held, width, memory)
+                    held = []
+                at = shard
+                held.append(row)
+        if held:
+            yield from _shard_spans(held, width, memory)
 
     return run
 
 
+def _shard_spans(held: list, width: int, memory: int) -> Iterator[pa.RecordBatch]:
+    number: dict[bytes, int] = {}
+    docs, starts, which = [], [], []
+    while held:
+        d, s, z, data = held.pop()
+        at = 0
+        for n in np.frombuffer(z, "<i4").tolist():
+            which.append(number.setdefault(data[at : at + n], len(number)))
+            at += n
+        docs.append(np.frombuffer(d, "<i8"))
+        starts.append(np.frombuffer(s, "<i8"))
+    doc, start, own = np.concatenate(docs), np.concatenate(starts), np.array(which)
+    del docs, starts, which
+    low = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(low, own, doc)
+    least, off = equal_windows(list(number), low, width, memory)
+    del number
+    order = np.argsort(doc, kind="stable")
+    doc, start, own = doc[order], start[order], own[order]
+    count = off[1:][own] - off[:-1][own] - 1 - width + 1
+    for k in range(0, len(doc), 20_000):  # occurrences of snippets
+        d, s, c, o = doc[k : k + 20_000], start[k : k + 20_000], count[k : k + 20_000], own[k : k + 20_000]
+        first = least[ragged(off[:-1][o], c)]
+        hit = np.flatnonzero(first < np.repeat(d, c))
+        if not len(hit):
+            continue
+        place, occ = ragged(s, c)[hit], np.repeat(np.arange(len(d)), c)[hit]
+        new = np.concatenate([[True], (occ[1:] != occ[:-1]) | (place[1:] != place[:-1] + 1)])
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(place)) - 1
+        begin, length, who = place[a], place[z] - place[a] + width, d[occ[a]]
+        cut = _cuts(who)
+        rows = [(int(who[x]), begin[x:y].astype("<i8").tobytes(), length[x:y].astype("<i4").tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        yield _batch(rows, ["doc_id", "starts", "sizes"], [pa.int64(), pa.binary(), pa.binary()])
+
+
 def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes in the given spans."""
     a, n = np.frombuffer(b"".join(starts), "<i8"), np.frombuffer(b"".join(sizes), "<i4").astype(np.int64)
@@ -295,35 +307,43 @@ def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut."""
+    """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 4 * parts
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    # One text for an id at most takes part in the search: an id's rows are one document's.
     long = given.where((F.octet_length("text") >= width) & F.col("doc_id").isNotNull())
     marks = scratch.table(long.select("doc_id", sha.alias("sha")), "marks")
     first = marks.groupBy("sha").agg(F.min("doc_id").alias("lead"))
-    copies = marks.join(first, "sha").where(F.col("doc_id") > F.col("lead")).select("doc_id", "sha").distinct()
-    copies = scratch.table(copies.select(F.col("doc_id").alias("copy_id"), F.col("sha").alias("copy_sha")), "copies")
-    is_copy = (F.col("doc_id") == F.col("copy_id")) & (sha == F.col("copy_sha"))
-    texts = long.join(copies, is_copy, "left_anti")
+    # Whole copies by id alone, small enough to join without moving the texts; an id of several texts is searched.
+    later = marks.join(first, "sha").groupBy("doc_id").agg(F.min("lead").alias("lead"), F.max("sha").alias("a"), F.min("sha").alias("b"))
+    copies = scratch.table(later.where("doc_id > lead and a = b").select(F.col("doc_id").alias("copy_id")).coalesce(8), "copies")
+    texts = long.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
+    scratch.free(spark)
     asks = asked.where("shard >= 0").select("shard", "docs", "counts", "names").repartition(parts, "shard")
     answers = asks.mapInArrow(_answer, "doc_id long, names binary")
     told = answers.unionByName(asked.where("shard < 0").select("doc_id", "names"))
     told = told.groupBy(F.col("doc_id").alias("told_id")).agg(F.collect_list("names").alias("names"))
+    told = scratch.table(told, "told")
+    scratch.drop(asked)
+    scratch.free(spark)
     sent = texts.join(told, F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "names")
     sent = scratch.table(_snippets(sent, width, gram, shards), "snippets")
-    found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data").repartition(parts, "shard")
+    scratch.drop(told)
+    scratch.free(spark)
+    found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data").repartition(parts, "shard").sortWithinPartitions("shard")
     found = found.mapInArrow(_covered(width, memory), "doc_id long, starts binary, sizes binary")
     spans = found.unionByName(sent.where("shard < 0").select("doc_id", "starts", "sizes"))
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
     spans = scratch.table(spans, "spans")
-    out = given.withColumn("sha", sha).join(copies, is_copy, "left").withColumn("copy", F.col("copy_id").isNotNull())
+    scratch.drop(sent)
+    scratch.free(spark)
+    whole = (F.octet_length("text") >= width) & F.col("copy_id").isNotNull()  # shorter rows of the same id stay
+    out = given.join(copies, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy", whole)
     out = out.join(spans, (F.col("doc_id") == F.col("span_id")) & ~F.col("copy"), "left")
     return out.select("doc_id", "text", "copy", "starts", "sizes")
 
