@@ -78,7 +78,7 @@ def error_signature(tool: Column, error: Column) -> Column:
 def page_id(target: Column) -> Column:
     """A link target without suffix, leading folder marks and outer slashes, in lower case."""
     out = F.regexp_replace(F.trim(target), r"\\", "/")
-    for pattern in (r"(?i)\.(md|markdown)$", r"^\./", r"(?i)^(\.opencode/)?wiki/", r"/+$", r"^/+"):
+    for pattern in (r"(?i)\.(md|markdown)$", r"^\./", r"(?i)^(\.[^/]+/)?wiki/", r"/+$", r"^/+"):
         out = F.regexp_replace(out, pattern, "")
     return F.lower(out)
 

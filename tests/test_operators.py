@@ -91,3 +91,13 @@ def test_chunkers():
     assert ck.paragraphs("a" * 10 + "\n\n" + "b" * 400 + "\n\n" + "c" * 5000) == [(1, 2, "a" * 10 + "\n\n" + "b" * 400), (3, 3, "c" * 5000)]
     long = ck.split_large((1, 1, "x" * 20000))
     assert [len(c) for _, _, c in long] == [8000, 8000, 4000]
+
+
+def test_ignore_lists_and_frontmatter():
+    from corvane.functions.parsing import frontmatter, ignore_lists
+
+    dirs, files = ignore_lists("# c\n!keep\nnode_modules\n*.bin\nbuild/\n**/tmp\n/dist/**\na/b/c\nBuild/\nThumbs.db\n\\#x\n")
+    assert dirs == ["#x", "a/b/c", "build", "dist", "node_modules", "tmp"] and files == ["#x", "*.bin", "a/b/c", "node_modules", "Thumbs.db"]
+    got = frontmatter('---\ntitle: "T"\ntags: [a, b]\nsourceRefs:\n  - x.ts\nlastReviewed: <date>\n---\nbody')
+    assert (got["title"], got["tags"], got["source_refs"], got["issues"]) == ("T", ["a", "b"], ["x.ts"], ["unreadable lastReviewed"])
+    assert not frontmatter("no block")["present"]
