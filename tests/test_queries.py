@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane.plans import registry
@@ -23,7 +24,7 @@ def con():
 
 def rows(pdf, names):
     def plain(x):
-        if x is None or x != x:
+        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
             return None
         return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
