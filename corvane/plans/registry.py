@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("scalar", "retrieval", "maintenance", "evaluation", "sessions", "memory", "links", "chunking", "projection", "more")
+MODULES = ("scalar", "retrieval", "maintenance", "evaluation", "sessions", "memory", "links", "chunking", "projection", "more", "ann")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

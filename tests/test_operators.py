@@ -101,3 +101,18 @@ def test_ignore_lists_and_frontmatter():
     got = frontmatter('---\ntitle: "T"\ntags: [a, b]\nsourceRefs:\n  - x.ts\nlastReviewed: <date>\n---\nbody')
     assert (got["title"], got["tags"], got["source_refs"], got["issues"]) == ("T", ["a", "b"], ["x.ts"], ["unreadable lastReviewed"])
     assert not frontmatter("no block")["present"]
+
+
+def test_ivf_recall(spark):
+    import numpy as np
+
+    from corvane.operators import ann
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(16, 16))[rng.integers(0, 16, 600)] + 0.2 * rng.normal(size=(600, 16))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    q = v.where("id < 12").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    index, centres = ann.build(v, 16)
+    got = {(r["qid"], r["id"]) for r in ann.search(index, centres, q, 10).collect()}
+    want = {(r["qid"], r["id"]) for r in rt.knn(v, q, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
