@@ -143,30 +143,68 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By document, the asked names that another document asked about too."""
-    names, docs = [], []
-    for b in batches:
-        for d, c, n in zip(*(b.column(k).to_pylist() for k in ("docs", "counts", "names")), strict=True):
-            names.append(_unpacked(n))
-            docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")))
-    if not names:
-        return
-    name, doc = np.concatenate(names), np.concatenate(docs)
-    del names, docs
-    order = np.argsort(name)
-    cut = _cuts(name[order])
-    several = np.diff(cut) > 1
-    keep = order[np.repeat(several, np.diff(cut))]  # in order of names
-    cut = _cuts(name[keep])
-    if len(keep):
+def _dealt(doc: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of documents: ids, how many entries each has, and the entries' columns, packed."""
+    bucket = _shard(doc.astype(U64), buckets)
+    order = np.lexsort((doc, bucket))
+    doc, bucket = doc[order], bucket[order]
+    cols = [np.ascontiguousarray(c[order]) for c in columns]
+    edges, rows = _cuts(bucket), []
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        cut = _cuts(doc[s:e])
+        rows.append((int(bucket[s]), doc[s:e][cut[:-1]].astype("<i8").tobytes(), np.diff(cut).astype("<i4").tobytes(), *[c[s:e].tobytes() for c in cols]))
+    return _batch(rows, ["bucket", "docs", "counts", *[f"c{k}" for k in range(len(cols))]], [pa.int32(), *[pa.binary()] * (2 + len(cols))])
+
+
+def _gathered(dealt: DataFrame, parts: int, names: list[str], widths: list[int]) -> DataFrame:
+    """A row a document from the rows of ``_dealt``: (doc_id, packed columns)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, cols = [], [[] for _ in names]
+        for b in batches:
+            for d, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")))
+            for k, w in enumerate(widths):
+                cols[k] += [np.frombuffer(x, np.uint8).reshape(-1, w) for x in b.column(3 + k).to_pylist()]
+        if not docs:
+            return
+        doc = np.concatenate(docs)
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        flat = [np.concatenate(c)[order] for c in cols]
+        cut = _cuts(doc)
+        rows = [(int(doc[s]), *[f[s:e].tobytes() for f in flat]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        for k in range(0, len(rows), 20_000):
+            yield _batch(rows[k : k + 20_000], ["doc_id", *names], [pa.int64(), *[pa.binary()] * len(names)])
+
+    return dealt.repartition(parts, "bucket").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} binary" for n in names))
+
+
+def _answer(buckets: int):
+    """The asked names that another document asked about too, by buckets of the documents that asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, docs = [], []
+        for b in batches:
+            for d, c, n in zip(*(b.column(k).to_pylist() for k in ("docs", "counts", "names")), strict=True):
+                names.append(_unpacked(n))
+                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")))
+        if not names:
+            return
+        name, doc = np.concatenate(names), np.concatenate(docs)
+        del names, docs
+        order = np.argsort(name)
+        cut = _cuts(name[order])
+        keep = order[np.repeat(np.diff(cut) > 1, np.diff(cut))]  # in order of names
+        if not len(keep):
+            return
+        cut = _cuts(name[keep])
         low, high = np.minimum.reduceat(doc[keep], cut[:-1]), np.maximum.reduceat(doc[keep], cut[:-1])
         keep = keep[np.repeat(low != high, np.diff(cut))]
-    keep = keep[np.argsort(doc[keep], kind="stable")]
-    cut = _cuts(doc[keep])
-    rows = [(int(doc[keep[s]]), _packed(name[keep[s:e]]).tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-    for k in range(0, len(rows), 20_000):
-        yield _batch(rows[k : k + 20_000], ["doc_id", "names"], [pa.int64(), pa.binary()])
+        if len(keep):
+            yield _dealt(doc[keep], buckets, _packed(name[keep]))
+
+    return run
 
 
 SEND = "shard int, doc_id long, docs binary, starts binary, sizes binary, data binary"
@@ -242,25 +280,25 @@ def equal_windows(snippets: list[bytes], low: np.ndarray, width: int, memory: in
     return out, off
 
 
-def _covered(width: int, memory: int):
-    """Shard by shard, the rows of which come together: each document's covered spans."""
+def _covered(width: int, memory: int, buckets: int):
+    """Shard by shard, the rows of which come together: covered spans by buckets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for b in batches:
             for shard, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "docs", "starts", "sizes", "data")), strict=True):
                 if shard != at and held:
-                    yield from _shard_spans(held, width, memory)
+                    yield from _shard_spans(held, width, memory, buckets)
                     held = []
                 at = shard
                 held.append(row)
         if held:
-            yield from _shard_spans(held, width, memory)
+            yield from _shard_spans(held, width, memory, buckets)
 
     return run
 
 
-def _shard_spans(held: list, width: int, memory: int) -> Iterator[pa.RecordBatch]:
+def _shard_spans(held: list, width: int, memory: int, buckets: int) -> Iterator[pa.RecordBatch]:
     number: dict[bytes, int] = {}
     docs, starts, which = [], [], []
     while held:
@@ -280,8 +318,8 @@ def _shard_spans(held: list, width: int, memory: int) -> Iterator[pa.RecordBatch
     order = np.argsort(doc, kind="stable")
     doc, start, own = doc[order], start[order], own[order]
     count = off[1:][own] - off[:-1][own] - 1 - width + 1
-    for k in range(0, len(doc), 20_000):  # occurrences of snippets
-        d, s, c, o = doc[k : k + 20_000], start[k : k + 20_000], count[k : k + 20_000], own[k : k + 20_000]
+    for k in range(0, len(doc), 40_000):  # occurrences of snippets
+        d, s, c, o = doc[k : k + 40_000], start[k : k + 40_000], count[k : k + 40_000], own[k : k + 40_000]
         first = least[ragged(off[:-1][o], c)]
         hit = np.flatnonzero(first < np.repeat(d, c))
         if not len(hit):
@@ -291,9 +329,7 @@ def _shard_spans(held: list, width: int, memory: int) -> Iterator[pa.RecordBatch
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(place)) - 1
         begin, length, who = place[a], place[z] - place[a] + width, d[occ[a]]
-        cut = _cuts(who)
-        rows = [(int(who[x]), begin[x:y].astype("<i8").tobytes(), length[x:y].astype("<i4").tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        yield _batch(rows, ["doc_id", "starts", "sizes"], [pa.int64(), pa.binary(), pa.binary()])
+        yield _dealt(who, buckets, begin.astype("<i8"), length.astype("<i4"))
 
 
 def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +361,8 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
     scratch.free(spark)
     asks = asked.where("shard >= 0").select("shard", "docs", "counts", "names").repartition(parts, "shard")
-    answers = asks.mapInArrow(_answer, "doc_id long, names binary")
+    answers = asks.mapInArrow(_answer(parts), "bucket int, docs binary, counts binary, c0 binary")
+    answers = _gathered(answers, parts, ["names"], [NAME_BYTES])
     told = answers.unionByName(asked.where("shard < 0").select("doc_id", "names"))
     told = told.groupBy(F.col("doc_id").alias("told_id")).agg(F.collect_list("names").alias("names"))
     told = scratch.table(told, "told")
@@ -336,7 +373,8 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
     scratch.drop(told)
     scratch.free(spark)
     found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data").repartition(parts, "shard").sortWithinPartitions("shard")
-    found = found.mapInArrow(_covered(width, memory), "doc_id long, starts binary, sizes binary")
+    found = found.mapInArrow(_covered(width, memory, parts), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
+    found = _gathered(found, parts, ["starts", "sizes"], [8, 4])
     spans = found.unionByName(sent.where("shard < 0").select("doc_id", "starts", "sizes"))
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
     spans = scratch.table(spans, "spans")
