@@ -71,15 +71,28 @@ def f27_decay(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", (age > 2 * 30).alias("stale"))
 
 
+def _overlap(documents):
+    """Each document against the one of the next id."""
+    w = documents.select("doc_id", tx.word_set(F.col("text"), 3).alias("w"))
+    b = w.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("wb"))
+    j = w.join(b, F.col("doc_id") == F.col("a"))
+    return j.select("a", "b", tx.shared(F.col("w"), F.col("wb")).cast("long").alias("shared"), F.round(tx.jaccard(F.col("w"), F.col("wb")), 6).alias("jaccard"))
+
+
 @query(
     """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS w FROM documents WHERE doc_id < 200)
     SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
 )
 def f8_f9_u5_overlap(spark, sf_dir):
-    w = read(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", tx.word_set(F.col("text"), 3).alias("w"))  # the pairs asked about
-    b = w.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    j = w.join(b, F.col("doc_id") == F.col("a"))
-    return j.select("a", "b", tx.shared(F.col("w"), F.col("wb")).cast("long").alias("shared"), F.round(tx.jaccard(F.col("w"), F.col("wb")), 6).alias("jaccard"))
+    return _overlap(read(spark, sf_dir, "documents").where("doc_id < 200"))  # the pairs its SQL asks about
+
+
+@query(
+    """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS w FROM documents)
+    SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
+)
+def f8_f9_u5_overlap_all(spark, sf_dir):
+    return _overlap(read(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {CHUNKS}, f AS (SELECT id, file_path FROM chunks WHERE start_line = 41) SELECT c.id FROM chunks c SEMI JOIN f ON c.file_path = f.file_path")

@@ -116,3 +116,12 @@ def test_ivf_recall(spark):
     got = {(r["qid"], r["id"]) for r in ann.search(index, centres, q, 10).collect()}
     want = {(r["qid"], r["id"]) for r in rt.knn(v, q, 10).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_overlap_asks_every_document(spark, tmp_path):
+    from corvane.plans.more import f8_f9_u5_overlap_all
+
+    rows = [(i, f"alpha beta word{i}") for i in range(195, 206)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in f8_f9_u5_overlap_all(spark, str(tmp_path)).collect())
+    assert got == [(i, i + 1, 2, 0.5) for i in range(195, 205)]
