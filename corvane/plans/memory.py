@@ -78,18 +78,32 @@ def j16_m13_capture_dedup(spark, sf_dir):
     return mm.new_candidates(b.where("id >= 100000"), b.where("id < 100000")).select("id")
 
 
+def _inject(spark, sf_dir, ids):
+    """The best of the documents ``ids`` for the message of document 1; those of ids divisible by 6 are in already."""
+    d = read(spark, sf_dir, "documents")
+    c = d.where(ids).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), ((F.col("doc_id") % 17) / F.lit(17.0)).alias("score"))
+    message = d.where("doc_id = 1").select(F.col("text").alias("message"))
+    done = c.where("id % 6 = 0").select("id")
+    found = mm.inject(c.crossJoin(F.broadcast(message)), F.col("message"), done, 15, stop=["the", "and", "was"])  # one row
+    return found.select("id", F.col("shared").cast("long").alias("shared"), F.col("content_shared").cast("long").alias("content_shared"))
+
+
 @query(
     """WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS m FROM documents WHERE doc_id = 1),
     c AS (SELECT doc_id AS id, list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)), m) AS s, (doc_id % 17) / 17.0 AS score FROM documents, q WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0)
     SELECT id, len(s) AS shared, len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) AS content_shared FROM c WHERE len(s) >= 2 AND len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) >= 1 ORDER BY content_shared DESC, shared DESC, score DESC, id LIMIT 15"""
 )
 def m11_auto_inject(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    c = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), ((F.col("doc_id") % 17) / F.lit(17.0)).alias("score"))
-    message = d.where("doc_id = 1").select(F.col("text").alias("message"))
-    done = c.where("id % 6 = 0").select("id")
-    found = mm.inject(c.crossJoin(F.broadcast(message)), F.col("message"), done, 15, stop=["the", "and", "was"])  # one row
-    return found.select("id", F.col("shared").cast("long").alias("shared"), F.col("content_shared").cast("long").alias("content_shared"))
+    return _inject(spark, sf_dir, "doc_id % 3 = 0")  # the candidates its SQL takes
+
+
+@query(
+    """WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS m FROM documents WHERE doc_id = 1),
+    c AS (SELECT doc_id AS id, list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)), m) AS s, (doc_id % 17) / 17.0 AS score FROM documents, q WHERE doc_id % 6 <> 0)
+    SELECT id, len(s) AS shared, len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) AS content_shared FROM c WHERE len(s) >= 2 AND len(list_filter(s, lambda x: x NOT IN ('the', 'and', 'was'))) >= 1 ORDER BY content_shared DESC, shared DESC, score DESC, id LIMIT 15"""
+)
+def m11_auto_inject_all(spark, sf_dir):
+    return _inject(spark, sf_dir, "true")
 
 
 @query("SELECT p_brand AS ns, count(*) AS n, max(p_partkey) AS ver FROM part GROUP BY 1 ORDER BY n DESC, ver DESC, ns LIMIT 5")

@@ -125,3 +125,12 @@ def test_overlap_asks_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in f8_f9_u5_overlap_all(spark, str(tmp_path)).collect())
     assert got == [(i, i + 1, 2, 0.5) for i in range(195, 205)]
+
+
+def test_injection_takes_every_candidate(spark, tmp_path):
+    from corvane.plans.memory import m11_auto_inject_all
+
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "alpha beta other"), (4, "alpha beta gamma"), (6, "alpha beta gamma"), (7, "none of them")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["id"] for r in m11_auto_inject_all(spark, str(tmp_path)).collect()]
+    assert got == [4, 2, 1, 3]
