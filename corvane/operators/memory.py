@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators import alike
 
 
 def recall(
@@ -61,6 +62,15 @@ def lint(records: DataFrame, now: Column, min_confidence: float = 0.5, half_life
     return low.unionByName(stale).unionByName(near)
 
 
+def lint_counts(records: DataFrame, now: Column, min_confidence: float = 0.5, half_life_days: int = 30, threshold: float = 0.85) -> DataFrame:
+    """(issue, n): how many records or, of near-duplicates, pairs of records have each issue that there is."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp("observed")) / 86400
+    issues = F.array(F.when(F.col("confidence") < min_confidence, "low-confidence"), F.when(age > 2 * half_life_days, "stale"))
+    single = records.select(F.explode(issues).alias("issue")).where("issue is not null").groupBy("issue").agg(F.count("*").alias("n"))
+    near = alike.count(records, threshold).where("n > 0").select(F.lit("near-duplicate").alias("issue"), "n")
+    return single.unionByName(near)
+
+
 def inject(candidates: DataFrame, message: Column, done: DataFrame, k: int, min_shared: int = 2, min_content: int = 1, stop: list[str] = ()) -> DataFrame:
     """Candidates not yet injected that share enough words with the message, by content overlap, overlap, score and id."""
     w, m = tx.word_set(F.col("content"), 3), tx.word_set(message, 3)

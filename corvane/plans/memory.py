@@ -67,6 +67,11 @@ def m6_lint_counts(spark, sf_dir):
     return mm.lint(r, now).where("issue <> 'near-duplicate'").groupBy("issue").agg(F.count("*").alias("n"))
 
 
+@query()  # DuckDB is too slow for pairs of all documents
+def m6_lint_counts_all(spark, sf_dir):
+    return mm.lint_counts(_records(spark, sf_dir), F.lit("2024-10-01 00:00:00").cast("timestamp"))
+
+
 @query(
     f"""WITH {_BENCH}, {_SETS.format(src="src")}, g AS (SELECT one.id AS rep, s.id FROM s JOIN one ON s.w = one.w),
     near AS (SELECT a, b FROM p WHERE c / (n + m - c) >= 0.85), hit AS (

@@ -134,3 +134,26 @@ def test_injection_takes_every_candidate(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r["id"] for r in m11_auto_inject_all(spark, str(tmp_path)).collect()]
     assert got == [4, 2, 1, 3]
+
+
+def test_lint_counts_every_near_duplicate(spark, tmp_path):
+    import itertools
+    import random
+
+    from corvane.operators import alike
+    from corvane.plans.memory import m6_lint_counts_all
+
+    rng = random.Random(3)
+    texts = ["", None, "!?", "one", "One one", "common common"] + ["the very same common text"] * 5
+    for n in (3, 7, 12, 20, 21, 40, 90, 300):
+        base = [f"w{rng.randrange(1000)}" for _ in range(n)] + ["common"]
+        for _ in range(12):
+            out = [x for x in base if rng.random() > rng.choice([0, 0.03, 0.1])]
+            texts.append(" ".join(out + [f"new{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 1, n // 12]))]))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [set((t or "").lower().replace("!?", "").split()) for t in texts]
+    want = sum(len(a & b) / len(a | b) > 0.85 for a, b in itertools.combinations(sets, 2) if a | b)
+    got = {r["issue"]: r["n"] for r in m6_lint_counts_all(spark, str(tmp_path)).collect()}
+    assert got["near-duplicate"] == want > 100 and set(got) == {"low-confidence", "stale", "near-duplicate"}
+    assert alike.count(df, 0.85, "text", block=5).first()["n"] == want
