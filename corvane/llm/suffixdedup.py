@@ -13,7 +13,9 @@ input. The work is dealt by content:
     already.
 3.  A shard holds all snippets of its names. Its suffixes are sorted by external
     induced sorting (see ``induced``); neighbours that share ``width`` symbols are
-    one group of equal windows, whose smallest document keeps them.
+    one group of equal windows, whose smallest document keeps them. The text of a
+    shard and the arrays over it are in memory, only the queues go to disk: so
+    there are as many shards as the measured bytes of all snippets call for.
 4.  Each document's covered spans are joined and cut out.
 
 Whole copies of an earlier document are told by digest and take no part.
@@ -40,6 +42,7 @@ from corvane.llm.textscan import U64, chunks, mix, ragged
 
 CHUNK = 1 << 20
 NAME_BYTES = 6
+SHARD_BYTES = 4 << 20
 
 
 def _words(buf: np.ndarray, shift: int) -> np.ndarray:
@@ -342,7 +345,13 @@ def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndar
     return a[at], e[np.append(at[1:], len(a)) - 1]
 
 
-def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _enough(snippets: DataFrame, shards: int, shard_bytes: int) -> int:
+    """How many shards, ``shards`` at least, have ``shard_bytes`` of snippets each on average at most."""
+    total = snippets.where("shard >= 0").agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return max(shards, -(-total // shard_bytes))
+
+
+def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -368,8 +377,13 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
     told = scratch.table(told, "told")
     scratch.drop(asked)
     scratch.free(spark)
-    sent = texts.join(told, F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "names")
-    sent = scratch.table(_snippets(sent, width, gram, shards), "snippets")
+    asking = texts.join(told, F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "names")
+    sent = scratch.table(_snippets(asking, width, gram, shards), "snippets")
+    enough = _enough(sent, shards, shard_bytes)
+    if enough > shards:  # only then are they made again
+        scratch.drop(sent)
+        scratch.free(spark)
+        sent = scratch.table(_snippets(asking, width, gram, enough), "snippets")
     scratch.drop(told)
     scratch.free(spark)
     found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data").repartition(parts, "shard").sortWithinPartitions("shard")

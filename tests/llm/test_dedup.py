@@ -118,3 +118,19 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component_id"] for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[1001] == 1000
+
+
+def test_suffix_dedup_makes_more_shards_of_more_bytes(spark, monkeypatch):
+    made = []
+    snippets = suffixdedup._snippets
+
+    def noted(texts, width, gram, shards):
+        made.append(shards)
+        return snippets(texts, width, gram, shards)
+
+    monkeypatch.setattr(suffixdedup, "_snippets", noted)
+    df = spark.createDataFrame(cases(), "doc_id long, text string, component_id string")
+    want = sorted(map(tuple, suffixdedup.digest(df).collect()), key=str)
+    assert made == [16]
+    got = sorted(map(tuple, suffixdedup.digest(df, shard_bytes=100).collect()), key=str)
+    assert made[1] == 16 < made[2] and got == want
