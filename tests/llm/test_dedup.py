@@ -134,3 +134,15 @@ def test_suffix_dedup_makes_more_shards_of_more_bytes(spark, monkeypatch):
     assert made == [16]
     got = sorted(map(tuple, suffixdedup.digest(df, shard_bytes=100).collect()), key=str)
     assert made[1] == 16 < made[2] and got == want
+
+
+def test_order_minhash_as_registered(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for i in range(120):  # 40 of each: more than are compared without a sample
+        t = list(base[i % 3])
+        t[rng.choice([0, -1])] = f"x{i}"
+        rows.append((i, " ".join(t), ""))
+    found = ordermin.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % 3 for i in range(120)}
