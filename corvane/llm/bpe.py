@@ -3,11 +3,12 @@
 A short word's part ids and the ranks of its adjacent pairs lie side by side in
 one row of an array. Each step scans the row for the least rank, deletes the
 boundary at its leftmost place, and looks up anew only the two ranks beside it.
-Many words of like length are stepped together. Words longer than ``SHORT`` bytes
-keep the same array and step it alone.
+Many words of like length are stepped together. Scanning a whole row a merge costs
+the square of a word's length, so words longer than ``SHORT`` bytes keep their
+boundaries as links and their ranks in a heap instead; the result is the same.
 
-Words met before are found again by a 64-bit hash in an open-addressed table, so
-a text costs one look-up a word. The table starts anew beyond ``most`` words.
+Words met before are found again by their bytes, so a text costs one look-up a
+word. The table of them starts anew beyond ``most`` words or ``most_bytes`` bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import unicodedata
 
 import numpy as np
 
-from corvane.llm.textscan import SPACE, U64, buffers, owner, prefix_hash, ragged, runs, span_hash  # noqa: F401
+from corvane.llm.textscan import SPACE, U64, owner, ragged, runs
 
 SHORT = 48
 FAR = np.int32(2**31 - 1)
@@ -222,42 +223,6 @@ class Ranks:
         return self.spelled[ragged(self.spelled_off[ids], n)], ends[off]
 
 
-class Known:
-    """Words by hash: an open-addressed table of numbers in order of arrival."""
-
-    def __init__(self, bits: int = 22):
-        self.bits, self.n = bits, 0
-        self.keys = np.zeros(1 << bits, U64)
-        self.at = np.zeros(1 << bits, np.int32)
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h >> U64(64 - self.bits)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's number, -1 where new."""
-        out = np.full(len(h), -1, np.int32)
-        rest, slot = np.arange(len(h)), self._slot(h)
-        while len(rest):
-            k = self.keys[slot]
-            hit = k == h[rest]
-            out[rest[hit]] = self.at[slot[hit]]
-            on = ~hit & (k != 0)
-            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, h: np.ndarray) -> None:
-        """Number distinct new hashes on from the last."""
-        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
-        self.n += len(h)
-        rest, slot = np.arange(len(h)), self._slot(h)
-        while len(rest):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[rest[free]]  # of several, one stays
-            won = self.keys[slot] == h[rest]
-            self.at[slot[won]] = number[rest[won]]
-            rest, slot = rest[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-
-
 class Pool:
     """Arrays of ids under numbers, appended to."""
 
@@ -282,9 +247,10 @@ class Pool:
         return self.ids[ragged(self.off[number], n)], n
 
 
-def distinct(h: np.ndarray) -> np.ndarray:
-    """Places of the first of each value."""
-    return np.unique(h, return_index=True)[1]
+def numbered(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], dict[bytes, int]]:
+    """The words raw[start:end], and where each of them comes first."""
+    words = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+    return words, dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
 
 
 def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,32 +350,29 @@ class Encoder:
     spaced: byte-level words with their space, else lower-cased words without it.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
-        self.ranks, self.spaced, self.most = Ranks(path), spaced, most
+    def __init__(self, path: str, spaced: bool, most: int = 1_000_000, most_bytes: int = 64 << 20):
+        self.ranks, self.spaced, self.most, self.most_bytes = Ranks(path), spaced, most, most_bytes
         self.path = path
         self.fresh()
 
     def fresh(self) -> None:
-        self.known, self.pool = Known(), Pool()
+        self.known: dict[bytes, int] = {}
+        self.pool, self.bytes = Pool(), 0
 
     def _lookup(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, encode) -> np.ndarray:
         """Numbers of the words, new ones encoded and kept."""
-        h = span_hash(prefix_hash(buf), s, e) | U64(1)
-        number = self.known.find(h)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            new = new[distinct(h[new])]
-            if self.known.n + len(new) > self.most and self.known.n:
+        words, first = numbered(buf.tobytes(), s, e)
+        new = first.keys() - self.known.keys()
+        if new:
+            size = sum(map(len, new))
+            if self.known and (len(self.known) + len(new) > self.most or self.bytes + size > self.most_bytes):
                 self.fresh()
-                new = distinct(h)
-            step = max(1, self.most)
-            new = np.sort(new)
-            for k in range(0, len(new), step):
-                part = new[k : k + step]
-                self.pool.add(*encode(buf, s[part], e[part]))
-                self.known.add(h[part])
-            number = self.known.find(h)
-        return number
+                new, size = first.keys(), sum(map(len, first))
+            part = np.sort(np.fromiter((first[w] for w in new), np.int64, len(new)))
+            self.pool.add(*encode(buf, s[part], e[part]))
+            self.known.update(zip((words[k] for k in part.tolist()), range(len(self.known), len(self.known) + len(part)), strict=True))
+            self.bytes += size
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts and each text's bounds in them."""
@@ -481,8 +444,10 @@ class Encoder:
         cp, at = code_points(low)
         first, last = split_folded(cp, np.searchsorted(at, off))
         ws, we = at[first], at[last]
-        h = span_hash(prefix_hash(low), ws, we)
-        _, pick, back = np.unique(h, return_index=True, return_inverse=True)
+        words, place = numbered(low.tobytes(), ws, we)
+        pick = np.fromiter(place.values(), np.int64, len(place))
+        number = dict(zip(place, range(len(place)), strict=True))
+        back = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         ids, bounds = self.ranks.encode(low, ws[pick], we[pick])
         count = bounds[1:] - bounds[:-1]
         flat = ids[ragged(bounds[:-1][back], count[back])]

@@ -14,9 +14,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
-_ODD = 0xD6E8FEB86659FD93
-_INV = pow(_ODD, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+PRIME = (1 << 31) - 1
+#: Bases of the two hashes of a span, modulo PRIME, and their inverses.
+BASES = (0x2C3F5A17, 0x51B3E8D9)
+INVERSES = tuple(pow(b, -1, PRIME) for b in BASES)
+_RESIDUES: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +46,24 @@ LOWER = _lowered()
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0 ... base**(n - 1) modulo 2**64."""
-    have = _POWERS.get(base)
+    """base**0 ... base**(n - 1) modulo 2**64, for few terms of words hashed before."""
+    return np.multiply.accumulate(np.array([1] + [base] * (n - 1), U64))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers under 2**62 modulo PRIME, as one of two values where that is 0."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return (x & U64(PRIME)) + (x >> U64(31))
+
+
+def residues(n: int, base: int) -> np.ndarray:
+    """base**0 ... base**(n - 1) modulo PRIME."""
+    have = _RESIDUES.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 20), base, U64)
-        p[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(p)
+        have = np.ones(1, U64)
+        while len(have) < max(n, 1 << 20):
+            have = np.concatenate([have, reduced(have * U64(pow(base, len(have), PRIME)))])
+        _RESIDUES[base] = have
     return have[:n]
 
 
@@ -80,16 +94,26 @@ def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, n
 
 
 def prefix_hash(buf: np.ndarray, table: np.ndarray = BYTE_HASH) -> np.ndarray:
-    """H with H[i] the polynomial hash of the first i bytes."""
-    h = np.zeros(len(buf) + 1, U64)
-    np.cumsum(table[buf] * powers(len(buf), _ODD), out=h[1:])
+    """H with H[k, i] the k-th polynomial hash of the first i bytes: sums of residues, not reduced."""
+    h = np.zeros((2, len(buf) + 1), U64)
+    for k, base in enumerate(BASES):
+        digit = reduced(table >> U64(2 + 16 * k))
+        np.cumsum(reduced(digit[buf] * residues(len(buf), base)), out=h[k, 1:])
     return h
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans by content and length, from prefix_hash's H."""
-    x = (h[end] - h[start]) * powers(len(h), _INV)[start]
-    return mix(x + (end - start).astype(U64) * _MUL)
+    """Hashes of spans by content and length, from prefix_hash's H.
+
+    Two polynomials modulo a prime: no text of regular structure collides, as it
+    does modulo a power of two whatever the base.
+    """
+    out = (end - start).astype(U64) * _MUL
+    for k, inverse in enumerate(INVERSES):
+        x = reduced(reduced(h[k][end] - h[k][start]) * residues(h.shape[1], inverse)[start])
+        x[x == U64(PRIME)] = 0
+        out = mix(out + x + U64(k))
+    return out
 
 
 def runs(inside: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

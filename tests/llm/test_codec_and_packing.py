@@ -19,9 +19,17 @@ ODD = ["", " ", "don't we're 's  's\n's ''s a'.b 'sx 'llama I'LL", "  a\n\n b \t
        "hi<|endoftext|>there <|startoftext|> x", "漢字かな 🙂🙂 x\u0085y", "'re've'll", "a'rex b'vey", "\x1c\x1dx", "...'s 's'", "word \n", "\n\n"]
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that polynomial hashes modulo a power of two confuse."""
+    w = "a"
+    for _ in range(k):
+        w += w.translate({97: "b", 98: "a"})
+    return [w, w.translate({97: "b", 98: "a"})]
+
+
 def texts():
     rng = random.Random(1)
-    return ODD + ["".join(rng.choice("ab's tlrevmd  \n\t1.é'²,") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    return ODD + thue_morse(11) + ["".join(rng.choice("ab's tlrevmd  \n\t1.é'²,") for _ in range(rng.randint(0, 60))) for _ in range(300)]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
