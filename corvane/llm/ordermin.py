@@ -12,18 +12,23 @@ alignment of common ones is the longest increasing run of their places, taken
 within the band of diagonals that a pair at the threshold can reach. A link has
 aligned / (all - aligned) >= ``threshold``.
 
-Equal texts are joined first and need no comparison. Documents of a bucket that
-are joined already are not compared again. Large buckets are dealt into blocks,
-and every pair of blocks is compared.
+Texts of equal words, told by a SHA-256 of them, are joined first and need no
+comparison. Documents of a bucket that are joined already are not compared again,
+and of the others only those that share one of their rarest k-mers: two texts at
+the threshold have so many in common that the rarest fifth of each must meet, so
+none is missed. Large buckets are dealt into blocks, and every pair of blocks is
+compared.
 
 Null and empty texts, and texts without any word, join only equal texts (null
 counts as empty). Null ids come back as they are with a null class, not kept.
-Rows that repeat an id and a text fall into one class. An empty table gives an
-empty result.
+Rows that repeat an id and a text fall into one class; rows that repeat an id with
+another text are documents of their own. Of other columns none is read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -54,8 +59,8 @@ def occurrence(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def kmers(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the labelled k-mers of texts, each text's bounds in them, and keys of the texts' words."""
+def kmers(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled k-mers of texts, and each text's bounds in them."""
     s, e = runs(WORD_BYTE[buf], off)
     w = span_hash(prefix_hash(buf, FOLDED), s, e)
     rows = len(off) - 1
@@ -72,12 +77,23 @@ def kmers(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(rows), count)[keep]
     gram = mix(gram[keep])
     label = occurrence(gram ^ mix(row.astype(U64) + U64(1)))
-    gram = mix(gram + label.astype(U64) * U64(STEP))
-    c = np.zeros(len(w) + 1, U64)
-    np.cumsum(w * powers(max(len(w), 1), STEP)[: len(w)], out=c[1:])
-    inverse = powers(max(len(w), 1) + 1, pow(STEP, -1, 1 << 64))
-    key = mix((c[at[1:]] - c[at[:-1]]) * inverse[at[:-1]] + count.astype(U64) * U64(0x9E3779B97F4A7C15))
-    return gram, np.searchsorted(row, np.arange(rows + 1)), key
+    return mix(gram + label.astype(U64) * U64(STEP)), np.searchsorted(row, np.arange(rows + 1))
+
+
+def keys(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """SHA-256 of each text's folded words; of its bytes where it has no word."""
+    inside = WORD_BYTE[buf]
+    s, e = runs(inside, off)
+    at, size = np.searchsorted(s, off), (e - s).astype("<i8")
+    ends = np.concatenate([[0], np.cumsum(size)])[at]
+    letters = memoryview(LOWER[buf[inside]])
+    raw, out = memoryview(np.ascontiguousarray(buf)), []
+    for r in range(len(off) - 1):
+        # The words' sizes part them; a text of none starts with 0 and can't equal one of some.
+        h = hashlib.sha256((int(at[r + 1] - at[r])).to_bytes(8, "little") + size[at[r] : at[r + 1]].tobytes())
+        h.update(letters[ends[r] : ends[r + 1]] if at[r + 1] > at[r] else raw[off[r] : off[r + 1]])
+        out.append(h.digest())
+    return out
 
 
 def sketch(gram: np.ndarray, bounds: np.ndarray, tables: int, ell: int) -> np.ndarray:
@@ -109,14 +125,18 @@ def sketch(gram: np.ndarray, bounds: np.ndarray, tables: int, ell: int) -> np.nd
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Common labelled k-mers on the best alignment within ``band`` diagonals of the main one."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the labelled k-mers that both have."""
     both = np.concatenate([a, b])
     order = np.argsort(both, kind="stable")
     k = both[order]
     hit = np.flatnonzero(k[1:] == k[:-1])
-    i, j = order[hit], order[hit + 1] - len(a)
-    keep = (j >= 0) & (i < len(a)) & (np.abs(i - j) <= band)
+    return order[hit], order[hit + 1] - len(a)
+
+
+def longest(i: np.ndarray, j: np.ndarray, band: int) -> int:
+    """The best alignment of common places within ``band`` diagonals of the main one."""
+    keep = np.abs(i - j) <= band
     i, j = i[keep], j[keep]
     j = j[np.argsort(i)]
     if (j[1:] > j[:-1]).all():
@@ -141,7 +161,41 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     need = least_common(len(a), len(b), threshold)
     if min(len(a), len(b)) < need:
         return False
-    return aligned(a, b, len(a) + len(b) - 2 * need) >= need
+    i, j = common(a, b)
+    return len(i) >= need and longest(i, j, len(a) + len(b) - 2 * need) >= need
+
+
+class Rarest:
+    """Which members of a bucket share one of their rarest k-mers.
+
+    Each member's k-mers stand in one order for all, rare ones of the bucket first.
+    A pair at the threshold t has t times the longer one's k-mers in common, so the
+    first (1 - t) of each member's and one more must share one.
+    """
+
+    def __init__(self, seqs: list[np.ndarray], threshold: float):
+        size = np.array([len(x) for x in seqs])
+        own = np.repeat(np.arange(len(seqs)), size)
+        _, group, count = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+        order = np.lexsort((group, count[group], own))
+        start = np.cumsum(size) - size
+        first = size - np.ceil(np.round(threshold * size, 9)).astype(np.int64) + 1
+        order = order[(np.arange(len(order)) - np.repeat(start, size)) < np.repeat(first, size)]
+        order = order[count[group[order]] > 1]
+        self.n = len(seqs)
+        self.group, own = group[order], own[order]
+        self.off = np.searchsorted(own, np.arange(len(seqs) + 1))
+        by = np.argsort(self.group, kind="stable")  # members rise within a group
+        self.holder = own[by]
+        self.first = np.searchsorted(self.group[by], np.arange(len(count) + 1))
+
+    def of(self, low: int, y: int) -> np.ndarray:
+        """Members low..y-1 that share one with y, those that share most first."""
+        g = self.group[self.off[y] : self.off[y + 1]]
+        found = self.holder[ragged(self.first[g], self.first[g + 1] - self.first[g])]
+        c = np.bincount(found[(found >= low) & (found < y)], minlength=self.n)
+        x = np.flatnonzero(c)
+        return x[np.argsort(-c[x], kind="stable")]
 
 
 class Bucket:
@@ -163,67 +217,30 @@ class Bucket:
                 x = root[x]
             return x
 
-        sets: dict[int, frozenset[int]] = {}
-
-        def members(x: int) -> frozenset[int]:
-            if x not in sets:
-                sets[x] = frozenset(seqs[x].tolist())
-            return sets[x]
-
         def join(x: int, y: int) -> bool:
-            if ids[x] != ids[y]:
-                need = least_common(len(seqs[x]), len(seqs[y]), self.threshold)
-                # No alignment has more than all that is common.
-                if min(len(seqs[x]), len(seqs[y])) < need or len(members(x) & members(y)) < need or not linked(seqs[x], seqs[y], self.threshold):
-                    return False
+            if ids[x] != ids[y] and not linked(seqs[x], seqs[y], self.threshold):
+                return False
             root[find(y)] = find(x)
             self.a.append(ids[x])
             self.b.append(ids[y])
             return True
 
-        size = np.array([len(s) for s in seqs])
-        likely = self._likely(seqs, size) if n > 16 else None
+        rarest = None
         low = parts = 0  # parts: classes among the members so far
         for y in range(n):
-            while size[low] < self.threshold * size[y]:
+            while len(seqs[low]) < round(self.threshold * len(seqs[y]), 9):
                 low += 1
             parts += 1
-            if y and low < y and not (cross and side[y - 1] == side[y]) and join(y - 1, y):
+            tried = low < y and not (cross and side[y - 1] == side[y])
+            if tried and join(y - 1, y):
                 parts -= 1
-            if parts == 1:
+            if parts == 1 or low >= y - tried:
                 continue
-            found = np.arange(low, y)[::-1] if likely is None else likely(low, y)
-            for x in found.tolist():
-                if not (cross and side[x] == side[y]) and find(x) != find(y) and join(x, y):
+            rarest = rarest or Rarest(seqs, self.threshold)
+            for x in rarest.of(low, y).tolist():
+                if not (tried and x == y - 1) and not (cross and side[x] == side[y]) and find(x) != find(y) and join(x, y):
                     parts -= 1
 
-    def _likely(self, seqs: list[np.ndarray], size: np.ndarray):
-        """Earlier members that share enough of a sample of k-mers, about 32 a text and the same values in all."""
-        top = np.uint32(min(2**32 - 1, int(2**32 * 32 / max(32, float(np.median(size))))))
-        picked = [s[s <= top] for s in seqs]
-        k = np.array([len(p) for p in picked])
-        off = np.concatenate([[0], np.cumsum(k)])
-        value, own = np.concatenate(picked), np.repeat(np.arange(len(seqs)), k)
-        order = np.argsort(value, kind="stable")
-        v = value[order]
-        new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-        group = np.empty(len(v), np.int64)
-        group[order] = np.cumsum(new) - 1
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(v)))
-        holder = own[order]
-
-        def likely(low: int, y: int) -> np.ndarray:
-            g = group[off[y] : off[y + 1]]
-            c = np.bincount(holder[ragged(start[g], count[g])], minlength=len(seqs))[low:y]
-            every = np.maximum(1, k[low:y] + k[y] - c)
-            # Five deviations under the threshold of an estimate from so many; a text of few is always likely.
-            near = (c >= (self.threshold - 5 * np.sqrt(0.16 / every)) * every) | (every < 8)
-            x = np.flatnonzero(near)
-            return low + x[np.argsort(-c[x], kind="stable")]
-
-        return likely
-
     def take(self) -> pa.RecordBatch:
         a, b = np.array(self.a, np.int64), np.array(self.b, np.int64)
         a, b = forest(a, b) if len(a) else (a, b)
@@ -237,75 +254,71 @@ def near_duplicates(
     threshold: float = 0.8,
     tables: int = 10,
     ell: int = 3,
-    block: int = 1000,
+    block: int = 500,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, component_id, kept): each document's class, named by its smallest id."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def keys_of(buf: np.ndarray, off: np.ndarray, bounds: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Texts without a word are told apart by their bytes."""
-        bare = np.flatnonzero(bounds[1:] == bounds[:-1])
-        if len(bare):
-            key[bare] = span_hash(prefix_hash(buf), off[bare], off[bare + 1])
-        return key.view(np.int64)
-
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, off in chunks(b.column(1)):
-                gram, bounds, key = kmers(buf, off, k)
+                gram, bounds = kmers(buf, off, k)
                 codes = sketch(gram, bounds, tables, ell).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
-                n = bounds[1:] - bounds[:-1]
-                cols = [b.column(0).slice(i, j - i), pa.array(keys_of(buf, off, bounds, key)), pa.array(n), lists]
+                cols = [b.column(0).slice(i, j - i), pa.array(keys(buf, off), pa.binary()), pa.array(np.diff(bounds)), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "codes"])
 
-    all_ = scratch.table(given.mapInArrow(facts, "doc_id long, key long, n long, codes array<long>"), "sketches")
+    all_ = scratch.table(given.mapInArrow(facts, "doc_id long, key binary, n long, codes array<long>"), "sketches")
     live = all_.where("doc_id is not null")
-    rep = live.groupBy("key", "n").agg(F.min(F.struct("doc_id", "codes")).alias("r"))
-    reps = scratch.table(rep.select("key", "n", F.col("r.doc_id").alias("rep"), F.col("r.codes").alias("codes")), "reps")
-
-    cells = reps.where("n > 0").select("rep", "n", F.posexplode("codes").alias("tbl", "code"))
-    met = cells.groupBy("tbl", "code").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    met = met.where("members > 1").select(F.col("tbl").alias("t"), F.col("code").alias("c"), F.ceil(F.col("members") / block).cast("int").alias("nb"))
-    shared = cells.join(met, (F.col("tbl") == F.col("t")) & (F.col("code") == F.col("c"))).select("tbl", "code", "rep", "nb")
+    reps = live.groupBy("key").agg(F.min(F.struct("doc_id", "n", "codes")).alias("r"))
+    # The written table gives each distinct text a number of its own.
+    reps = scratch.table(reps.select("key", "r.n", F.col("r.doc_id").alias("rep"), F.col("r.codes").alias("codes"), F.monotonically_increasing_id().alias("node")), "reps")
+
+    cells = reps.where("n > 0").select("node", F.posexplode("codes").alias("tbl", "code"))
+    met = cells.groupBy("tbl", "code").agg(F.count("*").alias("members")).where("members > 1")
+    met = met.select(F.col("tbl").alias("t"), F.col("code").alias("c"), F.ceil(F.col("members") / block).cast("int").alias("nb"))
+    shared = cells.join(met, (F.col("tbl") == F.col("t")) & (F.col("code") == F.col("c"))).select("tbl", "code", "node", "nb")
     shared = scratch.table(shared, "buckets")
-    wanted = shared.select("rep").distinct().join(reps.select("rep", "key"), "rep")
+    wanted = shared.select("node").distinct().join(reps.select("node", "rep", "key"), "node")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1  # rows that repeat an id and a text come one after another mostly
         for b in batches:
-            want = b.column(2).to_numpy()
+            node, want = b.column(0).to_numpy(), b.column(2).to_pylist()
             for i, j, buf, off in chunks(b.column(1)):
-                gram, bounds, key = kmers(buf, off, k)
-                same = keys_of(buf, off, bounds, key) == want[i:j]
-                seq = (gram >> U64(32)).astype(np.uint32).tobytes()
-                blob = [seq[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                batch = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(blob, pa.binary())], ["rep", "seq"])
+                same = np.array([x == y for x, y in zip(keys(buf, off), want[i:j], strict=True)], bool)
+                same &= np.concatenate([[last], node[i : j - 1]]) != node[i:j]
+                last = node[j - 1]
+                gram, bounds = kmers(buf, off, k)
+                seq = memoryview(gram).cast("B")
+                blob = [seq[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                batch = pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(blob, pa.binary())], ["node", "seq"])
                 yield batch.filter(pa.array(same))
 
-    texts = wanted.join(given, F.col("rep") == F.col("doc_id")).select("rep", "text", "key")
-    seqs = scratch.table(texts.mapInArrow(sequences, "rep long, seq binary"), "sequences")
-    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    texts = wanted.join(given, F.col("rep") == F.col("doc_id")).select("node", "text", "key")
+    seqs = scratch.table(texts.mapInArrow(sequences, "node long, seq binary"), "sequences")
+    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("tbl", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep").join(seqs, "rep")
+    dealt = dealt.select("tbl", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(seqs, "node")
     group = ["tbl", "code", "i", "j"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select(*group, F.length("seq").alias("size"), "rep", "own", "seq")
-    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "size", "rep")
+    dealt = dealt.select(*group, F.length("seq").alias("size"), "node", "own", "seq")
+    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "size", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(threshold)
         name, ids, data, side = None, [], [], []
         for b in batches:
             cols = [b.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7)]
-            for t, c, i, j, rep, block_, seq in zip(*cols, strict=True):
+            for t, c, i, j, node, block_, seq in zip(*cols, strict=True):
                 if name != (t, c, i, j):
                     if len(ids) > 1:
                         bucket.run(ids, data, side, name[2] != name[3])
                     name, ids, data, side = (t, c, i, j), [], [], []
-                ids.append(rep)
-                data.append(np.frombuffer(seq, np.uint32))
+                ids.append(node)
+                data.append(np.frombuffer(seq, U64))
                 side.append(block_)
             if len(bucket.a) > 100_000:
                 yield bucket.take()
@@ -314,8 +327,9 @@ def near_duplicates(
         yield bucket.take()
 
     classes = components(scratch.table(dealt.mapInArrow(compare, "a long, b long"), "links"))
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    told = live.select("doc_id", "key", "n").join(named, ["key", "n"]).select("doc_id", "component_id")
+    named = reps.join(classes, "node", "left").select("key", "rep", F.coalesce("component_id", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "class").select("key", "component_id")
+    told = live.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
     nameless = all_.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
     return told.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
