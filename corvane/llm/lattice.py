@@ -11,10 +11,13 @@ blocks of vectors against blocks of probes, so no task holds a whole cell. A pai
 that meets often counts only where it meets first, which both cells' codes tell;
 a task returns its sums of links and a forest of them, not the pairs.
 
-A vector that is null, empty, zero, of another length than ``dim`` or holds a null
-or non-finite component links with nothing and is its own component. Null ids
-come back with no links and a null component, and count for no other. Rows that
-repeat an id are vectors of their own. An empty table gives an empty result.
+A vector that is null, empty, zero or holds a null or non-finite component links
+with nothing and is its own component. Vectors are scaled by their largest entry
+before their length is taken, so the largest and smallest doubles link like any
+others. Vectors of several lengths may stand in a table: only those of one length
+are compared. Null ids come back with no links and a null component, and count for
+no other. Rows that repeat an id are vectors of their own. Of other columns none
+is read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ class Lattice:
 
     def __init__(self, dim: int, tables: int = 8, blocks: int = 2, scale: float = 5.0, probes: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.tables, self.blocks, self.probes, self.dim = tables, blocks, probes, dim
+        self.tables, self.blocks, self.probes = tables, blocks, probes
         side = max(dim, 8 * blocks)
         self.planes = [np.linalg.qr(rng.normal(size=(side, 8 * blocks)))[0][:dim] * scale * np.sqrt(dim / 64) for _ in range(tables)]
         self.near = shortest()
@@ -91,91 +94,101 @@ class Lattice:
         return out
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as doubles and which of them can link."""
+def _blobs(column: pa.Array) -> list[bytes | None]:
+    """Vectors as packed doubles; None for those that link with nothing."""
     column = column.cast(pa.list_(pa.float64()))
-    n = len(column)
-    out = np.zeros((n, dim))
     off = column.offsets.to_numpy()
-    size = off[1:] - off[:-1]
-    good = np.flatnonzero((size == dim) & column.is_valid().to_numpy(zero_copy_only=False))
-    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(good):
-        out[good] = values[off[good][:, None] + np.arange(dim)]
-    with np.errstate(all="ignore"):
-        norm = np.sqrt((out * out).sum(1))
-        ok = np.isfinite(out).all(1) & np.isfinite(norm) & (norm > 0)
-    return out, ok
-
-
-def _unit(blob: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blob), np.float64).reshape(-1, dim)
+    values = column.values.to_numpy(zero_copy_only=False) + 0.0  # one zero; a null is a NaN
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    some = np.concatenate([[0], np.cumsum(values != 0)])
+    good = column.is_valid().to_numpy(zero_copy_only=False) & (bad[off[1:]] == bad[off[:-1]]) & (some[off[1:]] > some[off[:-1]])
+    data = memoryview(np.ascontiguousarray(values)).cast("B")
+    return [bytes(data[8 * x : 8 * y]) if k else None for x, y, k in zip(off[:-1].tolist(), off[1:].tolist(), good.tolist(), strict=True)]
+
+
+def _unit(blob: list[bytes]) -> np.ndarray:
+    """Vectors of one length, none of them zero, at length 1."""
+    x = np.frombuffer(b"".join(blob), np.float64).reshape(len(blob), -1)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def near_duplicates(
     vectors: DataFrame,
-    dim: int = 64,
     threshold: float = 0.95,
     tables: int = 8,
     blocks: int = 2,
     scale: float = 5.0,
     probes: int = 16,
-    block: int = 1024,
+    block: int = 512,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
-    make = lambda: Lattice(dim, tables, blocks, scale, probes)
+
+    def lattices():
+        made: dict[int, Lattice] = {}
+
+        def of(dim: int) -> Lattice:
+            if dim not in made:
+                made.clear()  # groups of one length come together
+                made[dim] = Lattice(dim, tables, blocks, scale, probes)
+            return made[dim]
+
+        return of
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ok = _matrix(b.column(1), dim)
-            x = x + 0.0  # one zero
-            blob = [v.tobytes() if k else None for v, k in zip(x, ok, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blob, pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_blobs(b.column(1)), pa.binary())], ["vec_id", "v"])
 
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     rows = scratch.table(given.mapInArrow(raw, "vec_id long, v binary"), "vectors")
     live = rows.where("vec_id is not null and v is not null")
-    reps = scratch.table(live.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    # A vector's representative is a row of its own: ids may stand for several vectors.
+    reps = live.groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    reps = scratch.table(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = make()
+        lattice = lattices()
+        each = tables * (1 + probes)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                codes = lattice.codes(_unit(part.column(0).to_pylist(), dim))
-                n, each = len(codes), tables * (1 + probes)
-                rep = np.repeat(part.column(1).to_numpy(), each)
-                probe = np.tile(np.arange(1 + probes) > 0, n * tables)
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int8), 1 + probes), n)
-                cols = [pa.array(codes.ravel().astype(np.int64)), pa.array(table), pa.array(rep), pa.array(probe)]
-                yield pa.RecordBatch.from_arrays(cols, ["cell", "tbl", "rep", "probe"])
-
-    cells = reps.select("v", "rep").mapInArrow(hashed, "cell long, tbl byte, rep long, probe boolean")
+            blobs, reps_ = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+            size = np.array([len(v) for v in blobs])
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                for i in range(0, len(at), 2000):
+                    pick = at[i : i + 2000]
+                    codes = lattice(n // 8).codes(_unit(blobs[pick].tolist()))
+                    probe = np.tile(np.arange(1 + probes) > 0, len(pick) * tables)
+                    table = np.tile(np.repeat(np.arange(tables, dtype=np.int8), 1 + probes), len(pick))
+                    dim = np.full(len(pick) * each, n // 8, np.int32)
+                    cols = [dim, codes.ravel().astype(np.int64), table, np.repeat(reps_[pick], each), probe]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["dim", "cell", "tbl", "rep", "probe"])
+
+    cells = reps.select("v", "rep").mapInArrow(hashed, "dim int, cell long, tbl byte, rep long, probe boolean")
     # Only cells that somebody else shares or probes are compared.
     own = F.sum(F.when(~F.col("probe"), 1).otherwise(0))
-    met = cells.groupBy("cell", "tbl").agg(own.alias("members"), F.count("*").alias("askers")).where("members > 0 and askers > 1")
+    met = cells.groupBy("dim", "cell", "tbl").agg(own.alias("members"), F.count("*").alias("askers")).where("members > 0 and askers > 1")
     met = met.select(
-        F.col("cell").alias("c"), F.col("tbl").alias("t"),
-        F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("askers") / (8 * block)).cast("int").alias("ab"),
+        F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("tbl").alias("t"),
+        F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("askers") / (2 * block)).cast("int").alias("ab"),
     )
-    cells = cells.join(met, (F.col("cell") == F.col("c")) & (F.col("tbl") == F.col("t"))).select("cell", "tbl", "rep", "probe", "mb", "ab")
+    cells = cells.join(met, (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")) & (F.col("tbl") == F.col("t")))
+    cells = cells.select("dim", "cell", "tbl", "rep", "probe", "mb", "ab")
     seq = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     at = lambda n, salt: F.array(F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int"))
-    base = cells.where(~F.col("probe")).select("cell", "tbl", "rep", F.lit(0).alias("asks"), F.explode(at("mb", 1)).alias("m"), F.col("ab"))
-    base = base.select("cell", "tbl", "rep", "asks", "m", F.explode(seq("ab")).alias("k"))
-    asks = cells.select("cell", "tbl", "rep", F.lit(1).alias("asks"), F.col("mb"), F.explode(at("ab", 2)).alias("k"))
-    asks = asks.select("cell", "tbl", "rep", "asks", F.explode(seq("mb")).alias("m"), "k")
+    base = cells.where(~F.col("probe")).select("dim", "cell", "tbl", "rep", F.lit(0).alias("asks"), F.explode(at("mb", 1)).alias("m"), F.col("ab"))
+    base = base.select("dim", "cell", "tbl", "rep", "asks", "m", F.explode(seq("ab")).alias("k"))
+    asks = cells.select("dim", "cell", "tbl", "rep", F.lit(1).alias("asks"), F.col("mb"), F.explode(at("ab", 2)).alias("k"))
+    asks = asks.select("dim", "cell", "tbl", "rep", "asks", F.explode(seq("mb")).alias("m"), "k")
     dealt = base.unionByName(asks).join(reps.select("rep", "copies", "v"), "rep")
-    group = ["cell", "tbl", "m", "k"]
+    group = ["dim", "cell", "tbl", "m", "k"]
     dealt = dealt.select(*group, "asks", "rep", "copies", "v")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = make()
+        lattice = lattices()
         sums: dict[int, int] = {}
         a_out: list[np.ndarray] = []
         b_out: list[np.ndarray] = []
@@ -194,13 +207,14 @@ def near_duplicates(
             return (x == y[:, :, :1]).any(2)
 
         def link(t: int, q: tuple, m: tuple) -> None:
+            codes = lattice(q[2].shape[1]).codes
             cos = q[2] @ m[2].T
             i, j = np.nonzero(cos >= threshold)
             keep = q[0][i] != m[0][j]
             i, j = i[keep], j[keep]
             for s in range(0, len(i), 4096):
                 x, y = i[s : s + 4096], j[s : s + 4096]
-                qc, mc = lattice_codes(q, x), lattice_codes(m, y)
+                qc, mc = codes_of(codes, q, x), codes_of(codes, m, y)
                 there, back = meets(qc, mc), meets(mc, qc)
                 first = (there | back).argmax(1) == t
                 first &= (q[0][x] < m[0][y]) | ~back[:, t]
@@ -213,23 +227,23 @@ def near_duplicates(
                     a, b = forest(q[0][x], m[0][y])
                     a_out.append(a), b_out.append(b)
 
-        def lattice_codes(side: tuple, pick: np.ndarray) -> np.ndarray:
+        def codes_of(codes, side: tuple, pick: np.ndarray) -> np.ndarray:
             u, at_u = np.unique(pick, return_inverse=True)
-            return lattice.codes(side[2][u])[at_u]
+            return codes(side[2][u])[at_u]
 
         for b in batches:
-            keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(5)], 1)
-            rep, copies = b.column(5).to_numpy(), b.column(6).to_numpy()
+            keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)], 1)
+            rep, copies = b.column(6).to_numpy(), b.column(7).to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
-                unit = _unit(b.column(7).slice(s, e - s).to_pylist(), dim)
+                unit = _unit(b.column(8).slice(s, e - s).to_pylist())
                 side = (rep[s:e], copies[s:e], unit)
-                name = tuple(keys[s, :4])
-                if not keys[s, 4]:
+                name = tuple(keys[s, :5])
+                if not keys[s, 5]:
                     held = (name, *(np.concatenate([o, n]) for o, n in zip(held[1:], side, strict=True))) if held and held[0] == name else (name, *side)
                 elif held and held[0] == name:
                     for r in range(0, e - s, block):
-                        link(int(name[1]), tuple(x[r : r + block] for x in side), held[1:])
+                        link(int(name[2]), tuple(x[r : r + block] for x in side), held[1:])
             if len(sums) > 100_000 or sum(map(len, a_out)) > 1_000_000:
                 yield flush()
         yield flush()
@@ -238,7 +252,9 @@ def near_duplicates(
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     told = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    told = told.select("v", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("class"))
+    least = told.groupBy("class").agg(F.min("low").alias("component_id"))
+    told = told.join(least, "class").select("v", "n_links", "component_id")
     linked = live.join(told, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("vec_id is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

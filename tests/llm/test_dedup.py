@@ -146,3 +146,66 @@ def test_order_minhash_as_registered(spark):
         rows.append((i, " ".join(t), ""))
     found = ordermin.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % 3 for i in range(120)}
+
+
+def test_order_minhash_keeps_regular_texts_apart(spark):
+    w = "a"
+    for _ in range(11):
+        w += w.translate({97: "b", 98: "a"})
+    texts = [" ".join(w), " ".join(w.translate({97: "b", 98: "a"})), w, w.translate({97: "b", 98: "a"})]
+    rows = [(i, t, "") for i, t in enumerate([*texts, *texts])]
+    found = {r["doc_id"]: r["component_id"] for r in ordermin.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    ids = [ordermin.kmers(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for t in texts[:2]]
+    assert found == {i: (0 if i % 4 == 1 and ordermin.linked(*ids, 0.8) else i % 4) for i in range(8)}
+    assert len({tuple(ordermin.keys(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))) for t in texts}) == 4
+
+
+def test_rarest_misses_no_pair():
+    """Every pair at the threshold is among the candidates, whatever the bucket."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        base = [rng.choice(400, rng.integers(5, 60), replace=False) for _ in range(4)]
+        seqs = []
+        for _ in range(30):
+            x = base[rng.integers(4)].copy()
+            x[rng.integers(0, len(x), rng.integers(0, 4))] = rng.integers(1000, 1100)
+            seqs.append(np.unique(x).astype(np.uint64))
+        seqs.sort(key=len)
+        rarest = ordermin.Rarest(seqs, 0.8)
+        for y in range(len(seqs)):
+            found = set(rarest.of(0, y).tolist())
+            for x in range(y):
+                both = len(np.intersect1d(seqs[x], seqs[y]))
+                assert both / (len(seqs[x]) + len(seqs[y]) - both) < 0.8 or x in found
+
+
+def test_order_minhash_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(3))
+    rows = [(5, a, ""), (5, b, ""), (5, a, ""), (2, b, ""), (9, c, ""), (9, c, "")]
+    got = sorted(map(tuple, ordermin.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()))
+    assert got == [(2, 2, True), (5, 2, False), (5, 5, True), (5, 5, True), (9, 9, True), (9, 9, True)]
+
+
+def test_lattice_of_other_lengths_and_sizes(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim, first in ((128, 0), (3, 100), (64, 200)):
+        base = rng.normal(size=(6, dim))
+        near = base + 0.02 * rng.normal(size=base.shape)
+        rows += [(first + i, [float(v) for v in x], "") for i, x in enumerate(np.concatenate([base, near]))]
+    rows += [(300, [1e200] * 8, ""), (301, [1e-200] * 8, ""), (302, [5e-324] * 8, ""), (303, [-1e308] * 8, ""), (304, [0.0] * 8, ""), (305, [1.0, None], ""), (306, [], "")]
+    rows += [(100, [1.0, 0.0, 0.0], "the id again")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_duplicates(df, block=4).collect())
+    want = []
+    for i, x, _ in rows:
+        links = []
+        for j, y, _ in rows:
+            if y is not x and len(x) == len(y) and x and None not in x + y and any(x) and any(y):
+                a, b = (np.array(v) / np.abs(v).max() for v in (x, y))
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.95:
+                    links.append(j)
+        want.append((i, len(links)))
+    assert [(i, n) for i, n, _ in got] == sorted(want)
+    assert {c for i, _, c in got if i in (300, 301, 302)} == {300} and {c for i, _, c in got if i >= 303} == {303, 304, 305, 306}
