@@ -3,10 +3,13 @@
 The model is an interpolated modified Kneser-Ney model over UTF-8 bytes, one for
 each language. Spark counts the top order over all texts; the lower orders'
 continuation counts, the discounts from counts of counts, and the probabilities
-are Spark aggregations and joins. The finished model is read as sorted arrays of
-64-bit hashes with log probabilities, in blocks of at most ``block_rows``
-entries: a block is the only thing broadcast, and a model of more blocks takes
-as many scans, whose sums are added.
+are Spark aggregations and joins. The finished model has every order's n-grams with their log
+probabilities and every context with its back-off weight, so that an n-gram that
+was never counted scores by interpolation like any other. It is read as sorted
+arrays of 64-bit hashes, in blocks of about ``block_rows`` entries: a block is the
+only thing broadcast, and a model of more blocks takes as many scans, whose sums
+are added. A block has what the bytes after some two bytes of a language need,
+which grows with the model; orders 1 and 2, bounded by the bytes, are in each.
 
 A document's perplexity is per byte. Each language's band is its median log
 perplexity less ``below`` and plus ``above`` robust deviations (1.4826 times the
@@ -23,16 +26,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import scratch
 from corvane.llm.textscan import BYTE_HASH, SPACE, U64, chunks, mix, per_row, powers, prefix_hash, repeats, runs, span_hash, words
 
 ORDER = 5
+CONTEXT = 16
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -143,8 +149,9 @@ def _low(g: Column, order: int) -> Column:
     return F.shiftleft(_lang(g, order), 8 * (order - 1)).bitwiseOR(g.bitwiseAND(keep))
 
 
-def train(counts: DataFrame) -> list[DataFrame]:
-    """Per order from 1: (g, logp, c), every seen n-gram's log probability; the last is the top order.
+def train(counts: DataFrame) -> DataFrame:
+    """(kind, g, v): the log probability of every n-gram g seen (kind n), and the log
+    back-off weight of every context g of n - 1 bytes (kind CONTEXT + n).
 
     Modified Kneser-Ney: three discounts an order and language, interpolated down
     to a uniform distribution over bytes.
@@ -153,8 +160,9 @@ def train(counts: DataFrame) -> list[DataFrame]:
     for n in range(ORDER - 1, 0, -1):
         table[n] = scratch.table(table[n + 1].groupBy(_low(F.col("g"), n + 1).alias("g")).agg(F.count("*").alias("c")), f"order{n}")
     lower: DataFrame | None = None
-    out = []
+    out: list[DataFrame] = []
     c = F.col("c")
+    row = lambda kind, g, v: (F.lit(kind).cast("byte").alias("kind"), F.col(g).alias("g"), F.log(v).cast("float").alias("v"))
     for n in range(1, ORDER + 1):
         t = table[n].withColumn("l", _lang(F.col("g"), n))
         of = [F.sum(F.when(c == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -167,30 +175,49 @@ def train(counts: DataFrame) -> list[DataFrame]:
         d = d.select("l", *ds)
         cut = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(d, "l").withColumn("cut", cut).withColumn("x", F.shiftright("g", 8))
-        x = t.groupBy("x").agg(F.sum("c").alias("s"), F.sum("cut").alias("held"))
+        x = scratch.table(t.groupBy("x").agg(F.sum("c").alias("s"), F.sum("cut").alias("held")), f"contexts{n}")
         t = t.join(x, "x").select("g", "c", "s", "held", "cut", _low(F.col("g"), n).alias("low"))
         if lower is None:
             p = (c - F.col("cut")) / F.col("s") + F.col("held") / F.col("s") / 256
         else:
             t = t.join(lower.select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
             p = (c - F.col("cut")) / F.col("s") + F.col("held") / F.col("s") * F.col("q")
-        lower = scratch.table(t.select("g", "c", p.alias("p")), f"model{n}")
-        out.append(lower.select("g", F.log("p").alias("logp"), "c"))
-    return out
+        lower = scratch.table(t.select("g", p.alias("p")), f"model{n}")
+        out += [lower.select(*row(n, "g", F.col("p"))), x.select(*row(CONTEXT + n, "x", F.col("held") / F.col("s")))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def block_of(key, blocks: int):
+    """The block of a language and two bytes, put together as a number or a column of numbers."""
+    return key % 1_000_003 % blocks
+
+
+def blocked(model: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The entries that block ``k`` needs."""
+    if blocks == 1:
+        return model
+    g, kind = F.col("g"), F.col("kind")
+    own = F.lit(None).cast("long")
+    for n in range(3, ORDER + 1):  # the two bytes before an n-gram's last, and a context's last two
+        own = F.when(kind == n, _lang(g, n) * 65536 + F.shiftright(g, 8).bitwiseAND(F.lit(65535))).otherwise(own)
+        own = F.when(kind == CONTEXT + n, _lang(g, n - 1) * 65536 + g.bitwiseAND(F.lit(65535))).otherwise(own)
+    return model.where(F.coalesce(block_of(own, blocks) == k, F.lit(True)))
+
+
+def hashed(kind: np.ndarray | int, g: np.ndarray) -> np.ndarray:
+    return mix(mix(g.astype(U64)) + np.asarray(kind).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 class HashArrays:
     """Sorted hashes with values, found through an index of their leading bits."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 20):
-        h = mix(keys.astype(U64))
+    def __init__(self, h: np.ndarray, values: np.ndarray, bits: int = 20):
         order = np.argsort(h)
         self.h, self.v, self.shift = np.append(h[order], U64(2**64 - 1)), np.append(values[order], 0).astype(np.float32), U64(64 - bits)
         self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=U64) << self.shift)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, 0 where missing, and which are there."""
-        h = mix(keys.astype(U64))
         at = self.first[(h >> self.shift).astype(np.int64)]
         rest = np.flatnonzero(self.h[at] < h)
         while len(rest):
@@ -199,65 +226,78 @@ class HashArrays:
         hit = self.h[at] == h
         return np.where(hit, self.v[at], np.float32(0)), hit
 
-
-def log_likelihood(docs: DataFrame, model: DataFrame, block_rows: int = 4_000_000, floor: float = -12.0, with_counts: bool = True) -> DataFrame:
-    """(doc_id, lang, base counts, n_bytes, logp) of (doc_id, lang, text) under the top order of a model.
-
-    A byte whose n-gram the model has not seen, in texts it was not counted on,
-    scores ``floor``.
-    """
+    def logs(self, g: np.ndarray) -> np.ndarray:
+        """Log probabilities of top-order n-grams: seen ones as stored, others by backing off."""
+        out = np.zeros(len(g), np.float32)
+        rest, lang = np.arange(len(g)), g >> (8 * ORDER)
+        for n in range(ORDER, 0, -1):
+            key = (lang[rest] << (8 * n)) | (g[rest] & ((1 << (8 * n)) - 1))
+            value, hit = self.find(hashed(n, key))
+            out[rest] += value
+            rest, key = rest[~hit], key[~hit]
+            if not len(rest):
+                return out
+            out[rest] += self.find(hashed(CONTEXT + n, key >> 8))[0]
+        out[rest] -= np.float32(np.log(256))
+        return out
+
+
+def log_likelihood(docs: DataFrame, model: DataFrame, block_rows: int = 4_000_000) -> DataFrame:
+    """(doc_id, lang, ..., base counts, n_bytes, logp) of (doc_id, lang, text, ...) under a model of ``train``; columns after text stay as they are."""
     spark = docs.sparkSession
+    model = scratch.table(model, "model")
     blocks = max(1, -(-model.count() // block_rows))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    kept = ["rid", "doc_id", "lang", *names, "n_bytes"]
-    kinds = "rid long, doc_id long, lang string, " + ", ".join(f"{x} long" for x in names) + ", n_bytes long, logp double, seen long"
+    kept = [c for c in docs.columns if c != "text"]
+    given = docs.select(F.col("text"), *kept)
+    if blocks > 1:  # the sums of several scans need rows that keep their numbers
+        given = scratch.table(given.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
-    def scan(arrays, first: bool):
+    def scan(arrays, k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                lang = language_ids(b.column(2))
-                for i, j, buf, off in chunks(b.column(3)):
-                    value, hit = arrays.value.find(grams(buf, off, lang[i:j]))
+                lang = language_ids(b.column("lang"))
+                for i, j, buf, off in chunks(b.column(0)):
+                    g = grams(buf, off, lang[i:j])
+                    if blocks == 1:
+                        value = arrays.value.logs(g)
+                    else:
+                        value = np.zeros(len(g), np.float32)
+                        own = np.flatnonzero(block_of((g >> (8 * ORDER)) * 65536 + ((g >> 8) & 65535), blocks) == k)
+                        value[own] = arrays.value.logs(g[own])
                     cum = np.concatenate([[0.0], np.cumsum(value.astype(np.float64))])
-                    base = base_counts(buf, off) if first else {x: np.zeros(j - i, np.int64) for x in names}
-                    cols = [b.column(k).slice(i, j - i) for k in range(3)]
-                    cols += [pa.array(base[x]) for x in names]
-                    cols += [pa.array(off[1:] - off[:-1]), pa.array(cum[off[1:]] - cum[off[:-1]]), pa.array(per_row(hit, off))]
-                    yield pa.RecordBatch.from_arrays(cols, [*kept, "logp", "seen"])
+                    cols = {c: b.column(c).slice(i, j - i) for c in (kept if blocks == 1 else ["rid"])}
+                    if k == 0:
+                        cols |= {x: pa.array(v) for x, v in base_counts(buf, off).items()}
+                        cols["n_bytes"] = pa.array(off[1:] - off[:-1])
+                    cols["logp"] = pa.array(cum[off[1:]] - cum[off[:-1]])
+                    yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
         return run
 
-    given = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "lang", "text")
     total = None
     for k in range(blocks):
-        part = model if blocks == 1 else model.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k)
-        got = part.select("g", F.col("logp").cast("float")).toArrow()  # at most about block_rows rows
-        arrays = spark.sparkContext.broadcast(HashArrays(got.column(0).to_numpy(), got.column(1).to_numpy()))
-        scored = scratch.table(given.mapInArrow(scan(arrays, k == 0), kinds), "scores")
+        got = blocked(model, k, blocks).toArrow()  # about block_rows rows
+        h = hashed(got.column("kind").to_numpy(), got.column("g").to_numpy())
+        arrays = spark.sparkContext.broadcast(HashArrays(h, got.column("v").to_numpy()))
+        kinds = T.StructType([given.schema[c] for c in (kept if blocks == 1 else ["rid"])])
+        for x in [*names, "n_bytes"] if k == 0 else []:
+            kinds = kinds.add(x, T.LongType())
+        scored = scratch.table(given.mapInArrow(scan(arrays, k), kinds.add("logp", T.DoubleType())), "scores")
         arrays.unpersist()
-        total = scored if total is None else total.unionByName(scored)
+        total = scored if total is None else total.unionByName(scored, allowMissingColumns=True)
     if blocks > 1:
-        sums = [F.sum(x).alias(x) for x in (*names, "logp", "seen")]
-        total = total.groupBy("rid", "doc_id", "lang", "n_bytes").agg(*sums)
-    return total.withColumn("logp", F.col("logp") + (F.col("n_bytes") - F.col("seen")) * floor).drop("seen", "rid")
-
-
-def judge(
-    docs: DataFrame,
-    below: float = 6.0,
-    above: float = 4.0,
-    least_spread: float = 0.02,
-    block_rows: int = 4_000_000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
+        sums = [F.sum(x).alias(x) for x in (*names, "n_bytes", "logp")]
+        total = given.drop("text").join(total.groupBy("rid").agg(*sums), "rid").drop("rid")
+    return total
+
+
+def verdicts(
+    docs: DataFrame, below: float = 6.0, above: float = 4.0, least_spread: float = 0.02, block_rows: int = 4_000_000
 ) -> DataFrame:
-    """Base counts, log perplexity, its band and the verdict for every document."""
-    given = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
-    counts = scratch.table(count_grams(given.select("lang", "text")), "counts")
-    scored = log_likelihood(given, train(counts)[-1], block_rows)
+    """(doc_id, lang, text, ...) without the text, with base counts, log perplexity, its band and the verdict."""
+    counts = scratch.table(count_grams(docs.select("lang", "text")), "counts")
+    scored = log_likelihood(docs, train(counts), block_rows)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # Rounded, so that the exact percentiles keep a bounded number of values.
     entropy = F.when(F.col("n_bytes") > 0, F.round(-F.col("logp") / F.col("n_bytes"), 3))
@@ -271,8 +311,21 @@ def judge(
     out = scored.join(band, F.col("lang").eqNullSafe(F.col("l")), "left")
     out = out.withColumn("low", F.col("mid") - below * F.col("spread")).withColumn("high", F.col("mid") + above * F.col("spread"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"),
+    return out.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **more) -> DataFrame:
+    """Base counts, perplexity, its band and the verdict for every document; ``more`` goes to ``verdicts``."""
+    given = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+    )
+    return verdicts(given, **more).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.exp("log_ppl").alias("perplexity"), F.exp("low").alias("low_perplexity"), F.exp("high").alias("high_perplexity"),
     )
+
+
+def filtered(docs: DataFrame, **more) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept; every row by its own verdict, without a join by id."""
+    given = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    return verdicts(given, **more).where("kept").select("row.*")
