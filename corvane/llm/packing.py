@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces into sequences, with certified bin counts.
 
 Documents become pieces of at most ``capacity`` tokens; only longer documents are
-cut. Pieces are dealt by hash into partitions of about ``per_part`` pieces, each
+cut. Each piece gets a number of its own, by which they are dealt, however many rows
+repeat an id or a text, into partitions of about ``per_part`` pieces, each
 packed by best-fit decreasing. Dual feasible functions bound each partition's
 sequence count from below: a partition that meets its bound is certified and
 gives up only its loose sequences, one that doesn't gives up every sequence with
@@ -9,8 +10,13 @@ a gap. Their documents are dealt anew among partitions and packed again, until
 one partition holds what is exchanged or the whole count meets the bound of all
 pieces together.
 
+Of each sequence its partition, the partition's sequences and their lower bound
+are told too (``part``, ``bins``, ``bound``): where bins = bound no packing of
+that partition is better.
+
 A null text counts as empty: its one piece is the end token. Ids may be null or
-repeat; every row is packed. An empty table gives an empty result.
+repeat; every row is packed. Of other columns none is read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -118,17 +124,18 @@ def lower_bound(length: np.ndarray | None, capacity: int, histogram: np.ndarray
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, per_part: int = 50_000, loose: int = 64, rounds: int = 8) -> DataFrame:
-    """``pieces`` with sequence_id and offset, as a scratch table.
+    """``pieces`` with sequence_id, offset and their partition's certificate, as a scratch table.
 
     loose: a certified partition gives up sequences with a gap over capacity // loose.
     """
-    spark = pieces.sparkSession
     tag = "part int, bins long, bound long, sequence_id long, offset long, open boolean"
-    schema = f"{PIECE}, {tag}"
+    schema = f"{PIECE}, number long, {tag}"
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    pieces = scratch.table(pieces.select(*names, F.monotonically_increasing_id().alias("number")), "pieces")
 
     def packed(turn: int, last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "piece", "start"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values("number", ignore_index=True)
             length = pdf["length"].to_numpy()
             bins, offs = best_fit_decreasing(length, capacity)
             n = int(bins.max(initial=-1)) + 1
@@ -145,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_part: int = 50_000, loose:
         n = left.count()
         parts = max(1, -(-n // per_part))
         last = parts == 1 or turn == rounds
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.lit(turn)), F.lit(parts)).cast("int"))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(parts)).cast("int"))
         out = scratch.table(dealt.groupBy("part").applyInPandas(packed(turn, last), schema), "pack")
         kept = out.where("not open")
         done = kept if done is None else done.unionByName(kept)
@@ -159,9 +166,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_part: int = 50_000, loose:
         if out.select(F.countDistinct("sequence_id")).first()[0] + _bins(done, out) <= least:
             done = done.unionByName(out.where("open"))
             break
-        left = out.where("open").select(*[c.split()[0] for c in PIECE.split(", ")])
-    assert done is not None and spark is not None
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "bins", "bound")
+        left = out.where("open").select(*names, "number")
+    assert done is not None
+    return done.select(*names, "sequence_id", "offset", "part", "bins", "bound")
 
 
 def _bins(done: DataFrame, out: DataFrame) -> int:
@@ -172,6 +179,5 @@ def _bins(done: DataFrame, out: DataFrame) -> int:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096, per_part: int = 50_000) -> DataFrame:
-    """Every piece of ``docs`` with its sequence and place."""
-    found = scratch.table(pieces(docs, path, capacity), "pieces")
-    return pack(found, capacity, per_part).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Every piece of ``docs`` with its sequence, its place and the certificate of its partition."""
+    return pack(pieces(docs, path, capacity), capacity, per_part)
