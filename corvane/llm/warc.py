@@ -3,7 +3,11 @@
 A bundle is a run of Zstandard frames, each holding up to ``frame_bytes`` of whole
 WARC records and decodable alone, then a skippable frame with a seek table: per
 frame its compressed and raw sizes, per record its identifier, frame and offset
-in the frame. A reader looks a record up in the table and decodes one frame.
+in the frame. A reader maps identifiers to places and decodes one frame a record.
+Records are WARC/1.1: responses hold an HTTP head and the payload, revisits the
+head alone; every record has an id of its own, and all bear ``date``, since the
+pages have none. A page's identifier is its id in decimal; pages that share one
+are all found under it.
 
 Of records whose payloads are equal and at least ``least`` bytes long, that with
 the smallest id is a response and the others revisit it; shorter ones are all
@@ -21,10 +25,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,32 +42,41 @@ FOOTER = 0x57A2C5EE
 DIGEST_FIELD = "WARC-Payload-Digest"
 
 
-def record(page: int | None, url: str, payload: bytes, size: int, digest: str, refers: int | None, revisit: bool) -> bytes:
-    """A WARC/1.1 record; a revisit has no block."""
+def record(page: int | None, number: str, url: str, payload: bytes, size: int, digest: str, refers: tuple[int | None, str] | None, date: str) -> bytes:
+    """A WARC/1.1 record, a revisit where it ``refers`` to a response's page and URL.
+
+    number: tells the record from all others of the archive.
+    """
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     fields = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Type: {'response' if refers is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{number} {page} {digest}'.encode()).digest()[:16], version=4)}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"{DIGEST_FIELD}: sha256:{digest}",
         f"X-Payload-Length: {size}",
     ]
-    if revisit:
-        fields.append(f"WARC-Refers-To: <urn:page:{'' if refers is None else refers}>")
+    if page is not None:
+        fields.append(f"X-Page-ID: {page}")
+    if refers is not None:
+        fields += [f"WARC-Refers-To-Target-URI: {refers[1]}", f"WARC-Refers-To-Date: {date}"]
         fields.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    block = b"" if revisit else payload
-    fields.append(f"Content-Length: {len(block)}")
+        if refers[0] is not None:
+            fields.append(f"X-Refers-To-Page: {refers[0]}")
+    block = head + (payload if refers is None else b"")
+    fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Fields and block of the record at an offset, and the next record's offset."""
+    """Fields and payload of the record at an offset, and the next record's offset."""
     end = data.index(b"\r\n\r\n", at)
     lines = data[at:end].decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
     start = end + 4
     stop = start + int(fields["Content-Length"])
-    return fields, data[start:stop], stop + 4
+    return fields, data[data.index(b"\r\n\r\n", start, stop) + 4 : stop], stop + 4
 
 
 class Bundle:
@@ -121,15 +136,18 @@ class Reader:
             n, f, o = struct.unpack_from("<HII", data, at)
             self.index.append((data[at + 10 : at + 10 + n].decode(), f, o))
             at += 10 + n
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for n, f, o in self.index:
+            self.places.setdefault(n, []).append((f, o))
         self.unpacker = zstandard.ZstdDecompressor()
 
     def frame(self, k: int) -> bytes:
         at, packed, raw = self.frames[k]
         return self.unpacker.decompress(self.data[at : at + packed], max_output_size=raw)
 
-    def get(self, name: str) -> tuple[dict[str, str], bytes]:
-        f, o = next((f, o) for n, f, o in self.index if n == name)
-        return parse(self.frame(f), o)[:2]
+    def get(self, name: str) -> list[tuple[dict[str, str], bytes]]:
+        """The records of an identifier, of which only their frames are decoded."""
+        return [parse(self.frame(f), o)[:2] for f, o in self.places.get(name, [])]
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         """Every record by its place in the seek table, each frame decoded once."""
@@ -140,7 +158,7 @@ class Reader:
             yield parse(data, o)[:2]
 
 
-def write(pages: DataFrame, least: int = 100, bundle_bytes: int = 16 << 20, frame_bytes: int = 256 << 10) -> DataFrame:
+def write(pages: DataFrame, least: int = 100, bundle_bytes: int = 16 << 20, frame_bytes: int = 256 << 10, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Bundles (bundle string, content binary) of (page_id, url, html) rows, as a scratch table."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     given = pages.select(
@@ -155,18 +173,19 @@ def write(pages: DataFrame, least: int = 100, bundle_bytes: int = 16 << 20, fram
     first = (
         given.where(F.col("size") >= least)
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id")).alias("f"), F.count("*").alias("copies"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("f"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .select(F.col("digest").alias("d"), F.col("f.page_id").alias("refers"))
+        .select(F.col("digest").alias("d"), F.col("f.page_id").alias("refers"), F.col("f.url").alias("there"))
     )
     marked = given.join(first, (F.col("digest") == F.col("d")) & (F.col("size") >= least), "left")
     repeat = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers"))
     rows = marked.select(
-        "page_id", "url", F.when(~repeat, F.col("body")).otherwise("").alias("body"), "size", "digest", "refers", repeat.alias("revisit")
+        "page_id", "url", F.when(~repeat, F.col("body")).otherwise("").alias("body"), "size", "digest", "refers", repeat.alias("revisit"), "there"
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, names = Bundle(frame_bytes), hashlib.sha256()
+        bundle, number, part = Bundle(frame_bytes), 0, TaskContext.get().partitionId()
+        line = lambda x: x.replace("\r", " ").replace("\n", " ")
 
         def done() -> pa.RecordBatch:
             data = bundle.finish()
@@ -174,11 +193,11 @@ def write(pages: DataFrame, least: int = 100, bundle_bytes: int = 16 << 20, fram
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["bundle", "content"])
 
         for b in batches:
-            cols = [b.column(k) for k in range(7)]
+            cols = [b.column(k) for k in range(8)]
             for i in range(b.num_rows):
-                page, url, text, size, digest, refers, revisit = (c[i].as_py() for c in cols)
-                url = url.replace("\r", " ").replace("\n", " ")
-                data = record(page, url, text.encode(), size, digest, refers, revisit)
+                page, url, text, size, digest, refers, revisit, there = (c[i].as_py() for c in cols)
+                data = record(page, f"{part}-{number}", line(url), text.encode(), size, digest, (refers, line(there)) if revisit else None, date)
+                number += 1
                 bundle.add("" if page is None else str(page), data)
                 if bundle.size >= bundle_bytes:
                     yield done()
@@ -192,9 +211,8 @@ def write(pages: DataFrame, least: int = 100, bundle_bytes: int = 16 << 20, fram
 def read(bundles: DataFrame) -> DataFrame:
     """Rows of every record, from the archives alone; a response's digest is taken from its payload."""
 
-    def page(name: str) -> int | None:
-        number = name.removeprefix("<urn:page:").removesuffix(">")
-        return int(number) if number else None
+    def page(name: str | None) -> int | None:
+        return None if name is None else int(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,8 +225,8 @@ def read(bundles: DataFrame) -> DataFrame:
                     if digest != said:
                         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
                     size = int(fields["X-Payload-Length"]) if revisit else len(block)
-                    refers = page(fields["WARC-Refers-To"]) if revisit else None
-                    rows.append((page(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], refers, fields["WARC-Target-URI"], block if not revisit else None))
+                    refers = page(fields.get("X-Refers-To-Page")) if revisit else None
+                    rows.append((page(fields.get("X-Page-ID")), size, digest, fields["WARC-Type"], refers, fields["WARC-Target-URI"], block if not revisit else None))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]

@@ -50,22 +50,23 @@ def brute_model(texts):
         y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         return [max(0.05, min(k - 0.05, k - (k + 1) * y * (n[k + 1] / n[k] if n[k] else 0.5))) for k in (1, 2, 3)]
 
-    prob = {b"": 1 / 256}
+    prob, weight = {b"": 1 / 256}, {}
     for n in range(1, order + 1):
         d = discounts(counts[n])
         s, held = Counter(), Counter()
         for g, c in counts[n].items():
             s[g[:-1]] += c
             held[g[:-1]] += d[min(c, 3) - 1]
+        weight |= {x: held[x] / s[x] for x in s}
         prob |= {g: (c - d[min(c, 3) - 1]) / s[g[:-1]] + held[g[:-1]] / s[g[:-1]] * prob[g[1:]] for g, c in counts[n].items()}
-    return prob
+    return prob, weight
 
 
 @pytest.mark.parametrize("block_rows", [4_000_000, 150])
 def test_perplexity_is_modified_kneser_ney(spark, block_rows):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["la", "mer", "été", "sol", "vent"]) for _ in range(rng.randint(11, 40))) for _ in range(30)]
-    p = brute_model(texts)
+    p, _ = brute_model(texts)
     df = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     for r in perplexity.judge(df, block_rows=block_rows).collect():
         b = bytes(4) + texts[r["doc_id"]].encode()
@@ -73,6 +74,29 @@ def test_perplexity_is_modified_kneser_ney(spark, block_rows):
         assert abs(np.log(r["perplexity"]) - want) < 2e-3
 
 
+@pytest.mark.parametrize("block_rows", [4_000_000, 150])
+def test_unseen_ngrams_are_interpolated(spark, block_rows):
+    rng = random.Random(8)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(11, 30)))
+    texts = [say(["la", "mer", "été", "sol", "vent"]) for _ in range(20)]
+    p, contexts = brute_model(texts)
+    df = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = perplexity.train(perplexity.count_grams(df.select("lang", "text")))
+
+    def prob(g):
+        return p[g] if g in p else contexts.get(g[:-1], 1) * prob(g[1:])
+
+    other = [say(["lune", "mer", "x7", "solo"]) for _ in range(10)] + ["\x07\x08 zzz", ""]
+    held = spark.createDataFrame([(i, t, "fr") for i, t in enumerate(other)] + [(99, "abc", "none such")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["logp"] for r in perplexity.log_likelihood(held, model, block_rows).collect()}
+    for i, t in enumerate(other):
+        b = bytes(4) + t.encode()
+        assert abs(got[i] - sum(np.log(prob(b[k - 4 : k + 1])) for k in range(4, len(b)))) < 1e-3
+    assert abs(got[99] + 3 * np.log(256)) < 1e-4
+    for context in (b"mer ", b"er l", b"qqqq", b"\0\0\0l", b"zer "):
+        assert abs(sum(prob(context + bytes([k])) for k in range(256)) - 1) < 1e-9
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score))
     return (rank[y == 1].mean() - (y == 1).sum() / 2 + 0.5) / max(1, (y == 0).sum())
@@ -121,12 +145,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert got[8]["record_type"] == got[9]["record_type"] == "response"
     bundles = warc.write(df, bundle_bytes=1, frame_bytes=100)
     out = warc.export(bundles, f"file://{tmp_path}").collect()
-    names = set()
+    names, ids = set(), []
     for r in out:
         reader = warc.Reader((tmp_path / r["bundle"]).read_bytes())
         for name, frame, offset in reader.index:
             fields, _, _ = warc.parse(reader.frame(frame), offset)
-            assert fields["WARC-Record-ID"] == f"<urn:page:{name}>" and reader.get(name)[0] == fields
+            assert fields.get("X-Page-ID", "") == name and fields in [f for f, _ in reader.get(name)]
+            assert fields["WARC-Date"] and fields["Content-Type"] == "application/http; msgtype=response"
+            ids.append(fields["WARC-Record-ID"])
             names.add(name)
     assert names == {"", "1", "2", "5", "7", "8", "9"}
+    assert len(ids) == len(set(ids)) == len(rows)
+    one = warc.Bundle()
+    for k in range(3):
+        one.add("7", warc.record(7, str(k), "u", b"x" * k, k, "d", None, "1970-01-01T00:00:00Z"))
+    reader = warc.Reader(one.finish())
+    assert [p for _, p in reader.get("7")] == [b"", b"x", b"xx"] and reader.get("none") == []
     assert warc.digest(df.where("false")).count() == 0
