@@ -13,13 +13,15 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, by: int, out: int, most: int = 6000, most_bytes: int = 40_000) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, by: int, out: int, most: int = 6000, most_bytes: int = 64 << 20) -> pd.DataFrame:
     """(doc_id, text, lang, y) of at most ``most`` labelled documents, half of each label at most.
 
     Rows whose remainder is ``out`` are never taken. Of the rest those of least
-    hash of the id are, so the sample is the same whatever the partitioning.
-    Texts over ``most_bytes`` are left out of the sample only. An id that is
-    labelled more than once counts as its largest label; null labels don't count.
+    hash of the id are, so the sample is the same whatever the partitioning. Whole
+    texts are taken, in order of the hash, as long as a label's are ``most_bytes``
+    / 2 together; its first is always taken. An id that is labelled more than once
+    counts as its largest label; null labels don't count. Of documents that share
+    an id the least text is taken.
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(remainder(F.col("doc_id"), by) != out)
     y = y.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -27,9 +29,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, by: int, out: int, mo
     picked = [y.where(F.col("y") == k).orderBy(*order).limit(most // 2) for k in (0, 1)]
     few = picked[0].unionByName(picked[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     found = texts.join(F.broadcast(few), F.col("doc_id") == F.col("id"))  # at most ``most`` rows of two numbers
-    pdf = found.select("doc_id", "text", "lang", "y").toPandas()
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")
+    sizes = found.groupBy("id", "y").agg(size).withColumn("h", F.xxhash64("id")).toPandas()  # at most ``most`` rows of numbers
+    sizes = sizes.sort_values(["y", "h", "id"], ignore_index=True)
+    own = sizes.groupby("y")["size"]
+    sizes = sizes[(own.cumsum() <= most_bytes // 2) | (own.cumcount() == 0)]
+    few = docs.sparkSession.createDataFrame(sizes[["id", "y"]].astype("int64"), "id long, y long")
+    found = texts.join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("d"))
+    pdf = found.select("doc_id", "d.text", "d.lang", "y").toPandas()
     pdf["text"] = pdf["text"].fillna("")
     return pdf.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
 

@@ -17,13 +17,23 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset in a local session, as in tests.
+
+    This application's tables there are deleted when the driver ends.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
         path = _own[0]
-    return f"{path}/corvane-{spark.sparkContext.applicationId}"
+    folder = f"{path}/corvane-{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.append(folder)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
 
 
 def table(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
