@@ -21,9 +21,11 @@ input. The work is dealt by content:
 Whole copies of an earlier document are told by digest and take no part.
 
 A null text counts as empty. Texts under ``width`` bytes lose nothing. A null id
-keeps its text and takes nothing from others. Rows that repeat an id are one
-document's: they don't match each other, and rows that repeat an id and a text get
-the same result. An empty table gives an empty result.
+keeps its text and takes nothing from others. Rows that repeat an id and a text are
+one document and get the same result; an id that stands for several texts of
+``width`` bytes or more keeps them whole and takes nothing from others. Every row
+comes back once. Of other columns none is read; ``row`` hands them on. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import scratch
 from corvane.llm.induced import Sorter
@@ -351,20 +354,24 @@ def _enough(snippets: DataFrame, shards: int, shard_bytes: int) -> int:
     return max(shards, -(-total // shard_bytes))
 
 
-def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut."""
+def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut.
+
+    row: whether a struct ``row`` of all columns of ``docs`` comes too.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 4 * parts
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    whole_row = [F.struct(*docs.columns).alias("row")] if row else []
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *whole_row)
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    long = given.where((F.octet_length("text") >= width) & F.col("doc_id").isNotNull())
+    long = given.where((F.octet_length("text") >= width) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     marks = scratch.table(long.select("doc_id", sha.alias("sha")), "marks")
     first = marks.groupBy("sha").agg(F.min("doc_id").alias("lead"))
-    # Whole copies by id alone, small enough to join without moving the texts; an id of several texts is searched.
+    # Whole copies, and ids of several texts, by id alone: small enough to join without moving the texts.
     later = marks.join(first, "sha").groupBy("doc_id").agg(F.min("lead").alias("lead"), F.max("sha").alias("a"), F.min("sha").alias("b"))
-    copies = scratch.table(later.where("doc_id > lead and a = b").select(F.col("doc_id").alias("copy_id")).coalesce(8), "copies")
+    copies = scratch.table(later.where("doc_id > lead or a <> b").select(F.col("doc_id").alias("copy_id"), (F.col("a") != F.col("b")).alias("several")).coalesce(8), "copies")
     texts = long.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
@@ -394,10 +401,11 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
     spans = scratch.table(spans, "spans")
     scratch.drop(sent)
     scratch.free(spark)
-    whole = (F.octet_length("text") >= width) & F.col("copy_id").isNotNull()  # shorter rows of the same id stay
+    whole = (F.octet_length("text") >= width) & F.coalesce(~F.col("several"), F.lit(False))  # shorter rows of the same id stay
     out = given.join(copies, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy", whole)
-    out = out.join(spans, (F.col("doc_id") == F.col("span_id")) & ~F.col("copy"), "left")
-    return out.select("doc_id", "text", "copy", "starts", "sizes")
+    long_enough = F.octet_length("text") >= width
+    out = out.join(spans, (F.col("doc_id") == F.col("span_id")) & ~F.col("copy") & long_enough, "left")
+    return out.select("doc_id", "text", "copy", "starts", "sizes", *["row"] * row)
 
 
 def _cut(with_text: bool):
@@ -417,7 +425,9 @@ def _cut(with_text: bool):
                 head = (doc.as_py(), len(data), len(data) - len(kept), len(a))
                 rows.append((*head, kept.decode("utf-8", "ignore") if with_text else hashlib.sha256(kept).hexdigest()))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256"]
-            yield _batch(rows, names, [*[pa.int64()] * 4, pa.string()])
+            made = _batch(rows, names, [*[pa.int64()] * 4, pa.string()])
+            rest = list(b.schema.names[5:])
+            yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in rest)], [*names, *rest])
 
     return run
 
@@ -427,9 +437,12 @@ def digest(docs: DataFrame, width: int = 50, **more) -> DataFrame:
     return find(docs, width, **more).mapInArrow(_cut(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, width: int = 50, **more) -> DataFrame:
+def clean(docs: DataFrame, width: int = 50, row: bool = False, **more) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_text): what is left of every text.
 
     Bytes of a character of which others are removed are left out of the text.
+    row: whether a struct ``row`` of all columns of ``docs`` comes too.
     """
-    return find(docs, width, **more).mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string")
+    found = find(docs, width, row=row, **more)
+    kinds = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string")
+    return found.mapInArrow(_cut(True), T.StructType(kinds.fields + found.schema.fields[5:]))
