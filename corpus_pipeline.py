@@ -4,9 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 stage's result as Parquet in the shared scratch folder and rereads it as the next
 one's documents. All but the last return the columns of documents.
 
-Rows that repeat an id are one document: the near-duplicate stage keeps one of
-them. Null texts count as empty, fail the quality rules and go. Rows with a null
-id pass the stages that join by id only where noted. An empty table stays empty.
+Stages decide by row, not by id, so rows with a null id and rows that repeat an id
+with another text pass like any others, and rows of equal text are one group whose
+first, by id, stays. Suffix dedup works by id: rows with a null id and ids of several
+texts keep theirs. Null texts count as empty, fail the quality rules and go. Columns
+besides those of documents are left out, whatever their names. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -25,27 +28,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model scores 0.3 or more; a null id is scored alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.filtered(docs, labels).select(COLUMNS)
+    return quality.filtered(docs.select(COLUMNS), labels)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    verdict = perplexity.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    return perplexity.filtered(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; rows with a null id go."""
-    kept = ordermin.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One row of each class: that of smallest id, and of those the first; null ids come last."""
+    rows = scratch.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    classes = ordermin.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = rows.select("row", "doc_id").join(classes, "row").groupBy("component_id").agg(first.alias("f"))
+    return rows.join(kept.select(F.col("f.row").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; documents of which nothing is left go."""
-    cut = suffixdedup.clean(docs).select(F.col("doc_id").alias("cut_id"), "kept_text")
-    out = docs.drop("text").join(cut, F.col("doc_id") == F.col("cut_id")).where("kept_text <> ''")
-    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(COLUMNS)
+    cut = suffixdedup.clean(docs.select(COLUMNS), row=True).where("kept_text <> ''")
+    cut = cut.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
+    return cut.select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
