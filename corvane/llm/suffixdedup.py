@@ -13,9 +13,9 @@ input. The work is dealt by content:
     already.
 3.  A shard holds all snippets of its names. Its suffixes are sorted by external
     induced sorting (see ``induced``); neighbours that share ``width`` symbols are
-    one group of equal windows, whose smallest document keeps them. The text of a
-    shard and the arrays over it are in memory, only the queues go to disk: so
-    there are as many shards as the measured bytes of all snippets call for.
+    one group of equal windows, whose smallest document keeps them. The text, the
+    arrays over it and the queues are in memory up to a budget that ``memory`` sets,
+    and beyond it in files, so a shard may be many times as large.
 4.  Each document's covered spans are joined and cut out.
 
 Whole copies of an earlier document are told by digest and take no part.
@@ -40,12 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import scratch
-from corvane.llm.induced import Sorter
+from corvane.llm.induced import Column, Sorter, Store
 from corvane.llm.textscan import U64, chunks, mix, ragged
 
 CHUNK = 1 << 20
 NAME_BYTES = 6
-SHARD_BYTES = 4 << 20
 
 
 def _words(buf: np.ndarray, shift: int) -> np.ndarray:
@@ -162,53 +161,59 @@ def _dealt(doc: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatc
     return _batch(rows, ["bucket", "docs", "counts", *[f"c{k}" for k in range(len(cols))]], [pa.int32(), *[pa.binary()] * (2 + len(cols))])
 
 
+def _each(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each run of one first column, as lists of the others."""
+    at, rows = None, []
+    for b in batches:
+        for key, *row in zip(*(b.column(k).to_pylist() for k in names), strict=True):
+            if key != at and rows:
+                yield rows
+                rows = []
+            at = key
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _together(dealt: DataFrame, parts: int, by: str) -> DataFrame:
+    """Rows of one shard or bucket one after another."""
+    return dealt.repartition(parts, by).sortWithinPartitions(by)
+
+
 def _gathered(dealt: DataFrame, parts: int, names: list[str], widths: list[int]) -> DataFrame:
-    """A row a document from the rows of ``_dealt``: (doc_id, packed columns)."""
+    """A row a document from the rows of ``_dealt``: (doc_id, packed columns); a bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, cols = [], [[] for _ in names]
-        for b in batches:
-            for d, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")))
-            for k, w in enumerate(widths):
-                cols[k] += [np.frombuffer(x, np.uint8).reshape(-1, w) for x in b.column(3 + k).to_pylist()]
-        if not docs:
-            return
-        doc = np.concatenate(docs)
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        flat = [np.concatenate(c)[order] for c in cols]
-        cut = _cuts(doc)
-        rows = [(int(doc[s]), *[f[s:e].tobytes() for f in flat]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        for k in range(0, len(rows), 20_000):
-            yield _batch(rows[k : k + 20_000], ["doc_id", *names], [pa.int64(), *[pa.binary()] * len(names)])
-
-    return dealt.repartition(parts, "bucket").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} binary" for n in names))
+        for rows in _each(batches, ["bucket", "docs", "counts", *[f"c{k}" for k in range(len(names))]]):
+            doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c, *_ in rows])
+            order = np.argsort(doc, kind="stable")
+            doc = doc[order]
+            flat = [np.frombuffer(b"".join(r[2 + k] for r in rows), np.uint8).reshape(-1, w)[order] for k, w in enumerate(widths)]
+            cut = _cuts(doc)
+            out = [(int(doc[s]), *[f[s:e].tobytes() for f in flat]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            for k in range(0, len(out), 20_000):
+                yield _batch(out[k : k + 20_000], ["doc_id", *names], [pa.int64(), *[pa.binary()] * len(names)])
+
+    return _together(dealt, parts, "bucket").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _answer(buckets: int):
-    """The asked names that another document asked about too, by buckets of the documents that asked."""
+    """The asked names that another document asked about too, by buckets of the documents that asked; a shard at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, docs = [], []
-        for b in batches:
-            for d, c, n in zip(*(b.column(k).to_pylist() for k in ("docs", "counts", "names")), strict=True):
-                names.append(_unpacked(n))
-                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")))
-        if not names:
-            return
-        name, doc = np.concatenate(names), np.concatenate(docs)
-        del names, docs
-        order = np.argsort(name)
-        cut = _cuts(name[order])
-        keep = order[np.repeat(np.diff(cut) > 1, np.diff(cut))]  # in order of names
-        if not len(keep):
-            return
-        cut = _cuts(name[keep])
-        low, high = np.minimum.reduceat(doc[keep], cut[:-1]), np.maximum.reduceat(doc[keep], cut[:-1])
-        keep = keep[np.repeat(low != high, np.diff(cut))]
-        if len(keep):
-            yield _dealt(doc[keep], buckets, _packed(name[keep]))
+        for rows in _each(batches, ["shard", "docs", "counts", "names"]):
+            name = np.concatenate([_unpacked(n) for _, _, n in rows])
+            doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c, _ in rows])
+            order = np.argsort(name)
+            cut = _cuts(name[order])
+            keep = order[np.repeat(np.diff(cut) > 1, np.diff(cut))]  # in order of names
+            if not len(keep):
+                continue
+            cut = _cuts(name[keep])
+            low, high = np.minimum.reduceat(doc[keep], cut[:-1]), np.maximum.reduceat(doc[keep], cut[:-1])
+            keep = keep[np.repeat(low != high, np.diff(cut))]
+            if len(keep):
+                yield _dealt(doc[keep], buckets, _packed(name[keep]))
 
     return run
 
@@ -261,83 +266,122 @@ def _snippets(texts: DataFrame, width: int, gram: int, shards: int) -> DataFrame
     return texts.mapInArrow(run, SEND)
 
 
-def equal_windows(snippets: list[bytes], low: np.ndarray, width: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest ``low`` of any snippet with the window at each byte, and the snippets' bounds.
+class Shard:
+    """The snippets of one shard as they come: their text, and where each of them occurs."""
 
-    The largest number where no window starts.
-    """
-    size = np.array([len(s) for s in snippets], np.int64)
-    off = np.concatenate([[0], np.cumsum(size + 1)])
-    t = np.ones(off[-1] + 1, np.uint16)  # 1 ends a snippet, 0 the whole
-    t[-1] = 0
-    body = ragged(off[:-1], size)
-    t[body] = np.frombuffer(b"".join(snippets), np.uint8).astype(np.uint16) + 2
-    last = np.repeat(off[1:] - 1 - width, size + 1)
-    out = np.full(off[-1], np.iinfo(np.int64).max)
-    own = np.repeat(low, size + 1)
-    for pos, lcp in Sorter(t, 258, width, memory).descending():
-        valid = pos <= last[np.minimum(pos, len(last) - 1)]
-        valid &= pos < len(last)
-        group = np.cumsum(lcp < width)
-        pos, group = pos[valid], group[valid]
-        if len(pos):
-            cut = _cuts(group)
-            out[pos] = np.repeat(np.minimum.reduceat(own[pos], cut[:-1]), np.diff(cut))
-    return out, off
+    def __init__(self, width: int, memory: int):
+        self.width, self.memory = width, memory
+        self.store = Store(32 * memory)
+        self.text, self.off = Column(self.store, np.uint16), Column(self.store, np.int64)
+        self.doc, self.start, self.which = (Column(self.store, np.int64) for _ in range(3))
+        self.number: dict[bytes, int] = {}
+        self.held = self.end = 0
+        self.off.add(np.zeros(1))
+
+    def add(self, docs: bytes, starts: bytes, sizes: bytes, data: bytes) -> None:
+        at, new, which = 0, [], []
+        for n in np.frombuffer(sizes, "<i4").tolist():
+            snippet = data[at : at + n]
+            at += n
+            k = self.number.get(snippet)
+            if k is None:
+                k = self.number[snippet] = self.off.n - 1 + len(new)
+                new.append(snippet)
+                self.held += n + 150
+            which.append(k)
+        if new:
+            size = np.array([len(x) for x in new], np.int64)
+            ends = np.cumsum(size + 1)
+            text = np.ones(ends[-1], np.uint16)  # 1 ends a snippet, 0 the whole
+            text[ragged(ends - size - 1, size)] = np.frombuffer(b"".join(new), np.uint8).astype(np.uint16) + 2
+            self.text.add(text)
+            self.off.add(self.end + ends)
+            self.end += int(ends[-1])
+        if self.held > 8 * self.memory:  # snippets are told apart as far as memory goes: later equal ones are sorted again
+            self.number, self.held = {}, 0
+        self.doc.add(np.frombuffer(docs, "<i8"))
+        self.start.add(np.frombuffer(starts, "<i8"))
+        self.which.add(np.array(which))
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Lots of covered spans: documents, starts and sizes."""
+        self.number = {}
+        self.text.add(np.zeros(1))
+        text, off, doc, start, which = (c.done() for c in (self.text, self.off, self.doc, self.start, self.which))
+        low = self.store.array(len(off) - 1, np.int64, np.iinfo(np.int64).max)
+        step = max(1, self.memory // 64)  # occurrences, some windows each
+        for k in range(0, len(doc), self.memory):
+            np.minimum.at(low, which[k : k + self.memory], doc[k : k + self.memory])
+        group, least = self._groups(text, off, low)
+        for k in range(0, len(doc), step):
+            d, s, o = doc[k : k + step], start[k : k + step], which[k : k + step]
+            c = off[o + 1] - off[o] - self.width
+            first = least[group[ragged(off[o], c)]]
+            hit = np.flatnonzero(first < np.repeat(d, c))
+            if not len(hit):
+                continue
+            place, occ = ragged(s, c)[hit], np.repeat(np.arange(len(d)), c)[hit]
+            a = np.flatnonzero(np.concatenate([[True], (occ[1:] != occ[:-1]) | (place[1:] != place[:-1] + 1)]))
+            z = np.append(a[1:], len(place)) - 1
+            yield d[occ[a]], place[a].astype("<i8"), (place[z] - place[a] + self.width).astype("<i4")
+
+    def _groups(self, text: np.ndarray, off: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group of equal windows at each place of the text where one starts, and the smallest document of each group."""
+        group, least = self.store.array(len(text), np.int32 if len(text) < 2**31 else np.int64), Column(self.store, np.int64)
+        of = self.store.array(len(text), np.int32, len(low))  # each place's snippet
+        for k in range(0, len(low), step := max(1, self.memory // 64)):
+            ends = off[k : k + step + 1]
+            of[ends[0] : ends[-1]] = np.repeat(np.arange(k, k + len(ends) - 1), np.diff(ends))
+        stop = np.append(off[1:] - self.width, 0)  # where windows of a snippet cease to start, its end mark included
+        open_, known = -1, 0  # the group that the last block ended in, if it may go on, and its least
+        for pos, lcp in Sorter(text, 258, self.width, self.memory, self.store).descending():
+            own = of[pos]
+            valid = np.flatnonzero(pos < stop[own])
+            run = np.cumsum(lcp < self.width)  # 0: goes on from the last block
+            if open_ >= 0 and run[0]:
+                least.add(np.array([known]))
+                open_ = -1
+            if len(valid):
+                r, p = run[valid], pos[valid]
+                cut = _cuts(r)
+                mins = np.minimum.reduceat(low[own[valid]], cut[:-1])
+                first = least.n  # the open group's number, or the first new one's
+                if open_ >= 0:
+                    if not r[0]:
+                        mins[0] = min(int(mins[0]), known)
+                    else:
+                        least.add(np.array([known]))
+                        first += 1
+                group[p] = first + np.repeat(np.arange(len(mins)), np.diff(cut))
+                least.add(mins[:-1])
+                open_, known = least.n, int(mins[-1])
+            if open_ >= 0 and run[-1] and (not len(valid) or run[valid[-1]] != run[-1]):
+                least.add(np.array([known]))
+                open_ = -1
+        if open_ >= 0:
+            least.add(np.array([known]))
+        self.store.free(of)
+        return group, least.done()
 
 
 def _covered(width: int, memory: int, buckets: int):
     """Shard by shard, the rows of which come together: covered spans by buckets of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        at, shard = None, None
         for b in batches:
-            for shard, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "docs", "starts", "sizes", "data")), strict=True):
-                if shard != at and held:
-                    yield from _shard_spans(held, width, memory, buckets)
-                    held = []
-                at = shard
-                held.append(row)
-        if held:
-            yield from _shard_spans(held, width, memory, buckets)
+            for name, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "docs", "starts", "sizes", "data")), strict=True):
+                if name != at:
+                    if shard:
+                        yield from (_dealt(d, buckets, s, z) for d, s, z in shard.spans())
+                    at, shard = name, Shard(width, memory)
+                shard.add(*row)
+        if shard:
+            yield from (_dealt(d, buckets, s, z) for d, s, z in shard.spans())
 
     return run
 
 
-def _shard_spans(held: list, width: int, memory: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    number: dict[bytes, int] = {}
-    docs, starts, which = [], [], []
-    while held:
-        d, s, z, data = held.pop()
-        at = 0
-        for n in np.frombuffer(z, "<i4").tolist():
-            which.append(number.setdefault(data[at : at + n], len(number)))
-            at += n
-        docs.append(np.frombuffer(d, "<i8"))
-        starts.append(np.frombuffer(s, "<i8"))
-    doc, start, own = np.concatenate(docs), np.concatenate(starts), np.array(which)
-    del docs, starts, which
-    low = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(low, own, doc)
-    least, off = equal_windows(list(number), low, width, memory)
-    del number
-    order = np.argsort(doc, kind="stable")
-    doc, start, own = doc[order], start[order], own[order]
-    count = off[1:][own] - off[:-1][own] - 1 - width + 1
-    for k in range(0, len(doc), 40_000):  # occurrences of snippets
-        d, s, c, o = doc[k : k + 40_000], start[k : k + 40_000], count[k : k + 40_000], own[k : k + 40_000]
-        first = least[ragged(off[:-1][o], c)]
-        hit = np.flatnonzero(first < np.repeat(d, c))
-        if not len(hit):
-            continue
-        place, occ = ragged(s, c)[hit], np.repeat(np.arange(len(d)), c)[hit]
-        new = np.concatenate([[True], (occ[1:] != occ[:-1]) | (place[1:] != place[:-1] + 1)])
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(place)) - 1
-        begin, length, who = place[a], place[z] - place[a] + width, d[occ[a]]
-        yield _dealt(who, buckets, begin.astype("<i8"), length.astype("<i4"))
-
-
 def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes in the given spans."""
     a, n = np.frombuffer(b"".join(starts), "<i8"), np.frombuffer(b"".join(sizes), "<i4").astype(np.int64)
@@ -348,13 +392,7 @@ def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndar
     return a[at], e[np.append(at[1:], len(a)) - 1]
 
 
-def _enough(snippets: DataFrame, shards: int, shard_bytes: int) -> int:
-    """How many shards, ``shards`` at least, have ``shard_bytes`` of snippets each on average at most."""
-    total = snippets.where("shard >= 0").agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    return max(shards, -(-total // shard_bytes))
-
-
-def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_000, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut.
 
     row: whether a struct ``row`` of all columns of ``docs`` comes too.
@@ -376,8 +414,8 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
 
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
     scratch.free(spark)
-    asks = asked.where("shard >= 0").select("shard", "docs", "counts", "names").repartition(parts, "shard")
-    answers = asks.mapInArrow(_answer(parts), "bucket int, docs binary, counts binary, c0 binary")
+    asks = _together(asked.where("shard >= 0").select("shard", "docs", "counts", "names"), parts, "shard")
+    answers = asks.mapInArrow(_answer(shards), "bucket int, docs binary, counts binary, c0 binary")
     answers = _gathered(answers, parts, ["names"], [NAME_BYTES])
     told = answers.unionByName(asked.where("shard < 0").select("doc_id", "names"))
     told = told.groupBy(F.col("doc_id").alias("told_id")).agg(F.collect_list("names").alias("names"))
@@ -386,15 +424,10 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 8_000_0
     scratch.free(spark)
     asking = texts.join(told, F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "names")
     sent = scratch.table(_snippets(asking, width, gram, shards), "snippets")
-    enough = _enough(sent, shards, shard_bytes)
-    if enough > shards:  # only then are they made again
-        scratch.drop(sent)
-        scratch.free(spark)
-        sent = scratch.table(_snippets(asking, width, gram, enough), "snippets")
     scratch.drop(told)
     scratch.free(spark)
-    found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data").repartition(parts, "shard").sortWithinPartitions("shard")
-    found = found.mapInArrow(_covered(width, memory, parts), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
+    found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data")
+    found = _together(found, parts, "shard").mapInArrow(_covered(width, memory, shards), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
     found = _gathered(found, parts, ["starts", "sizes"], [8, 4])
     spans = found.unionByName(sent.where("shard < 0").select("doc_id", "starts", "sizes"))
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))

@@ -120,20 +120,46 @@ def test_components_of_a_path(spark):
     assert all(got[i] == 0 for i in range(201)) and got[1001] == 1000
 
 
-def test_suffix_dedup_makes_more_shards_of_more_bytes(spark, monkeypatch):
-    made = []
-    snippets = suffixdedup._snippets
-
-    def noted(texts, width, gram, shards):
-        made.append(shards)
-        return snippets(texts, width, gram, shards)
-
-    monkeypatch.setattr(suffixdedup, "_snippets", noted)
+def shard_of(snippets, docs, width, memory):
+    shard = suffixdedup.Shard(width, memory)
+    for k in range(0, len(snippets), 50):
+        part = snippets[k : k + 50]
+        shard.add(docs[k : k + 50].astype("<i8").tobytes(), np.zeros(len(part), "<i8").tobytes(), np.array([len(x) for x in part], "<i4").tobytes(), b"".join(part))
+    return shard
+
+
+@pytest.mark.parametrize("memory", [1, 7, 300, 10**6])
+def test_shard_larger_than_memory(memory):
+    rng = np.random.default_rng(memory)
+    pool = [bytes(rng.choice(list(b"ab c"), 90).astype(np.uint8)) for _ in range(6)]
+    snippets = [p[a : a + int(rng.integers(12, 60))] for p in pool for a in rng.integers(0, 30, 12)]
+    docs = rng.permutation(len(snippets))
+    width = 10
+    low: dict[bytes, int] = {}
+    for x, d in zip(snippets, docs, strict=True):
+        for a in range(len(x) - width + 1):
+            low[x[a : a + width]] = min(low.get(x[a : a + width], 10**9), d)
+    want = {int(d): {b for a in range(len(x) - width + 1) if low[x[a : a + width]] < d for b in range(a, a + width)} for x, d in zip(snippets, docs, strict=True)}
+    got: dict[int, set] = {int(d): set() for d in docs}
+    shard = shard_of(snippets, docs, width, memory)
+    for d, s, n in shard.spans():
+        for x, a, k in zip(d.tolist(), s.tolist(), n.tolist(), strict=True):
+            got[x] |= set(range(a, a + k))
+    assert got == want
+    assert (shard.store.spilled > 0) == (memory < 1000)
+
+
+def test_suffix_dedup_of_spilled_shards(spark):
     df = spark.createDataFrame(cases(), "doc_id long, text string, component_id string")
     want = sorted(map(tuple, suffixdedup.digest(df).collect()), key=str)
-    assert made == [16]
-    got = sorted(map(tuple, suffixdedup.digest(df, shard_bytes=100).collect()), key=str)
-    assert made[1] == 16 < made[2] and got == want
+    assert sorted(map(tuple, suffixdedup.digest(df, memory=50).collect()), key=str) == want
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    long = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, long, "a"), (1, long, "b"), (2, "x " + long, "c"), (3, long + " one", "d"), (3, long + " two", "e"), (3, "short", "f"), (None, long, "g")]
+    got = {r["row"]["component_id"]: r["kept_text"] for r in suffixdedup.clean(spark.createDataFrame(rows, DOCS), row=True).collect()}
+    assert got == {"a": long, "b": long, "c": "x ", "d": long + " one", "e": long + " two", "f": "short", "g": long}
 
 
 def test_order_minhash_as_registered(spark):
