@@ -406,10 +406,14 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 4_000_0
     sha = F.sha2(F.col("text").cast("binary"), 256)
     long = given.where((F.octet_length("text") >= width) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     marks = scratch.table(long.select("doc_id", sha.alias("sha")), "marks")
-    first = marks.groupBy("sha").agg(F.min("doc_id").alias("lead"))
-    # Whole copies, and ids of several texts, by id alone: small enough to join without moving the texts.
-    later = marks.join(first, "sha").groupBy("doc_id").agg(F.min("lead").alias("lead"), F.max("sha").alias("a"), F.min("sha").alias("b"))
-    copies = scratch.table(later.where("doc_id > lead or a <> b").select(F.col("doc_id").alias("copy_id"), (F.col("a") != F.col("b")).alias("several")).coalesce(8), "copies")
+    # Whole copies, and ids of several texts, by id alone: small enough to join without moving the texts. Only
+    # texts that several rows have are joined, in a join of two exchanges, whose hot values Spark can split.
+    first = marks.groupBy("sha").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.table(first.select(F.col("sha").alias("lead_sha"), "lead"), "leads")
+    later = marks.join(first, F.col("sha") == F.col("lead_sha")).where("doc_id > lead").select(F.col("doc_id").alias("copy_id"), F.lit(False).alias("several"))
+    many = marks.groupBy(F.col("doc_id").alias("copy_id")).agg(F.max("sha").alias("a"), F.min("sha").alias("b")).where("a <> b")
+    copies = later.unionByName(many.select("copy_id", F.lit(True).alias("several")))
+    copies = scratch.table(copies.groupBy("copy_id").agg(F.max("several").alias("several")).coalesce(8), "copies")
     texts = long.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
