@@ -7,18 +7,20 @@ Many words of like length are stepped together. Scanning a whole row a merge cos
 the square of a word's length, so words longer than ``SHORT`` bytes keep their
 boundaries as links and their ranks in a heap instead; the result is the same.
 
-Words met before are found again by their bytes, so a text costs one look-up a
-word. The table of them starts anew beyond ``most`` words or ``most_bytes`` bytes.
+Words met before are found again by their bytes: those of up to seven are a number
+each, with their length, in an open-addressed table, longer ones keys of a
+dictionary. The tables start anew beyond ``most`` words or ``most_bytes`` bytes.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 
-from corvane.llm.textscan import SPACE, U64, owner, ragged, runs
+from corvane.llm.textscan import SPACE, U64, mix, owner, ragged, runs
 
 SHORT = 48
 FAR = np.int32(2**31 - 1)
@@ -223,6 +225,49 @@ class Ranks:
         return self.spelled[ragged(self.spelled_off[ids], n)], ends[off]
 
 
+class Known:
+    """Words of up to seven bytes, packed with their length into a number: an open-addressed table."""
+
+    def __init__(self, bits: int = 22):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, U64)
+        self.at = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Each word's number, -1 where new."""
+        out = np.full(len(key), -1, np.int64)
+        rest, slot = np.arange(len(key)), self._slot(key)
+        while len(rest):
+            k = self.keys[slot]
+            hit = k == key[rest]
+            out[rest[hit]] = self.at[slot[hit]]
+            on = ~hit & (k != 0)
+            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, key: np.ndarray, number: np.ndarray) -> None:
+        """Distinct new words under their numbers."""
+        rest, slot = np.arange(len(key)), self._slot(key)
+        while len(rest):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = key[rest[free]]  # of several, one stays
+            won = self.keys[slot] == key[rest]
+            self.at[slot[won]] = number[rest[won]]
+            rest, slot = rest[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)], U64)
+
+
+def packed(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of up to seven bytes and their lengths as numbers."""
+    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return (np.ndarray((len(buf) + 1,), "<u8", wide.data, 0, (1,))[start] & _MASKS[size]) | (size.astype(U64) << U64(56))
+
+
 class Pool:
     """Arrays of ids under numbers, appended to."""
 
@@ -247,10 +292,9 @@ class Pool:
         return self.ids[ragged(self.off[number], n)], n
 
 
-def numbered(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], dict[bytes, int]]:
-    """The words raw[start:end], and where each of them comes first."""
-    words = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
-    return words, dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
+def cut_out(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words raw[start:end]."""
+    return [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,23 +400,40 @@ class Encoder:
         self.fresh()
 
     def fresh(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.bytes = Pool(), 0
+        self.short, self.pool, self.n, self.bytes = Known(), Pool(), 0, 0
+        self.long: dict[bytes, int] = {}
 
     def _lookup(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray, encode) -> np.ndarray:
         """Numbers of the words, new ones encoded and kept."""
-        words, first = numbered(buf.tobytes(), s, e)
-        new = first.keys() - self.known.keys()
-        if new:
-            size = sum(map(len, new))
-            if self.known and (len(self.known) + len(new) > self.most or self.bytes + size > self.most_bytes):
-                self.fresh()
-                new, size = first.keys(), sum(map(len, first))
-            part = np.sort(np.fromiter((first[w] for w in new), np.int64, len(new)))
-            self.pool.add(*encode(buf, s[part], e[part]))
-            self.known.update(zip((words[k] for k in part.tolist()), range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.bytes += size
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        size = e - s
+        short, long = np.flatnonzero(size <= 7), np.flatnonzero(size > 7)
+        key = packed(buf, s[short], size[short])
+        words = cut_out(buf.tobytes(), s[long], e[long])
+        for fresh in (False, True):
+            number = np.empty(len(s), np.int64)
+            number[short] = self.short.find(key)
+            number[long] = np.fromiter(map(self.long.get, words, repeat(-1)), np.int64, len(words))
+            if not (number < 0).any():
+                return number
+            unseen = np.flatnonzero(number[short] < 0)
+            _, first = np.unique(key[unseen], return_index=True)
+            own = unseen[first]
+            others = {words[k]: k for k in np.flatnonzero(number[long] < 0).tolist()}
+            part = np.concatenate([short[own], long[np.fromiter(others.values(), np.int64, len(others))]])
+            grown = int(size[part].sum())
+            if fresh or not self.n or (self.n + len(part) <= self.most and self.bytes + grown <= self.most_bytes):
+                break
+            self.fresh()
+        if not self.n and len(own) > 1 << (self.short.bits - 1):
+            self.short = Known(len(own).bit_length() + 1)
+        self.pool.add(*encode(buf, s[part], e[part]))
+        self.short.add(key[own], np.arange(self.n, self.n + len(own)))
+        self.long.update(zip(others, range(self.n + len(own), self.n + len(part)), strict=True))
+        self.n, self.bytes = self.n + len(part), self.bytes + grown
+        number[short[unseen]] = self.short.find(key[unseen])
+        late = np.flatnonzero(number[long] < 0)
+        number[long[late]] = [self.long[words[k]] for k in late.tolist()]
+        return number
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts and each text's bounds in them."""
@@ -444,7 +505,8 @@ class Encoder:
         cp, at = code_points(low)
         first, last = split_folded(cp, np.searchsorted(at, off))
         ws, we = at[first], at[last]
-        words, place = numbered(low.tobytes(), ws, we)
+        words = cut_out(low.tobytes(), ws, we)
+        place = dict(zip(words, range(len(words)), strict=True))
         pick = np.fromiter(place.values(), np.int64, len(place))
         number = dict(zip(place, range(len(place)), strict=True))
         back = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
