@@ -226,18 +226,27 @@ class HashArrays:
         hit = self.h[at] == h
         return np.where(hit, self.v[at], np.float32(0)), hit
 
-    def logs(self, g: np.ndarray) -> np.ndarray:
+    def logs(self, g: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """Log probabilities of top-order n-grams: seen ones as stored, others by backing off."""
         out = np.zeros(len(g), np.float32)
-        rest, lang = np.arange(len(g)), g >> (8 * ORDER)
-        for n in range(ORDER, 0, -1):
-            key = (lang[rest] << (8 * n)) | (g[rest] & ((1 << (8 * n)) - 1))
-            value, hit = self.find(hashed(n, key))
+        for k in range(0, len(g), step):
+            out[k : k + step], hit = self.find(hashed(ORDER, g[k : k + step]))
+            if not hit.all():
+                rest = k + np.flatnonzero(~hit)
+                out[rest] = self._unseen(g[rest])
+        return out
+
+    def _unseen(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g), np.float32)
+        rest = np.arange(len(g))
+        for n in range(ORDER - 1, -1, -1):
+            key = ((g[rest] >> (8 * ORDER)) << (8 * n)) | (g[rest] >> 8 & ((1 << (8 * n)) - 1))
+            out[rest] += self.find(hashed(CONTEXT + n + 1, key))[0]
+            if not n:
+                break
+            value, hit = self.find(hashed(n, ((g[rest] >> (8 * ORDER)) << (8 * n)) | (g[rest] & ((1 << (8 * n)) - 1))))
             out[rest] += value
-            rest, key = rest[~hit], key[~hit]
-            if not len(rest):
-                return out
-            out[rest] += self.find(hashed(CONTEXT + n, key >> 8))[0]
+            rest = rest[~hit]
         out[rest] -= np.float32(np.log(256))
         return out
 
