@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
 
-K1, B = 1.2, 0.75
 RRF = 60
 DEMOTION = {"doc": 0.5, "test": 0.6}
 OVERFETCH = 3
 
 
-def postings(chunks: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
-    """(id, token, dl): a row for each distinct token of a chunk; dl counts them."""
-    tokens = chunks.select(F.col(id_col).alias("id"), tx.tokenize(F.col(content)).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-
-
-def statistics(index: DataFrame) -> DataFrame:
-    """One row: n chunks that have tokens and their average length, over the whole index."""
-    return index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25(index: DataFrame, queries: DataFrame, query: str = "query", qid: str = "qid") -> DataFrame:
-    """(qid, id, score): BM25 with term frequency one, statistics from the whole index."""
-    asked = queries.select(F.col(qid).alias("qid"), F.explode(tx.tokenize(F.col(query))).alias("token"))
-    hits = index.join(asked.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    stats = statistics(index)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(df, "token").crossJoin(F.broadcast(stats)).select("id", "token", weight.alias("w"))  # stats is one row
-    return scored.join(asked, "token").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-
-
 def top(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "score", id_col: str = "id", rank: str = "rank") -> DataFrame:
     """The k best of each group by score, ties by id, ranked from 0."""
     order = [F.col(score).desc(), F.col(id_col)]
@@ -45,37 +23,62 @@ def top(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "sc
     return found.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "id", vector: str = "embedding", most: int = 20_000) -> DataFrame:
     """(qid, id, score, rank): exact nearest vectors by clamped cosine; ``where`` filters before the search.
 
-    Queries are held in Arrow batches and multiplied as matrices; each task keeps
-    its k best of every query, so a shuffle moves k rows a query and task.
+    Queries are multiplied as matrices with Arrow batches of vectors; each task keeps
+    its k best of every query, so a shuffle moves k rows a query and task. At most
+    ``most`` queries are broadcast at once; more are asked in as many scans as it takes.
     """
     pool = vectors.where(where) if where is not None else vectors
-    asked = queries.select("qid", "qvec").collect()  # the query set: stated, not the table
-    ids, rows = [r["qid"] for r in asked], [r["qvec"] for r in asked]
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, rows))
+    given = pool.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    lots = max(1, -(-queries.count() // most))
+    found = None
+    for lot in range(lots):
+        part = queries if lots == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(lots)) == lot)
+        asked = part.select("qid", F.col("qvec").cast("array<double>").alias("q")).collect()  # about ``most`` rows
+        held = vectors.sparkSession.sparkContext.broadcast(([r["qid"] for r in asked], [r["q"] for r in asked]))
+        near = given.mapInArrow(_nearest(held, k), "qid long, id long, score double")
+        found = near if found is None else found.unionByName(near)
+    return top(found, k, ["qid"])
 
-    def run(batches):
-        import numpy as np
-        import pandas as pd
 
-        qid, q = np.array(shared.value[0]), np.array(shared.value[1], float)
+def _nearest(held, k: int):
+    """The k best of each batch run for every query: higher scores, then lower ids."""
+
+    def run(batches):
+        qid = np.array(held.value[0], np.int64)
+        if not len(qid):
+            return
+        q = np.array(held.value[1], float).reshape(len(qid), -1)
         size = np.linalg.norm(q, axis=1)
         q = q / np.where(size > 0, size, 1)[:, None]
-        best = None
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist(), float)
-            n = np.linalg.norm(x, axis=1)
-            s = np.clip(((x / np.where(n > 0, n, 1)[:, None]) @ q.T + 1) / 2, 0, 1).round(6)
-            part = pd.DataFrame({"qid": np.tile(qid, len(x)), "id": np.repeat(pdf["id"].to_numpy(), len(qid)), "score": s.ravel()})
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-        if best is not None:
-            yield best
-
-    given = pool.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    return top(given.mapInPandas(run, "qid long, id long, score double"), k, ["qid"])
+        ids, scores = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                n = np.linalg.norm(x, axis=1)
+                s = np.clip((q @ (x / np.where(n > 0, n, 1)[:, None]).T + 1) / 2, 0, 1).round(6)
+                own = np.broadcast_to(part.column(0).to_numpy(), s.shape)
+                ids, scores = np.hstack([ids, own]), np.hstack([scores, s])
+                if scores.shape[1] > k:
+                    order = np.lexsort((ids, -scores))[:, :k] if scores.shape[1] <= 4 * k else _best(ids, scores, k)
+                    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        m = ids.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, m)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
+
+    return run
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row; among equal scores at the edge the lowest ids."""
+    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(scores), k), np.int64)
+    for r in range(len(scores)):
+        at = np.flatnonzero(scores[r] >= edge[r])
+        out[r] = at[np.lexsort((ids[r, at], -scores[r, at]))[:k]]
+    return out
 
 
 def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
@@ -172,9 +175,9 @@ def drop_similar(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     return tokens.groupBy("qid", "file_path").applyInPandas(run, results.schema)
 
 
-def rerank(results: DataFrame, scores: DataFrame, pool: int = 20, min_score: float = 0.0) -> DataFrame:
-    """The first ``pool`` of each query by reranker score, then the rest as they were."""
-    head = results.where(F.col("rank") < pool).join(scores, ["qid", "id"]).where(F.col("rerank_score") >= min_score)
-    tail = results.where(F.col("rank") >= pool).withColumn("rerank_score", F.lit(None).cast("double"))
+def rerank(results: DataFrame, score: Column, pool: int = 20, min_score: float = 0.0) -> DataFrame:
+    """The first ``pool`` of each query by the reranker's ``score``, then the rest as they were; pool members under ``min_score`` go."""
+    marked = results.withColumn("rerank_score", F.when(F.col("rank") < pool, score))
+    kept = marked.where((F.col("rank") >= pool) | (F.col("rerank_score") >= min_score))
     order = [F.col("rerank_score").desc_nulls_last(), F.col("rank")]
-    return head.unionByName(tail).withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1)
+    return kept.withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1)

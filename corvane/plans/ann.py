@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import ann
 from corvane.operators import retrieval as rt
-from corvane.plans.fixtures import queries, read
+from corvane.plans.fixtures import read, vector_queries
 from corvane.plans.registry import query
 from corvane.plans.retrieval import _legs
 
@@ -19,7 +19,7 @@ def _vectors(spark, sf_dir):
 def t2_ivf_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     index, centres = ann.build(v, 16)
-    return ann.search(index, centres, queries(spark, sf_dir).select("qid", "qvec"), 10)
+    return ann.search(index, centres, vector_queries(spark, sf_dir), 10)
 
 
 @query()

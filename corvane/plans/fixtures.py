@@ -70,8 +70,13 @@ def tokens_sql(name: str, table: str, key: str, text: str) -> str:
 {name} AS (SELECT key, p AS token FROM {name}_p UNION SELECT key, {stem_sql("p")} FROM {name}_p)"""
 
 
-def queries(spark: SparkSession, sf_dir: str, ids: str = "item_id % 4 = 0") -> DataFrame:
-    """A stated query set: benchmark passages with the vector of the same number."""
-    b = read(spark, sf_dir, "benchmark").where(ids)
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a query, with the vector of the same number."""
+    b = read(spark, sf_dir, "benchmark")
     v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("qvec"))
     return b.join(v, b["item_id"] == v["vec_id"]).select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "qvec")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of vector searches: every vector whose id is divisible by 100."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import paths
 from corvane.functions import vectors as vx
+from corvane.functions.text import tokenize
 from corvane.operators import retrieval as rt
-from corvane.plans.fixtures import CHUNKS, chunks, queries, read, tokens_sql
+from corvane.operators.keywords import KeywordIndex
+from corvane.plans.fixtures import CHUNKS, chunks, queries, read, tokens_sql, vector_queries
 from corvane.plans.registry import query
+from corvane.sources import shared
 
 K = 10
 
@@ -18,7 +23,7 @@ _INDEX = f"""{tokens_sql("tok", "documents", "doc_id", "text")},
 dl AS (SELECT key, count(*) AS dl FROM tok GROUP BY key),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT token, count(*) AS df FROM tok GROUP BY token)"""
-_ASKED = tokens_sql("ask", "(SELECT * FROM benchmark WHERE item_id % 4 = 0)", "item_id", "text")
+_ASKED = tokens_sql("ask", "benchmark", "item_id", "text")
 _BM25 = f"""{_INDEX}, {_ASKED},
 bm AS (
     SELECT ask.key AS qid, tok.key AS id,
@@ -26,14 +31,20 @@ bm AS (
     FROM ask JOIN tok USING (token) JOIN df USING (token) JOIN dl ON dl.key = tok.key CROSS JOIN st
     GROUP BY ALL
 )"""
-_VEC = """
-q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 4 = 0 AND vec_id IN (SELECT item_id FROM benchmark)),
+
+
+def _vec(asked: str) -> str:
+    return f"""
+q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE {asked}),
 sim AS (
     SELECT qid, vec_id AS id, round(least(1, greatest(0, (list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) + 1) / 2)), 6) AS score
     FROM embeddings, q WHERE embedding IS NOT NULL
 )"""
 
 
+_VEC = _vec("vec_id IN (SELECT item_id FROM benchmark)")
+
+
 def _top(src: str, name: str, k: int) -> str:
     return f"{name} AS (SELECT qid, id, score, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM {src}) WHERE rn <= {k})"
 
@@ -47,15 +58,22 @@ fused AS (
 )"""
 
 
-def _index(c: DataFrame) -> DataFrame:
-    """The postings, kept while queries use them."""
-    return rt.postings(c).persist()
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The stored index of a table, built by the first query that asks for it and deleted with the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        root = f"{shared.folder(spark)}/keywords-{len(_INDEXES)}"
+        _INDEXES[key] = KeywordIndex(spark, root).add(chunks(spark, sf_dir))
+    return _INDEXES[key]
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = chunks(spark, sf_dir)
     asked = queries(spark, sf_dir)
-    words = rt.top(rt.bm25(_index(c), asked), 3 * K, ["qid"])
+    words = rt.top(_index(spark, sf_dir).search(asked), 3 * K, ["qid"])
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = rt.knn(vectors, asked, 3 * K)
     return near, words, c.select("id", paths.role(F.col("file_path")).alias("role"))
@@ -63,31 +81,27 @@ def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 @query(f"WITH {_INDEX} SELECT n AS chunks, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS tokens, (SELECT max(df) FROM df) AS max_df FROM st")
 def a5_bm25_statistics(spark, sf_dir):
-    index = _index(chunks(spark, sf_dir))
-    df = index.groupBy("token").count().agg(F.count("*").alias("tokens"), F.max("count").alias("max_df"))
-    return rt.statistics(index).crossJoin(df).select(F.col("n").alias("chunks"), F.round("avgdl", 6).alias("avgdl"), "tokens", "max_df")
+    index = _index(spark, sf_dir)
+    df = index.postings().groupBy("token").count().agg(F.count("*").alias("tokens"), F.max("count").alias("max_df"))
+    return index.statistics().crossJoin(df).select(F.col("n").alias("chunks"), F.round("avgdl", 6).alias("avgdl"), "tokens", "max_df")
 
 
 @query(f"WITH {_BM25}, {_top('bm', 't', K)} SELECT qid, id, score, rank FROM t")
 def t3_bm25_topk(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return rt.top(rt.bm25(_index(c), queries(spark, sf_dir)), K, ["qid"]).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.top(_index(spark, sf_dir).search(queries(spark, sf_dir)), K, ["qid"]).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_INDEX}, {_ASKED} SELECT ask.key AS qid, token, df FROM ask JOIN df USING (token)")
 def j2_query_token_lookup(spark, sf_dir):
-    index = _index(chunks(spark, sf_dir))
-    from corvane.functions.text import tokenize
-
     asked = queries(spark, sf_dir).select("qid", F.explode(tokenize(F.col("query"))).alias("token"))
-    df = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    df = _index(spark, sf_dir).postings(asked).groupBy("token").agg(F.count("*").alias("df"))
     return asked.join(df, "token").select("qid", "token", "df")
 
 
-@query(f"WITH {_VEC}, {_top('sim', 't', K)} SELECT qid, id, score, rank FROM t")
+@query(f"WITH {_vec('vec_id % 100 = 0')}, {_top('sim', 't', K)} SELECT qid, id, score, rank FROM t")
 def t1_vector_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return rt.knn(vectors, queries(spark, sf_dir), K).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return rt.knn(vectors, vector_queries(spark, sf_dir), K).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -181,8 +195,7 @@ def j10_greedy_same_file_dedup(spark, sf_dir):
 def t6_rerank_pool(spark, sf_dir):
     near, words, roles = _legs(spark, sf_dir)
     base = rt.ranked(rt.fuse(near, words, roles), 25)
-    stub = base.select("qid", "id", F.round((F.col("id") * 13 % 97) / 97.0, 6).alias("rerank_score"))
-    return rt.rerank(base, stub, 20).select("qid", "id", F.col("new_rank").cast("long").alias("new_rank"))
+    return rt.rerank(base, F.round((F.col("id") * 13 % 97) / 97.0, 6), 20).select("qid", "id", F.col("new_rank").cast("long").alias("new_rank"))
 
 
 @query(f"WITH {_BM25}, {_VEC}, {_top('bm', 'kl', 30)}, {_top('sim', 'vl', 30)}, u AS (SELECT qid, id, min(p) AS p FROM (SELECT qid, id, 0 AS p FROM kl UNION ALL SELECT qid, id, 1 FROM vl) GROUP BY ALL) SELECT qid, id, p AS origin FROM u")
@@ -204,3 +217,24 @@ def a22_related_files(spark, sf_dir):
     near, words, roles = _legs(spark, sf_dir)
     found = rt.ranked(rt.fuse(near, words, roles), K).join(chunks(spark, sf_dir).select("id", F.col("file")), "id")
     return found.groupBy(F.col("file").alias("file_path")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "file_path").limit(5)
+
+
+_OWN_TOKENS = tokens_sql("tok", "(SELECT * FROM live)", "id", "content")
+
+
+@query(
+    f"""WITH {CHUNKS}, live AS (SELECT id, file_path, CASE WHEN id % 10 = 3 THEN 'replaced words ' || id ELSE content END AS content FROM chunks
+        WHERE lower(file_path) NOT IN (SELECT lower(file_path) FROM chunks WHERE id % 70 = 9) OR id % 10 = 3), {_OWN_TOKENS}
+    SELECT token, count(*) AS df, CAST(sum(key) AS BIGINT) AS id_sum, min(key) AS first_id FROM tok GROUP BY token"""
+)
+def k10_s15_keyword_index(spark, sf_dir):
+    """Added in two parts, files removed, some chunks replaced, merged with a second index, folded and loaded anew."""
+    c = chunks(spark, sf_dir)
+    root = f"{shared.folder(spark)}/kept-{sf_dir.strip('/').replace('/', '-')}-{uuid.uuid4().hex[:8]}"
+    index = KeywordIndex(spark, root, buckets=8).add(c.where("id % 2 = 0")).add(c.where("id % 2 = 1"))
+    index.remove(c.where("id % 70 = 9").select("file_path"))
+    changed = c.where("id % 10 = 3").withColumn("content", F.concat(F.lit("replaced words "), F.col("id").cast("string")))
+    other = KeywordIndex(spark, root + "-other", buckets=8).add(changed)
+    index.merge(other).compact()
+    found = KeywordIndex(spark, root).postings()  # as loaded by another reader
+    return found.groupBy("token").agg(F.count("*").alias("df"), F.sum("id").alias("id_sum"), F.min("id").alias("first_id"))
