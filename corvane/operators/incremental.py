@@ -71,3 +71,11 @@ def merge_log(local: DataFrame, remote: DataFrame, key: str = "id", at: str = "t
     rest = [c for c in local.columns if c not in (key, at, deleted)]
     best = both.groupBy(key).agg(F.max(F.struct(deleted, at, "__own", *rest)).alias("m"))
     return best.select(key, F.col(f"m.{at}").alias(at), F.col(f"m.{deleted}").alias(deleted), *[F.col(f"m.{c}").alias(c) for c in rest])
+
+
+def merge_lists(entries: DataFrame, key: str, value: str, order: str, derived: str) -> DataFrame:
+    """(key, value, place) of each key's exclusion list: given entries, then derived ones, each once in any case, as first spelled."""
+    given = entries.select(F.col(key).alias("k"), F.trim(value).alias("v"), F.struct(F.col(derived).alias("d"), F.col(order).alias("o")).alias("at")).where("v <> ''")
+    first = given.groupBy("k", F.lower("v").alias("low")).agg(F.min(F.struct("at", "v")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("f.at")) - 1
+    return first.select(F.col("k").alias(key), F.col("f.v").alias(value), place.alias("place"))

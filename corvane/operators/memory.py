@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import signals as sg
 from corvane.functions import text as tx
 from corvane.operators import alike
 
@@ -97,3 +98,111 @@ def version_newer(a: Column, b: Column) -> Column:
     part = lambda v, i: F.coalesce(F.try_element_at(F.split(F.split_part(v, F.lit("-"), F.lit(1)), r"\."), F.lit(i)).cast("int"), F.lit(0))
     key = lambda v: F.struct(*[part(v, i).alias(f"p{i}") for i in (1, 2, 3)])
     return key(a) > key(b)
+
+
+def gotchas(records: DataFrame, tools: list[str], k: int = 5) -> DataFrame:
+    """(id, tool, content) of the k newest records on failures of callable tools whose cause is worth a warning.
+
+    records: (id, content, tags, observed). The tags tell the tool and the cause.
+    """
+    tool, kind = F.lower(sg.tag_value(F.col("tags"), sg.TOOL_TAG)), sg.tag_value(F.col("tags"), sg.CAUSE_TAG)
+    fit = F.array_contains("tags", sg.ERROR_TAG) & tool.isin([t.lower() for t in tools]) & kind.isin(sg.WARNED_OF)
+    return records.where(fit).orderBy(F.desc("observed"), F.desc("id")).limit(k).select("id", tool.alias("tool"), "content")
+
+
+def known_failures(failures: DataFrame, records: DataFrame) -> DataFrame:
+    """The failures (tool, cause, ...) for which a record bears both the tool's tag and the cause's."""
+    marked = records.select(F.explode(F.filter("tags", lambda t: t.startswith(sg.TOOL_TAG))).alias("t"), "tags")
+    marked = marked.select("t", F.explode(F.filter("tags", lambda t: t.startswith(sg.CAUSE_TAG))).alias("c")).distinct()
+    own = (F.concat(F.lit(sg.TOOL_TAG), F.lower("tool")) == F.col("t")) & (F.concat(F.lit(sg.CAUSE_TAG), F.col("cause")) == F.col("c"))
+    return failures.join(marked, own, "left_semi")
+
+
+def recall_for_error(hits: DataFrame, error: Column, injected: DataFrame, k: int = 2, min_score: float = 0.7, inject_min: float | None = None, min_shared: int = 1, budget: bool = True) -> DataFrame:
+    """(id, similarity, inject) of the hits for one error: candidates past the floor, and which of them may be injected.
+
+    hits: (id, content, score, similarity). The max(3k, 6) best scores are taken, those
+    that share too few words with the error go. Candidates come by similarity; with
+    budget left, the k first at ``inject_min`` or more that were not injected before are.
+    """
+    some = hits.where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(max(3 * k, 6))
+    some = some.where(tx.shared(tx.word_set(F.col("content"), 3), tx.word_set(error, 3)) >= min_shared)
+    free = some.join(injected.select(F.col("id").alias("done")), F.col("id") == F.col("done"), "left")
+    bar = min_score if inject_min is None else inject_min
+    fit = F.col("done").isNull() & (F.col("similarity") >= bar) & F.lit(budget)
+    place = F.row_number().over(Window.partitionBy("fit").orderBy(F.desc("similarity"), "id"))  # at most max(3k, 6) rows
+    return free.withColumn("fit", fit).withColumn("place", place).select("id", "similarity", (F.col("fit") & (F.col("place") <= k)).alias("inject"))
+
+
+def capture(extracted: DataFrame, existing: DataFrame, output: str = "output", most: int = 2, threshold: float = 0.85) -> DataFrame:
+    """Extracted candidates (id, turn, content, output) to be remembered: ``most`` a turn, in order of id.
+
+    Only turns whose output tells of a failure count, only candidates that no record
+    resembles, and only contents that are allowed.
+    """
+    failed = extracted.where(sg.signal(F.col(output)).isNotNull())
+    fresh = new_candidates(failed, existing, threshold).where(sg.allowed(F.col("content")))
+    place = F.row_number().over(Window.partitionBy("turn").orderBy("id"))
+    return fresh.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def add(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with the new records whose content is allowed, and those that are rejected.
+
+    Both: (id, content, kind, tags, confidence, observed, deleted_at). A null confidence is 1.
+    """
+    ok = sg.allowed(F.col("content"))
+    given = new.withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+    return log.unionByName(given.where(ok).select(log.columns)), given.where(~ok)
+
+
+def update(log: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with the patches (id, content, kind, tags, confidence) of live records; nulls keep what is there.
+
+    The second result tells of every patch (id, state): updated, rejected, where a new
+    content is not allowed and nothing of the patch counts, or missing. The time of the
+    observation stays.
+    """
+    names = ["content", "kind", "tags", "confidence"]
+    given = patches.select(F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in names])
+    refused = F.col("__content").isNotNull() & (F.col("__content") != F.col("content")) & ~sg.allowed(F.col("__content"))
+    hit = F.col("__id").isNotNull() & F.col("deleted_at").isNull()
+    both = log.join(given, F.col("id") == F.col("__id"), "left")
+    out = both.select(*[(F.when(hit & ~F.coalesce(refused, F.lit(False)), F.coalesce(f"__{c}", c)).otherwise(F.col(c)) if c in names else F.col(c)).alias(c) for c in log.columns])
+    told = given.join(log.where("deleted_at is null"), F.col("id") == F.col("__id"), "left")
+    state = F.when(F.col("id").isNull(), "missing").when(F.coalesce(refused, F.lit(False)), "rejected").otherwise("updated")
+    return out, told.select(F.col("__id").alias("id"), state.alias("state"))
+
+
+def remove(log: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The log with tombstones: removed records stay, deleted and last observed ``now``, so that a merge cannot revive them."""
+    gone = ids.select(F.col("id").alias("__id")).distinct()
+    both = log.join(gone, F.col("id") == F.col("__id"), "left")
+    hit = F.col("__id").isNotNull() & F.col("deleted_at").isNull()
+    put = {"deleted_at": now, "observed": now}
+    return both.select(*[(F.when(hit, put[c]).otherwise(F.col(c)) if c in put else F.col(c)).alias(c) for c in log.columns])
+
+
+def reconcile(log: DataFrame, store: DataFrame, indexed: DataFrame, suspects: DataFrame, now: Column, grace_s: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """What to do so that the store and the keyword index follow the log: (id, action), and the next suspects (id, first_seen).
+
+    log: (id, deleted_at); store: (id), a row each; indexed: (id); suspects: of the last
+    time. Live records: ``collapse`` where the store has several rows, which are written
+    anew, ``restore`` where it has none, ``index`` where the keyword index lacks them or
+    they were written anew. Store rows without a live record: kept as suspects at first,
+    ``delete`` once they are seen ``grace_s`` after; with an empty log nothing is deleted
+    and the suspects stay.
+    """
+    live = log.where("deleted_at is null").select("id").distinct()
+    rows = store.groupBy("id").agg(F.count("*").alias("rows"))
+    both = live.join(rows, "id", "left").join(indexed.select("id", F.lit(True).alias("there")).distinct(), "id", "left")
+    anew = F.col("rows").isNull() | (F.col("rows") > 1)
+    act = F.array(F.when(F.col("rows") > 1, "collapse"), F.when(anew, "restore"), F.when(anew | F.col("there").isNull(), "index"))
+    actions = both.select("id", F.explode(F.filter(act, lambda a: a.isNotNull())).alias("action"))
+    known = log.limit(1).select(F.lit(True).alias("known"))  # one row, or none
+    orphans = rows.select("id").join(live, "id", "left_anti").join(suspects, "id", "left").crossJoin(F.broadcast(known))
+    old = F.col("first_seen").isNotNull() & (F.unix_timestamp(now) - F.unix_timestamp("first_seen") >= grace_s)
+    late = orphans.where(old).select("id", F.lit("delete").alias("action"))
+    left = orphans.where(~old).select("id", F.coalesce("first_seen", now).alias("first_seen"))
+    unknown = suspects.join(log.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_anti")
+    return actions.unionByName(late), left.unionByName(unknown.select("id", "first_seen"))

@@ -55,10 +55,11 @@ def j7_resume_missing(spark, sf_dir):
     return inc.missing(man.where("chunk_count > 0"), scan.where("bytes > 1000"))
 
 
-@query(f"WITH {CHUNKS} SELECT DISTINCT file_path FROM chunks WHERE kind = '' AND lower(file_path) NOT IN (SELECT lower(file_path) FROM chunks WHERE id % 3 = 0)")
-def j4_m24_keyword_drift(spark, sf_dir):
+@query(f"WITH {CHUNKS} SELECT DISTINCT file_path FROM chunks WHERE kind = '' AND lower(file_path) NOT IN (SELECT lower(file_path) FROM chunks WHERE id % 7 = 3)")
+def j4_keyword_drift(spark, sf_dir):
+    """Files of the store that an index of every seventh chunk lacks."""
     c = chunks(spark, sf_dir)
-    return inc.missing(c.where("kind = ''"), c.where("id % 3 = 0"), "file_path")
+    return inc.missing(c.where("kind = ''"), c.where("id % 7 = 3").withColumn("file_path", F.upper("file_path")), "file_path")
 
 
 @query("WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, event_id % 5 = 0 AS dead FROM events) SELECT user_id, event_id, value FROM r WHERE n = 1 AND NOT dead")

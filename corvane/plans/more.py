@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import parsing as ps
+from corvane.functions import signals as sg
 from corvane.functions import text as tx
+from corvane.operators import incremental as inc
+from corvane.operators import status as st
 from corvane.plans.fixtures import CHUNKS, chunks, read
 from corvane.plans.registry import query
-from corvane.plans.scalar import CAUSES, _MESSAGES, _case, _messages
 
 
 @query("SELECT c_custkey, CASE WHEN s = '' THEN 'default' ELSE left(s, 40) END AS ns FROM (SELECT c_custkey, regexp_replace(regexp_replace(c_name || '#' || c_mktsegment || '//', '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM customer)")
@@ -32,10 +34,9 @@ def f14_embed_text(spark, sf_dir):
     return chunks(spark, sf_dir).select("id", F.sha2(ps.embed_text(F.col("file_path"), F.col("language"), F.lit("d"), F.col("content"), "q: "), 256).alias("text_sha"))
 
 
-@query("SELECT conv_id, turn, 'Tool \"' || role || '\" failed: ' || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS query FROM conversations")
+@query("SELECT conv_id, turn, 'Tool \"' || role || '\" failed: ' || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 400) AS query FROM conversations")
 def f18_error_query(spark, sf_dir):
-    flat = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 200)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('Tool "'), "role", F.lit('" failed: '), flat).alias("query"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", sg.error_query(F.col("role"), F.col("text")).alias("query"))
 
 
 @query("SELECT n_nationkey, 'first' AS a, n_name AS b FROM nation")
@@ -71,28 +72,16 @@ def f27_decay(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", (age > 2 * 30).alias("stale"))
 
 
-def _overlap(documents):
-    """Each document against the one of the next id."""
-    w = documents.select("doc_id", tx.word_set(F.col("text"), 3).alias("w"))
-    b = w.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    j = w.join(b, F.col("doc_id") == F.col("a"))
-    return j.select("a", "b", tx.shared(F.col("w"), F.col("wb")).cast("long").alias("shared"), F.round(tx.jaccard(F.col("w"), F.col("wb")), 6).alias("jaccard"))
-
-
-@query(
-    """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS w FROM documents WHERE doc_id < 200)
-    SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
-)
-def f8_f9_u5_overlap(spark, sf_dir):
-    return _overlap(read(spark, sf_dir, "documents").where("doc_id < 200"))  # the pairs its SQL asks about
-
-
 @query(
     """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda x: length(x) >= 3)) AS w FROM documents)
     SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS shared, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
 )
-def f8_f9_u5_overlap_all(spark, sf_dir):
-    return _overlap(read(spark, sf_dir, "documents"))
+def f8_f9_u5_overlap(spark, sf_dir):
+    """Each document against the one of the next id."""
+    w = read(spark, sf_dir, "documents").select("doc_id", tx.word_set(F.col("text"), 3).alias("w"))
+    b = w.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("wb"))
+    j = w.join(b, F.col("doc_id") == F.col("a"))
+    return j.select("a", "b", tx.shared(F.col("w"), F.col("wb")).cast("long").alias("shared"), F.round(tx.jaccard(F.col("w"), F.col("wb")), 6).alias("jaccard"))
 
 
 @query(f"WITH {CHUNKS}, f AS (SELECT id, file_path FROM chunks WHERE start_line = 41) SELECT c.id FROM chunks c SEMI JOIN f ON c.file_path = f.file_path")
@@ -114,18 +103,6 @@ def j17_nested_callables(spark, sf_dir):
     return near.where(~F.col("callable") | F.col("near").isNull() | ~F.col("near")).select("id")
 
 
-@query(f"WITH {_MESSAGES}, c AS (SELECT event_id, msg, {_case(CAUSES, 'msg')} AS cause FROM m) SELECT event_id, cause FROM c WHERE cause IN ('path', 'schema', 'permissions', 'tooling') AND length(msg) >= 15 ORDER BY event_id LIMIT 5")
-def m8_m14_proactive_gotchas(spark, sf_dir):
-    m = _messages(spark, sf_dir).withColumn("cause", tx.first_match(F.col("msg"), CAUSES))
-    return m.where(F.col("cause").isin("path", "schema", "permissions", "tooling") & (F.length("msg") >= 15)).orderBy("event_id").limit(5).select("event_id", "cause")
-
-
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view')")
-def m9_equivalent_record(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.where("event_type = 'click'").join(e.where("event_type = 'view'").select("user_id"), "user_id", "left_semi").select("user_id").distinct()
-
-
 @query(f"WITH {CHUNKS}, marks AS (SELECT DISTINCT 'docs/' || file AS p FROM chunks WHERE id % 40 = 1) SELECT DISTINCT file_path FROM chunks WHERE EXISTS (SELECT 1 FROM marks WHERE starts_with(file_path, p || '/'))")
 def m20_documented_subtrees(spark, sf_dir):
     c = chunks(spark, sf_dir)
@@ -138,21 +115,20 @@ def m20_documented_subtrees(spark, sf_dir):
 
 @query("SELECT conv_id, avg(length(text)) < 120 AS weak FROM conversations GROUP BY conv_id")
 def m21_weak_hits(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.avg(F.length("text")) < 120).alias("weak"))
-
+    """Conversations as queries, the lengths of their turns as scores."""
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(st.is_weak(F.avg(F.length("text")), 120).alias("weak"))
 
-@query("WITH a AS (SELECT event_id AS id, user_id FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id AS id, user_id FROM events WHERE event_id % 4 <> 0) SELECT (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS missing, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS orphans, (SELECT count(*) FROM (SELECT user_id FROM a GROUP BY 1 HAVING count(*) > 1)) AS repeated")
-def m5_reconcile(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
-    a, b = e.where("id % 3 <> 0"), e.where("id % 4 <> 0")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    again = a.groupBy("user_id").count().where("count > 1")
-    return count(a.join(b.select("id"), "id", "left_anti"), "missing").crossJoin(count(b.join(a.select("id"), "id", "left_anti"), "orphans")).crossJoin(count(again, "repeated"))  # one row each
 
-
-@query("SELECT lower(p_name) AS name, min(p_partkey) AS first_at FROM part GROUP BY 1")
+@query(
+    """WITH g AS (SELECT p_brand AS k, p_partkey AS i, trim(p_name) AS v, p_partkey % 3 = 0 AS derived FROM part),
+    f AS (SELECT k, v, i, row_number() OVER (PARTITION BY k, lower(v) ORDER BY derived, i) AS n, derived FROM g)
+    SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY derived, i) - 1 AS place FROM f WHERE n = 1"""
+)
 def u6_list_merge(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("first_at"))
+    """For each brand its names as an exclusion list; every third is derived and comes after."""
+    i = F.col("p_partkey")
+    given = read(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), i.alias("i"), F.col("p_name").alias("v"), (i % 3 == 0).alias("derived"))
+    return inc.merge_lists(given, "k", "v", "i", "derived").select("k", "v", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import paths
 from corvane.functions import vectors as vx
 from corvane.functions.text import tokenize
+from corvane.operators import incremental as inc
 from corvane.operators import retrieval as rt
 from corvane.operators.keywords import KeywordIndex
 from corvane.plans.fixtures import CHUNKS, chunks, queries, read, tokens_sql, vector_queries
@@ -238,3 +239,13 @@ def k10_s15_keyword_index(spark, sf_dir):
     index.merge(other).compact()
     found = KeywordIndex(spark, root).postings()  # as loaded by another reader
     return found.groupBy("token").agg(F.count("*").alias("df"), F.sum("id").alias("id_sum"), F.min("id").alias("first_id"))
+
+
+@query(f"WITH {CHUNKS}, {tokens_sql('tok', 'chunks', 'id', 'content')} SELECT c.id, lower(c.file_path) AS file, coalesce(n, 0) AS dl FROM chunks c LEFT JOIN (SELECT key, count(*) AS n FROM tok GROUP BY key) t ON t.key = c.id WHERE c.id % 7 = 3 OR lower(c.file_path) NOT IN (SELECT lower(file_path) FROM chunks WHERE id % 7 = 3)")
+def m24_keyword_rehydration(spark, sf_dir):
+    """An index of every seventh chunk gets the chunks of the files that it lacks."""
+    c = chunks(spark, sf_dir)
+    index = KeywordIndex(spark, f"{shared.folder(spark)}/drift-{uuid.uuid4().hex[:8]}", buckets=4).add(c.where("id % 7 = 3"))
+    lack = inc.missing(c, index.chunks().select(F.col("path").alias("file_path")), "file_path")
+    index.add(c.join(lack, "file_path", "left_semi"))
+    return index.chunks().select("id", F.lower("path").alias("file"), F.col("dl").cast("long").alias("dl"))

@@ -5,41 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import paths
+from corvane.functions import signals as sg
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
+from corvane.functions.signals import BLOCKED, CAUSES, SIGNALS
 from corvane.plans.fixtures import CHUNKS, chunks, read, stem_sql, tokens_sql
 from corvane.plans.registry import query
 
-# Rules of the content filter, the cause classes and the output signals.
-BLOCKED = [
-    r"(?i)\bskip\s+(?:\S+\s+)*?tests?\b", r"(?i)\bdisable\s+(lint|typecheck|strict)", r"(?i)\bignore\s+(all\s+)?errors", r"\brm\s+-rf\b",
-    r"\bforce\s+push\b", r"\bgit\s+push\s+--force\b", r"(?i)\bdelete\s+.+\.git", r"(?i)\btouch\s+(?:\.env|withheld)", r"(?i)\bbypass\s+(?:security|review|check)",
-]
-CAUSES = [
-    ("unknown-tool", r"(?i)unknown tool|no such tool|tool .*not found|not a registered tool"),
-    ("schema", r"(?i)expected .*(received|but got)|invalid argument|invalid type|schema|must be (a|an|string|number|boolean|object|array)"),
-    ("permissions", r"(?i)eacces|permission denied"),
-    ("path", r"(?i)enoent|no such file or directory|cannot find module"),
-    ("rate-limit", r"(?i)\b429\b|rate limit|too many requests"),
-    ("timeout", r"(?i)timed? ?out|timeout|etimedout"),
-    ("runtime", r"(?im)traceback \(most recent call last\)|^(?:type|reference|syntax|range|uri)error:"),
-    ("tooling", r"(?i)npm err!|eresolve|peer dep"),
-    ("crash", r"(?i)segmentation fault|core dumped|panic:"),
-    ("exit-code", r"(?i)exited with code|command failed"),
-]
-SIGNALS = [
-    ("permissions", r"\b(EACCES|EPERM)\b"),
-    ("path", r"\b(ENOENT|ENOTFOUND|EISDIR|ENOTDIR|EEXIST|ELOOP|ENOTEMPTY|ENAMETOOLONG)\b"),
-    ("runtime", r"Traceback \(most recent call last\)"),
-    ("runtime", r"(?m)^(?:Type|Reference|Syntax|Range|URI)Error:"),
-    ("tooling", r"(?m)^npm ERR!"),
-    ("crash", r"(?m)Segmentation fault|core dumped|panic:|Killed$"),
-    ("exit-code", r"(?i)Command failed"),
-    ("path", r"(?i)^Could not read file:"),
-    ("exit-code", r"(?i)(?:^|\n)\s*(?:Error:\s*)?Exited with code\s+0*[1-9]"),
-]
-
-
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -159,18 +131,25 @@ def p16_line_overlap(spark, sf_dir):
 
 @query(f"WITH {_MESSAGES} SELECT event_id, NOT ({' OR '.join(f'regexp_matches(msg, {_lit(p)})' for p in BLOCKED)}) AS allowed FROM m")
 def p17_trust_filter(spark, sf_dir):
-    return _messages(spark, sf_dir).select("event_id", (~tx.any_match(F.col("msg"), BLOCKED)).alias("allowed"))
+    return _messages(spark, sf_dir).select("event_id", sg.allowed(F.col("msg")).alias("allowed"))
 
 
-@query(f"WITH {_MESSAGES} SELECT event_id, {_case(SIGNALS, 'msg')} AS signal FROM m")
+@query(
+    f"""WITH {_MESSAGES} SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 17 = 1 THEN 'exit-code'
+    WHEN event_id % 5 = 0 THEN CASE WHEN regexp_matches(msg, '^Could not read file:') THEN 'path' END ELSE {_case(SIGNALS, "msg")} END AS signal FROM m"""
+)
 def p18_error_signal(spark, sf_dir):
-    clean = F.regexp_replace("msg", "\u001b\\[[0-9;]*m", "")
-    return _messages(spark, sf_dir).select("event_id", tx.first_match(clean, SIGNALS).alias("signal"))
+    """Outputs of commands, of other tools, and of commands whose exit code is known."""
+    i = F.col("event_id")
+    code = F.when(i % 17 == 0, 0).when(i % 17 == 1, 2)
+    tool = F.when(i % 5 == 0, "read").otherwise("Bash")
+    found = sg.signal(F.concat(F.lit("\u001b[31m"), "msg"), F.lower(tool).isin(sg.COMMAND_TOOLS), code)
+    return _messages(spark, sf_dir).select("event_id", found.alias("signal"))
 
 
 @query(f"WITH {_MESSAGES} SELECT event_id, {_case(CAUSES, 'msg')} AS cause FROM m")
 def p19_error_cause(spark, sf_dir):
-    return _messages(spark, sf_dir).select("event_id", tx.first_match(F.col("msg"), CAUSES).alias("cause"))
+    return _messages(spark, sf_dir).select("event_id", sg.cause(F.col("msg")).alias("cause"))
 
 
 @query(rf"WITH {_MESSAGES} SELECT event_id, 'bash|' || left(trim(regexp_replace(regexp_replace(lower(msg), '\s+', ' ', 'g'), '\d+', '#', 'g')), 160) AS signature FROM m")
