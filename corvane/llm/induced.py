@@ -220,6 +220,7 @@ class Sorter:
         self.t, self.symbols, self.limit, self.memory = t, symbols, min(limit, 255), max(1, memory)
         self.store = store or Store(32 * memory)
         self.kind = np.int32 if len(t) < 2**31 else np.int64
+        self.symbol = np.uint16 if symbols <= 1 << 16 else np.uint32 if symbols <= 1 << 32 else np.int64  # 16 bits are sorted by radix
 
     def _slices(self, n: int) -> Iterator[slice]:
         for a in range(0, n, self.memory):
@@ -425,8 +426,8 @@ class Sorter:
                 waiting.push(int(b[s]), target[s:e], lcp[s:e])
 
     def _heads(self, pos: np.ndarray) -> np.ndarray:
-        """The symbols before suffixes; -1 before the first one."""
-        return np.where(pos > 0, self.t[np.maximum(pos, 1) - 1].astype(np.int64), -1)
+        """The symbols before suffixes; any before the first one."""
+        return self.t[np.maximum(pos, 1) - 1].astype(self.symbol, copy=False)
 
     def _pass(self, up: bool, seeds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks (suffixes, shared prefixes, whether seeded) in order of the pass.
@@ -437,7 +438,7 @@ class Sorter:
         t, sign = self.t, 1 if up else -1
         waiting = Waiting(self.store, len(self.first), self.kind, self.memory)
         self.last = self.store.array(self.symbols, self.kind, -1)
-        onward = lambda head, sym, seeded: (head >= 0) & ((sign * (head - sym) > 0) | ((head == sym) & ~seeded))
+        onward = lambda pos, head, sym, seeded: (pos > 0) & ((head > sym if up else head < sym) | ((head == sym) & ~seeded))
         for b in range(len(self.first))[::sign]:
             low, high = int(self.bounds[b]), int(self.bounds[b + 1]) - 1
             if low == high:
@@ -446,13 +447,13 @@ class Sorter:
                     pos, lcp = got
                     yield pos, lcp, np.zeros(len(pos), bool)
                     head = self._heads(pos)
-                    self._push(waiting, *self._targets(pos, lcp, head, onward(head, low, np.False_)))
+                    self._push(waiting, *self._targets(pos, lcp, head, onward(pos, head, low, np.False_)))
                     end = pos[-1:]
                 for pos, lcp in seeds(b):
                     lcp[0] = 0 if end is None else shared(t, end, pos[:1], self.limit)[0]
                     yield pos, lcp, np.ones(len(pos), bool)
                     head = self._heads(pos)
-                    self._push(waiting, *self._targets(pos, lcp, head, onward(head, low, np.True_)))
+                    self._push(waiting, *self._targets(pos, lcp, head, onward(pos, head, low, np.True_)))
                     end = pos[-1:]
                 continue
             pos, lcp = waiting.take(b)
@@ -463,7 +464,7 @@ class Sorter:
             seeded = np.arange(len(pos)) >= len(pos) - sum(len(p) for p, _ in lots)
             pos, lcp, seeded, head = self._settled(pos, lcp, seeded, low, high, sign, onward)
             yield pos, lcp, seeded
-            self._push(waiting, *self._targets(pos, lcp, head, onward(head, t[pos].astype(np.int64), seeded) & ((head < low) | (head > high))))
+            self._push(waiting, *self._targets(pos, lcp, head, onward(pos, head, t[pos], seeded) & ((head < low) | (head > high))))
         waiting.close()
         self.store.free(self.last)
 
@@ -474,9 +475,9 @@ class Sorter:
         at, own = 0, seeded
         while True:
             p = parts[-1]
-            sym, head = t[p].astype(np.int64), self._heads(p)
+            sym, head = t[p].astype(self.symbol, copy=False), self._heads(p)
             syms.append(sym), heads.append(head)
-            pick = np.flatnonzero(onward(head, sym, own) & (head >= low) & (head <= high))
+            pick = np.flatnonzero(onward(p, head, sym, own) & (head >= low) & (head <= high))
             if not len(pick):
                 break
             parts.append(p[pick] - 1)
@@ -486,7 +487,8 @@ class Sorter:
         sym, head, source = np.concatenate(syms), np.concatenate(heads), np.concatenate(sources)
         pos = np.concatenate(parts)
         seeded, lcp = np.append(seeded, np.zeros(n - known, bool)), np.append(lcp, np.zeros(n - known, np.uint8))
-        main = 2 * (sym - low if sign > 0 else high - sym) + seeded
+        place = sym.astype(np.int64)
+        main = 2 * (place - low if sign > 0 else high - place) + seeded
         # Of one symbol, what came from before the bucket goes first; the rest follows its sources.
         value = main * (2 * n) + np.arange(n)
         if n > known:

@@ -50,7 +50,7 @@ NAME_BYTES = 6
 def _words(buf: np.ndarray, shift: int) -> np.ndarray:
     """The eight bytes from each position on, past ``shift``, as one number; zeros follow the end."""
     padded = np.concatenate([buf, np.zeros(shift + 8, np.uint8)])
-    return np.ndarray((len(buf),), "<u8", padded.data, shift, (1,)).copy()
+    return np.ndarray((len(buf),), "<u8", padded.data, shift, (1,)).astype(np.uint64)
 
 
 def window_runs(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +58,11 @@ def window_runs(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tupl
     n = len(buf)
     if n < width:
         return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
-    h = np.zeros(n, U64)
-    for j in range(0, gram, 8):
-        h = mix(h * U64(0x9E3779B97F4A7C15) + _words(buf, j) + U64(1))
+    h = _words(buf, 0)
+    for j in range(8, gram, 8):
+        h *= U64(0x9E3779B97F4A7C15)
+        h ^= _words(buf, j)
+    h = mix(h)
     span, need = 1, width - gram + 1
     while span * 2 <= need:
         h = np.minimum(h[:-span], h[span:])
@@ -197,10 +199,14 @@ def _gathered(dealt: DataFrame, parts: int, names: list[str], widths: list[int])
     return _together(dealt, parts, "bucket").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} binary" for n in names))
 
 
-def _answer(buckets: int):
-    """The asked names that another document asked about too, by buckets of the documents that asked; a shard at a time."""
+def _answer(buckets: int, lot: int = 2_000_000):
+    """The asked names that another document asked about too, by buckets of the documents that asked.
+
+    Names are compared a shard at a time; the answers of about ``lot`` names are dealt together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, names, held = [], [], 0
         for rows in _each(batches, ["shard", "docs", "counts", "names"]):
             name = np.concatenate([_unpacked(n) for _, _, n in rows])
             doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<i4")) for d, c, _ in rows])
@@ -212,8 +218,13 @@ def _answer(buckets: int):
             cut = _cuts(name[keep])
             low, high = np.minimum.reduceat(doc[keep], cut[:-1]), np.maximum.reduceat(doc[keep], cut[:-1])
             keep = keep[np.repeat(low != high, np.diff(cut))]
-            if len(keep):
-                yield _dealt(doc[keep], buckets, _packed(name[keep]))
+            docs.append(doc[keep]), names.append(name[keep])
+            held += len(keep)
+            if held > lot:
+                yield _dealt(np.concatenate(docs), buckets, _packed(np.concatenate(names)))
+                docs, names, held = [], [], 0
+        if held:
+            yield _dealt(np.concatenate(docs), buckets, _packed(np.concatenate(names)))
 
     return run
 
@@ -364,24 +375,40 @@ class Shard:
         return group, least.done()
 
 
-def _covered(width: int, memory: int, buckets: int):
-    """Shard by shard, the rows of which come together: covered spans by buckets of documents."""
+def _covered(width: int, memory: int, buckets: int, lot: int = 1_000_000):
+    """Shard by shard, the rows of which come together: covered spans by buckets of documents, about ``lot`` of them dealt together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         at, shard = None, None
         for b in batches:
             for name, *row in zip(*(b.column(k).to_pylist() for k in ("shard", "docs", "starts", "sizes", "data")), strict=True):
                 if name != at:
                     if shard:
-                        yield from (_dealt(d, buckets, s, z) for d, s, z in shard.spans())
+                        yield from shard.spans()
                     at, shard = name, Shard(width, memory)
                 shard.add(*row)
         if shard:
-            yield from (_dealt(d, buckets, s, z) for d, s, z in shard.spans())
+            yield from shard.spans()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for part in spans(batches):
+            parts.append(part)
+            held += len(part[0])
+            if held > lot:
+                yield _dealt(*_joined(parts, buckets))
+                parts, held = [], 0
+        if held:
+            yield _dealt(*_joined(parts, buckets))
 
     return run
 
 
+def _joined(parts: list[tuple], buckets: int) -> tuple:
+    doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return doc, buckets, start, size
+
+
 def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes in the given spans."""
     a, n = np.frombuffer(b"".join(starts), "<i8"), np.frombuffer(b"".join(sizes), "<i4").astype(np.int64)
@@ -392,7 +419,7 @@ def _spans(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndar
     return a[at], e[np.append(at[1:], len(a)) - 1]
 
 
-def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+def find(docs: DataFrame, width: int = 50, gram: int = 24, memory: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """(doc_id, text, copy, starts, sizes) of every row: whether it is a whole copy, and lists of packed spans to cut.
 
     row: whether a struct ``row`` of all columns of ``docs`` comes too.
@@ -419,7 +446,7 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 4_000_0
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
     scratch.free(spark)
     asks = _together(asked.where("shard >= 0").select("shard", "docs", "counts", "names"), parts, "shard")
-    answers = asks.mapInArrow(_answer(shards), "bucket int, docs binary, counts binary, c0 binary")
+    answers = asks.mapInArrow(_answer(parts), "bucket int, docs binary, counts binary, c0 binary")
     answers = _gathered(answers, parts, ["names"], [NAME_BYTES])
     told = answers.unionByName(asked.where("shard < 0").select("doc_id", "names"))
     told = told.groupBy(F.col("doc_id").alias("told_id")).agg(F.collect_list("names").alias("names"))
@@ -431,7 +458,7 @@ def find(docs: DataFrame, width: int = 50, gram: int = 16, memory: int = 4_000_0
     scratch.drop(told)
     scratch.free(spark)
     found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data")
-    found = _together(found, parts, "shard").mapInArrow(_covered(width, memory, shards), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
+    found = _together(found, parts, "shard").mapInArrow(_covered(width, memory, parts), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
     found = _gathered(found, parts, ["starts", "sizes"], [8, 4])
     spans = found.unionByName(sent.where("shard < 0").select("doc_id", "starts", "sizes"))
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
