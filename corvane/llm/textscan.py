@@ -60,9 +60,9 @@ def residues(n: int, base: int) -> np.ndarray:
     """base**0 ... base**(n - 1) modulo PRIME."""
     have = _RESIDUES.get(base)
     if have is None or len(have) < n:
-        have = np.ones(1, U64)
-        while len(have) < max(n, 1 << 20):
-            have = np.concatenate([have, reduced(have * U64(pow(base, len(have), PRIME)))])
+        have = np.ones(1, np.uint32) if have is None else have
+        while len(have) < max(n, 1 << 18):
+            have = np.concatenate([have, reduced(have * U64(pow(base, len(have), PRIME))).astype(np.uint32)])
         _RESIDUES[base] = have
     return have[:n]
 
@@ -83,7 +83,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
-def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, bounds from 0) of each chunk."""
     buf, off = buffers(column)
     i, n = 0, len(off) - 1
