@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -94,35 +95,69 @@ def ignore_lists(content: str) -> tuple[list[str], list[str]]:
     return tuple(sorted(found[k].values(), key=str.lower) for k in ("dirs", "files"))  # type: ignore[return-value]
 
 
+def _bare(value: str) -> str:
+    """Without outer blanks and one pair of like quotes."""
+    v = value.strip()
+    return v[1:-1].strip() if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+
+
+def _reviewed(raw: str) -> tuple[datetime | None, str | None]:
+    """The time that a lastReviewed value tells, in UTC where it names no zone, or what is wrong with it."""
+    v = _bare(raw)
+    if not v:
+        return None, "lastReviewed is empty"
+    if v[0] == "<" and v[-1] == ">":
+        return None, f'lastReviewed is an unreplaced placeholder ("{v}")'
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2})?(Z|[+-]\d{2}:?\d{2})?)?", v):
+        for form in ("%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d", "%m/%d/%Y"):
+            try:
+                return datetime.strptime(v, form).replace(tzinfo=timezone.utc), None
+            except ValueError:
+                pass
+        return None, f'lastReviewed is not a date ("{v}")'
+    try:
+        at = datetime.fromisoformat(v)
+    except ValueError:
+        return None, f'lastReviewed is not a real date ("{v}")'
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc), None
+
+
 def frontmatter(text: str) -> dict:
-    """title, tags, source_refs and last_reviewed of a page's leading block, and what is wrong with it."""
+    """title, tags, source_refs and last_reviewed of a page's leading block, and what is wrong with it.
+
+    The block starts with a first line --- and ends with --- or ...; without an end it
+    reaches over the whole page. Of a key that comes again the last counts. A list
+    stands in brackets, with commas, or in indented lines with hyphens below its key.
+    """
     out: dict = {"present": False, "title": None, "tags": [], "source_refs": [], "last_reviewed": None, "issues": []}
-    lines = text.removeprefix("﻿").splitlines()
-    if not lines or lines[0].strip() != "---" or "---" not in [x.strip() for x in lines[1:]]:
+    lines = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    if lines[0].strip() != "---":
         return out
     out["present"] = True
-    end = [x.strip() for x in lines[1:]].index("---") + 1
-    bare = lambda s: s.strip().strip("\"'").strip()
-    key, seen = None, set()
-    names = {"title": "title", "tags": "tags", "sourceRefs": "source_refs", "lastReviewed": "last_reviewed"}
+    end = next((k for k, x in enumerate(lines) if k and x.strip() in ("---", "...")), None)
+    if end is None:
+        out["issues"].append("frontmatter block is never closed")
+    keys: dict[str, tuple[str, list[str]]] = {}  # each key's last value, and the list below it
+    key = None
     for line in lines[1:end]:
-        if line.lstrip().startswith("- ") and key in ("tags", "source_refs"):
-            out[key].append(bare(line.lstrip()[2:]))
-        elif ":" in line and not line.startswith(" "):
-            name, value = line.split(":", 1)
-            key = names.get(name.strip())
-            if name.strip() in seen:
-                out["issues"].append(f"repeated key {name.strip()}")
-            seen.add(name.strip())
-            if key in ("tags", "source_refs"):
-                out[key] += [bare(v) for v in value.strip().removeprefix("[").removesuffix("]").split(",") if bare(v)]
-            elif key:
-                out[key] = bare(value) or None
-    try:
-        out["last_reviewed"] = out["last_reviewed"] and datetime.fromisoformat(out["last_reviewed"][:10]).replace(tzinfo=timezone.utc)
-    except ValueError:
-        out["issues"].append("unreadable lastReviewed")
-        out["last_reviewed"] = None
-    if out["last_reviewed"] is None and "lastReviewed" not in seen:
-        out["issues"].append("no lastReviewed")
+        item, pair = re.match(r"\s+-\s+(.*)$", line), re.match(r"([A-Za-z][\w-]*):[ \t]*(.*)$", line)
+        if item and key:
+            keys[key][1].append(_bare(item[1]))
+        elif pair:
+            key = pair[1]
+            if key in keys:
+                out["issues"].append(f'duplicate key "{key}" (last one wins)')
+            keys[key] = (pair[2].strip(), [])
+            if pair[2].strip():  # only a key without a value may have a list below it
+                key = None
+        else:
+            key = None
+    out["title"] = _bare(keys["title"][0]) or None if "title" in keys else None
+    for name, to in (("tags", "tags"), ("sourceRefs", "source_refs")):
+        value, below = keys.get(name, ("", []))
+        inner = value[1:-1] if value[:1] == "[" and value[-1:] == "]" else value
+        out[to] = below or [v for v in map(_bare, inner.split(",")) if v]
+    if "lastReviewed" in keys:
+        out["last_reviewed"], issue = _reviewed(keys["lastReviewed"][0])
+        out["issues"] += [issue] if issue else []
     return out

@@ -127,11 +127,18 @@ def error_signature(tool: Column, error: Column) -> Column:
     return F.concat(F.lower(tool), F.lit("|"), F.substring(F.trim(flat), 1, 160))
 
 
-def page_id(target: Column) -> Column:
-    """A link target without suffix, leading folder marks and outer slashes, in lower case."""
+# What is taken off a page's name, in this order; the folder may stand in a state folder.
+PAGE_PARTS = [r"(?i)\.(md|markdown)$", r"^\./", r"(?i)^{state}wiki/", r"/+$", r"^/+"]
+
+
+def page_id(target: Column, state: str | None = None) -> Column:
+    """A link target without suffix, leading folder marks and outer slashes, in lower case.
+
+    state: the name of the folder that the pages' folder may stand in.
+    """
     out = F.regexp_replace(F.trim(target), r"\\", "/")
-    for pattern in (r"(?i)\.(md|markdown)$", r"^\./", r"(?i)^(\.[^/]+/)?wiki/", r"/+$", r"^/+"):
-        out = F.regexp_replace(out, pattern, "")
+    for pattern in PAGE_PARTS:
+        out = F.regexp_replace(out, pattern.replace("{state}", f"({re.escape(state)}/)?" if state else ""), "")
     return F.lower(out)
 
 

@@ -1,9 +1,9 @@
 """Chunkers: files to rows (path, start_line, end_line, language, content).
 
 Line windows, overlap and usages are DataFrame operations. Language chunkers are
-rules over lines, registered by extension: blocks that open at a definition and
-close with its braces, its indentation or its end mark. They approximate syntax
-trees, which need parsers that are not installed here.
+registered by extension: most take a language's outermost declarations as ``syntax``
+finds them, the others blocks of lines that close by indentation, by the next heading
+or by an end mark.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Piece = tuple[int, int, str]
+from corvane.operators import syntax as sx
+
+Piece = tuple  # first line, last line, text, and for declarations a description
 Chunker = Callable[[str], list[Piece]]
 MAX_LINES, MAX_CHARS = 100, 8000
 PACK, LEAST = 4000, 300
@@ -234,10 +236,6 @@ def statements(text: str) -> list[Piece]:
     return out
 
 
-_SCRIPT = braces(r"^\s*(export\s+)?(default\s+)?(async\s+)?(function\b|interface\s|type\s+\w+.*=|(public|private|protected|static|async|\w+)?\s*\w+\s*\([^)]*\)\s*(:\s*[\w<>\[\]| ]+)?\s*\{|(const|let|var)\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>)")
-_C = braces(r"^(?!\s*(if|for|while|switch|return|else)\b)\s*(typedef\b|struct\s+\w+|enum\b|union\s+\w+|[\w:*&<>,~\s]+\([^;]*\)\s*(const)?\s*\{?\s*$)")
-_TYPED = braces(r"^\s*(public|private|protected|internal|static|abstract|sealed|override|async|\s)*(interface|struct|record|enum|[\w<>\[\],.?]+\s+\w+\s*\()")
-
 # Extensions of each language.
 REGISTRY: dict[str, tuple[str, Chunker]] = {}
 
@@ -248,28 +246,33 @@ def register(language: str, extensions: str, chunker: Chunker) -> None:
         REGISTRY[e.lower()] = (language, chunker)
 
 
-register("typescript", ".ts .tsx", _SCRIPT)
-register("javascript", ".js .jsx .mjs .cjs", _SCRIPT)
-register("python", ".py", indented(r"\s*(async\s+)?def\s|\s*class\s"))
-register("java", ".java", _TYPED)
-register("csharp", ".cs", _TYPED)
-register("go", ".go", braces(r"^func\b"))
-register("c", ".c .h", _C)
-register("cpp", ".cpp .cc .cxx .hpp .hxx", _C)
-register("rust", ".rs", braces(r"^\s*(pub(\([^)]*\))?\s+)?(async\s+)?(fn|struct|enum|trait|impl|type)\b"))
+def _python(text: str) -> list[Piece]:
+    """By the parser; texts that it refuses by indentation."""
+    return sx.chunks("python")(text) or indented(r"\s*(async\s+)?def\s|\s*class\s")(text)
+
+
+register("typescript", ".ts .tsx", sx.chunks("typescript"))
+register("javascript", ".js .jsx .mjs .cjs", sx.chunks("javascript"))
+register("python", ".py", _python)
+register("java", ".java", sx.chunks("java"))
+register("csharp", ".cs", sx.chunks("csharp"))
+register("go", ".go", sx.chunks("go"))
+register("c", ".c .h", sx.chunks("c"))
+register("cpp", ".cpp .cc .cxx .hpp .hxx", sx.chunks("cpp"))
+register("rust", ".rs", sx.chunks("rust"))
 register("ruby", ".rb", indented(r"\s*def\s"))
-register("kotlin", ".kt .kts", braces(r"^\s*(\w+\s+)*(fun|object|val|var)\b"))
-register("swift", ".swift", braces(r"^\s*(\w+\s+)*(func|enum|protocol|var|let)\b"))
-register("php", ".php", braces(r"\bfunction\s+\w+\s*\("))
-register("bash", ".sh .bash .zsh", braces(r"^\s*(function\s+\w+|\w+\s*\(\s*\))"))
-register("powershell", ".ps1 .psm1 .psd1", braces(r"(?i)^\s*function\s"))
+register("kotlin", ".kt .kts", sx.chunks("kotlin"))
+register("swift", ".swift", sx.chunks("swift"))
+register("php", ".php", sx.chunks("php"))
+register("bash", ".sh .bash .zsh", sx.chunks("bash"))
+register("powershell", ".ps1 .psm1 .psd1", sx.chunks("powershell"))
 register("sql", ".sql", statements)
-register("css", ".css", braces(r"^[^\s{}/][^{}]*\{"))
-register("html", ".html .htm", ended(r"(?i)<(script|style)\b", r"(?i)</(script|style)>"))
-register("xml", ".xml .csproj .svg", ended(r"^\s{0,2}<\w", r"</\w[^>]*>\s*$|/>\s*$"))
-register("json", ".json", indented(r'\s{2}"[^"]+"\s*:'))
+register("css", ".css", sx.chunks("css"))
+register("html", ".html .htm", sx.chunks("html"))
+register("xml", ".xml .csproj .svg", sx.chunks("xml"))
+register("json", ".json", sx.chunks("json"))
 register("yaml", ".yaml .yml", indented(r"[\w\"'-][^#]*:(\s|$)|- "))
-register("toml", ".toml", headed(r"^\s*\["))
+register("toml", ".toml", sx.chunks("toml"))
 register("ini", ".ini .cfg", headed(r"^\s*\["))
 register("markdown", ".md .mdx", headed(r"^#{1,6}\s"))
 register("dockerfile", ".dockerfile dockerfile", headed(r"^\s*(FROM|RUN|CMD|LABEL|EXPOSE|ENV|ADD|COPY|ENTRYPOINT|VOLUME|USER|WORKDIR|ARG|ONBUILD|STOPSIGNAL|HEALTHCHECK|SHELL|MAINTAINER)\b"))
@@ -281,19 +284,28 @@ register("doc", ".pdf .docx .doc", paragraphs)
 register("excel", ".xlsx .xls", sheets)
 
 
-def chunk(path: str, text: str, overrides: dict[str, str] | None = None, lines: int = MAX_LINES, overlap: int = 0) -> list[tuple[int, int, str, str]]:
-    """(start, end, language, content) by the path's chunker, else line windows; then split and overlapped."""
+IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".bmp")  # their text is a description
+
+
+def chunk(path: str, text: str, overrides: dict[str, str] | None = None, lines: int = MAX_LINES, overlap: int = 0) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, language, content, description) by the path's chunker, else line windows; then split and overlapped.
+
+    An image's text is one chunk below its path. A description is the comment above a
+    declaration, for its first chunk.
+    """
     base = path.rsplit("/", 1)[-1].lower()
     ext = "." + base.rsplit(".", 1)[-1] if "." in base else base
+    if ext in IMAGES:
+        return [(1, 1, "image", f"[image] [{ext[1:]}] [{path}] {text}", "")] if text.strip() else []
     language, run = REGISTRY.get(ext, ("text", windows))
     if overrides and ext in overrides:
         language, run = next(((n, c) for n, c in REGISTRY.values() if n == overrides[ext]), (language, run))
     pieces = run(text) or windows(text)
-    out = [p for piece in pieces for p in split_large(piece, lines or MAX_LINES, overlap=overlap)]
+    out = [(*p, piece[3] if len(piece) > 3 and not k else "") for piece in pieces for k, p in enumerate(split_large(piece[:3], lines or MAX_LINES, overlap=overlap))]
     if overlap:
         tails = [None, *["\n".join(p[2].split("\n")[-overlap:]) for p in out[:-1]]]
-        out = [(a, b, c if t is None else f"{t}\n{c}") for (a, b, c), t in zip(out, tails, strict=True)]
-    return [(a, b, language, c) for a, b, c in out]
+        out = [(a, b, c if t is None else f"{t}\n{c}", d) for (a, b, c, d), t in zip(out, tails, strict=True)]
+    return [(a, b, language, c, d) for a, b, c, d in out]
 
 
 def chunk_files(files: DataFrame, overrides: dict[str, str] | None = None, overlap: int = 0, path: str = "path", text: str = "text") -> DataFrame:
@@ -302,7 +314,47 @@ def chunk_files(files: DataFrame, overrides: dict[str, str] | None = None, overl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, *c) for p, t in zip(pdf["path"], pdf["text"], strict=True) for c in chunk(p or "", t or "", overrides, overlap=overlap)]
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "language", "content"])
+            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "language", "content", "description"])
 
-    out = files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, "path string, start_line int, end_line int, language string, content string")
+    out = files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, "path string, start_line int, end_line int, language string, content string, description string")
     return out.withColumn("id", F.sha2(F.concat_ws("|", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "content"), 256))
+
+
+# Line patterns of declarations in languages without blocks, by extension; the last group is the name.
+LINES = {
+    ".json": r'^\s*"(\w+)":', ".yaml": r"^(\w+):", ".yml": r"^(\w+):", ".toml": r"^\[(\w+)\]",
+    ".sh": r"^(?:function\s+(\w+)|(\w+)\s*\(\)\s*\{)", ".bash": r"^(?:function\s+(\w+)|(\w+)\s*\(\)\s*\{)", ".zsh": r"^(?:function\s+(\w+)|(\w+)\s*\(\)\s*\{)",
+    ".sql": r"(?i)^(CREATE|ALTER|DROP|SELECT|INSERT|UPDATE|DELETE)\s", ".md": r"^(#{1,6}\s.*)$",
+}
+
+
+def outline(path: str, text: str, overrides: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:
+    """(kind, name, first line, last line) of a file's declarations: by its language, by line patterns, each name
+    once, or else one entry that tells the number of lines."""
+    ext = "." + path.rsplit(".", 1)[-1].lower()
+    language = (overrides or {}).get(ext) or REGISTRY.get(ext, ("", None))[0]
+    if ext in LINES and not (overrides and ext in overrides):
+        found: dict[str, tuple] = {}
+        for k, row in enumerate(text.split("\n"), 1):
+            m = re.search(LINES[ext], row)
+            if m:
+                name = next(g for g in m.groups() if g).strip()
+                found.setdefault(name, ("atx_heading" if ext == ".md" else ext[1:], name.lstrip("# ") if ext == ".md" else name, k, k))
+        return list(found.values())
+    told = sx.outline(language, text) if language else None
+    if told is not None:
+        return told
+    n = text.count("\n") + 1
+    return [("file", f"{n} lines", 1, n)]
+
+
+def outlines(files: DataFrame, overrides: dict[str, str] | None = None, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, kind, name, start_line, end_line) of every file's outline."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *x) for p, t in zip(pdf["path"], pdf["text"], strict=True) for x in outline(p or "", t or "", overrides)]
+            yield pd.DataFrame(rows, columns=["path", "kind", "name", "start_line", "end_line"])
+
+    given = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    return given.mapInPandas(run, "path string, kind string, name string, start_line int, end_line int")

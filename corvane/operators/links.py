@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from corvane.functions.text import page_id
 
 
+def plain(text: Column) -> Column:
+    """Without fenced blocks, of which an unclosed one reaches to the end, and without inline code."""
+    lines = F.regexp_replace(text, r"\r\n?", "\n")
+    open_ = F.regexp_replace(lines, r"(?ms)^[ \t]*(```|~~~).*?(^[ \t]*(```|~~~)[^\n]*$|\z)", "")
+    return F.regexp_replace(open_, r"`[^`\n]*`", "")
+
+
 def wiki_links(text: Column) -> Column:
     """Targets of [[target#anchor|alias]] outside fenced and inline code."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?ms)^\s*(```|~~~).*?^\s*\1[^\n]*$", ""), r"`[^`\n]*`", "")
-    raw = F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\[\n]+)\]\]"), F.lit(1))
+    raw = F.regexp_extract_all(plain(text), F.lit(r"\[\[([^\]\[\n]+)\]\]"), F.lit(1))
     target = F.transform(raw, lambda r: F.trim(F.regexp_extract(r, r"^([^|#]*)", 1)))
     return F.filter(target, lambda t: F.length(t) > 0)
 
 
 def page_links(text: Column) -> Column:
     """Targets of [text](path.md) links to local pages, outside code."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?ms)^\s*(```|~~~).*?^\s*\1[^\n]*$", ""), r"`[^`\n]*`", "")
-    return F.regexp_extract_all(plain, F.lit(r"\[[^\]]*\]\((?!https?:|mailto:|#)([^)\s]+?\.md)(?:\s+\"[^\"]*\")?\)"), F.lit(1))
+    return F.regexp_extract_all(plain(text), F.lit(r"\[[^\]]*\]\((?!https?:|mailto:|#)([^)\s]+?\.md)(?:\s+\"[^\"]*\")?\)"), F.lit(1))
 
 
 def _base(c: Column) -> Column:

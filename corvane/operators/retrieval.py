@@ -150,27 +150,32 @@ def cap_per_file(results: DataFrame, n: int = 3, key: str = "id") -> DataFrame:
 def drop_similar(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Greedy removal of a file's chunks whose token sets overlap over ``threshold`` with a better one's.
 
-    Pairs are taken in order; of a pair the higher score stays, on a tie the
-    earlier, and the scan starts anew after each removal.
+    Pairs are taken in order; of a pair the higher score stays, on a tie the earlier.
+    A removal changes nothing for the pairs before it, so one walk does; only chunks
+    that share a token are compared. One group is a query's results of a file.
     """
     tokens = results.withColumn("__tokens", tx.tokenize(F.col("content")))
 
     def run(pdf):
         rows = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
-        sets, live = [frozenset(t) for t in rows["__tokens"]], list(range(len(rows)))
-        again = True
-        while again:
-            again = False
-            for x, a in enumerate(live):
-                for b in live[x + 1 :]:
-                    union = len(sets[a] | sets[b])
-                    if (len(sets[a] & sets[b]) / union if union else 1.0) > threshold:
-                        live.remove(b if rows["score"][a] >= rows["score"][b] else a)
-                        again = True
+        sets, score = [frozenset(t) for t in rows["__tokens"]], rows["score"].to_numpy()
+        holders: dict[str, list[int]] = {}
+        for k, own in enumerate(sets):
+            for t in own:
+                holders.setdefault(t, []).append(k)
+        bare = [k for k, own in enumerate(sets) if not own]  # two without tokens are alike
+        live = np.ones(len(rows), bool)
+        for x in range(len(rows)):
+            if not live[x]:
+                continue
+            met = np.bincount([k for t in sets[x] for k in holders[t] if k > x], minlength=len(rows)) if sets[x] else np.isin(np.arange(len(rows)), bare)
+            for y in np.flatnonzero(met[x + 1 :]) + x + 1:
+                if live[y] and (not sets[x] or met[y] / (len(sets[x]) + len(sets[y]) - met[y]) > threshold):
+                    if score[x] < score[y]:
+                        live[x] = False
                         break
-                if again:
-                    break
-        return rows.loc[live].drop(columns="__tokens")
+                    live[y] = False
+        return rows[live].drop(columns="__tokens")
 
     return tokens.groupBy("qid", "file_path").applyInPandas(run, results.schema)
 

@@ -18,7 +18,7 @@ def _vectors(spark, sf_dir):
 @query()
 def t2_ivf_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    index, centres = ann.build(v, 16)
+    index, centres = ann.build(v, ann.cells_for(v.count()))
     return ann.search(index, centres, vector_queries(spark, sf_dir), 10)
 
 

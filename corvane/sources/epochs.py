@@ -4,37 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.sources import shared
+
 
 class EpochTable:
     """Versions under ``root``/epoch=n; the pointer names the one that readers see."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
-        self.fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs = shared.files(spark, self.root)
+
+    def _path(self, name: str):
+        return shared.at(self.spark, f"{self.root}/{name}")
 
     def active(self) -> int:
         """0 before the first promotion."""
-        if not self.fs.exists(self._path("ACTIVE")):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/ACTIVE").first()[0])
+        return int(shared.read_state(self.spark, f"{self.root}/ACTIVE") or 0)
+
+    def epochs(self) -> list[int]:
+        """Every epoch that is there, promoted or not."""
+        if not self.fs.exists(self._path("")):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
+        return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
 
     def write(self, rows: DataFrame) -> int:
         """Write the next epoch, which no reader sees yet."""
-        n = self.active() + 1
+        n = max([self.active(), *self.epochs()]) + 1
         rows.write.mode("overwrite").parquet(f"{self.root}/epoch={n}")
         return n
 
     def promote(self, n: int) -> None:
-        self.spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/ACTIVE.new")
-        self.fs.delete(self._path("ACTIVE"), True)
-        self.fs.rename(self._path("ACTIVE.new"), self._path("ACTIVE"))
+        shared.write_text(self.spark, f"{self.root}/ACTIVE", str(n))
 
     def discard(self, n: int) -> None:
         if n != self.active():
             self.fs.delete(self._path(f"epoch={n}"), True)
 
+    def optimize(self, files: int, by: str | None = None) -> int:
+        """Rewrite the active epoch into ``files`` files, ranged by a column if one is given, promote it and delete the older ones."""
+        rows = self.read()
+        n = self.write(rows.repartitionByRange(files, by) if by else rows.repartition(files))
+        self.promote(n)
+        for old in self.epochs():
+            if old < n:
+                self.discard(old)
+        return n
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/epoch={self.active()}")
 

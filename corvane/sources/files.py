@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import paths
+from corvane.sources import shared
 
 # XML namespaces of the office formats.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -109,14 +110,21 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Write beside ``path``, then take its place by two renames; readers find a whole table."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at, new, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".new", ".old"))
-    fs = at.getFileSystem(conf)
+    """Write beside ``path``, then take its place by two renames.
+
+    If the second fails the old table is put back. Between them a reader finds no table
+    at ``path``; ``epochs.EpochTable`` has no such moment.
+    """
+    at, new, old = (shared.at(spark, path + x) for x in ("", ".new", ".old"))
+    fs = shared.files(spark, path)
     rows.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
+    there = fs.exists(at)
+    if there:
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, at):
+        if there:
+            fs.rename(old, at)
+        raise OSError(f"{path} could not be replaced")
     fs.delete(old, True)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import parsing as ps
 from corvane.functions import paths
 from corvane.functions import text as tx
+from corvane.operators import ann
 from corvane.operators import chunking as ck
 from corvane.operators import evaluation as ev
 from corvane.operators import links as lk
 from corvane.operators import memory as mm
 from corvane.operators import retrieval as rt
+from corvane.operators.keywords import KeywordIndex
 
 
 def tokens(spark, text):
@@ -83,9 +86,11 @@ def test_similar_pairs_lose_none(spark):
 
 def test_chunkers():
     py = "import x\n\n@dec\ndef f(a):\n    return a\n\nclass C:\n    def g(self):\n        pass\n"
-    assert [(c[0], c[1], c[2]) for c in ck.chunk("a.py", py)] == [(3, 5, "python"), (7, 9, "python")]
+    # Functions and decorated definitions are chunks, classes are not; the comment above is the description.
+    assert [(c[0], c[1], c[2]) for c in ck.chunk("a.py", py)] == [(3, 5, "python"), (8, 9, "python")]
     ts = "// doc\nexport function f() {\n  return '}';\n}\nconst x = 1;\n"
-    assert [(c[0], c[1]) for c in ck.chunk("a.ts", ts)] == [(1, 4)]
+    assert [(c[0], c[1], c[4]) for c in ck.chunk("a.ts", ts)] == [(2, 4, "doc")]
+    assert ck.chunk("a/b.PNG", "a red cat") == [(1, 1, "image", "[image] [png] [a/b.PNG] a red cat", "")]
     assert [c[3] for c in ck.chunk("a.tex", "x\n\\section{A}\na\n\\section{B}\nb")] == ["\\section{A}\na", "\\section{B}\nb"]
     assert len(ck.chunk("a.unknown", "\n".join(map(str, range(250))))) == 3
     assert ck.paragraphs("a" * 10 + "\n\n" + "b" * 400 + "\n\n" + "c" * 5000) == [(1, 2, "a" * 10 + "\n\n" + "b" * 400), (3, 3, "c" * 5000)]
@@ -99,7 +104,7 @@ def test_ignore_lists_and_frontmatter():
     dirs, files = ignore_lists("# c\n!keep\nnode_modules\n*.bin\nbuild/\n**/tmp\n/dist/**\na/b/c\nBuild/\nThumbs.db\n\\#x\n")
     assert dirs == ["#x", "a/b/c", "build", "dist", "node_modules", "tmp"] and files == ["#x", "*.bin", "a/b/c", "node_modules", "Thumbs.db"]
     got = frontmatter('---\ntitle: "T"\ntags: [a, b]\nsourceRefs:\n  - x.ts\nlastReviewed: <date>\n---\nbody')
-    assert (got["title"], got["tags"], got["source_refs"], got["issues"]) == ("T", ["a", "b"], ["x.ts"], ["unreadable lastReviewed"])
+    assert (got["title"], got["tags"], got["source_refs"], got["issues"]) == ("T", ["a", "b"], ["x.ts"], ['lastReviewed is an unreplaced placeholder ("<date>")'])
     assert not frontmatter("no block")["present"]
 
 
@@ -119,20 +124,20 @@ def test_ivf_recall(spark):
 
 
 def test_overlap_asks_every_document(spark, tmp_path):
-    from corvane.plans.more import f8_f9_u5_overlap_all
+    from corvane.plans.more import f8_f9_u5_overlap
 
     rows = [(i, f"alpha beta word{i}") for i in range(195, 206)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in f8_f9_u5_overlap_all(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in f8_f9_u5_overlap(spark, str(tmp_path)).collect())
     assert got == [(i, i + 1, 2, 0.5) for i in range(195, 205)]
 
 
 def test_injection_takes_every_candidate(spark, tmp_path):
-    from corvane.plans.memory import m11_auto_inject_all
+    from corvane.plans.memory import m11_auto_inject
 
     rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "alpha beta other"), (4, "alpha beta gamma"), (6, "alpha beta gamma"), (7, "none of them")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [r["id"] for r in m11_auto_inject_all(spark, str(tmp_path)).collect()]
+    got = [r["id"] for r in m11_auto_inject(spark, str(tmp_path)).collect()]
     assert got == [4, 2, 1, 3]
 
 
@@ -141,7 +146,7 @@ def test_lint_counts_every_near_duplicate(spark, tmp_path):
     import random
 
     from corvane.operators import alike
-    from corvane.plans.memory import m6_lint_counts_all
+    from corvane.plans.memory import m6_lint_counts
 
     rng = random.Random(3)
     texts = ["", None, "!?", "one", "One one", "common common"] + ["the very same common text"] * 5
@@ -154,6 +159,128 @@ def test_lint_counts_every_near_duplicate(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     sets = [set((t or "").lower().replace("!?", "").split()) for t in texts]
     want = sum(len(a & b) / len(a | b) > 0.85 for a, b in itertools.combinations(sets, 2) if a | b)
-    got = {r["issue"]: r["n"] for r in m6_lint_counts_all(spark, str(tmp_path)).collect()}
+    got = {r["issue"]: r["n"] for r in m6_lint_counts(spark, str(tmp_path)).collect()}
     assert got["near-duplicate"] == want > 100 and set(got) == {"low-confidence", "stale", "near-duplicate"}
     assert alike.count(df, 0.85, "text", block=5).first()["n"] == want
+
+
+def test_links_in_open_fences(spark):
+    text = "[[a]]\r\n~~~\n[[no]]\n```\n[[b]] [x](c.md)\n```\n[[never closed]] [y](d.md)"
+    r = spark.createDataFrame([(text,)], "t string").select(lk.wiki_links(F.col("t")).alias("w"), lk.page_links(F.col("t")).alias("p")).first()
+    assert r["w"] == ["a", "b"] and r["p"] == ["c.md"]
+
+
+def test_frontmatter():
+    page = "\ufeff---\r\ntitle: 'A page'\ntags: [a, \"b\"]\nsourceRefs:\n  - x.ts\n  - y.ts\nlastReviewed: 2024-02-03\nother: 1\n...\nbody: no"
+    got = ps.frontmatter(page)
+    assert (got["title"], got["tags"], got["source_refs"], got["issues"]) == ("A page", ["a", "b"], ["x.ts", "y.ts"], []) and got["last_reviewed"].isoformat() == "2024-02-03T00:00:00+00:00"
+    open_ = ps.frontmatter("---\ntags: a\ntags: b, c\nlastReviewed: <date>")
+    assert open_["present"] and open_["tags"] == ["b", "c"] and len(open_["issues"]) == 3 and open_["last_reviewed"] is None
+    assert not ps.frontmatter("no\n---\n---")["present"] and not ps.frontmatter("")["present"]
+    for raw, fine in (("2024-02-30", False), ("", False), ("soon", False), ("2024-02-03T10:00:00Z", True), ("March 4, 2024", True)):
+        one = ps.frontmatter(f"---\nlastReviewed: {raw}\n---")
+        assert (one["last_reviewed"] is not None) == fine and bool(one["issues"]) != fine
+    assert ps.frontmatter("---\ntags:\n- x\n---")["tags"] == []  # items of a list are indented
+
+
+def test_page_ids(spark):
+    ids = lambda state: [r[0] for r in spark.createDataFrame([("./Wiki/A.md",), (".s/wiki/b/",), (".t/wiki/c",)], "t string").select(tx.page_id(F.col("t"), state)).collect()]
+    assert ids(None) == ["a", ".s/wiki/b", ".t/wiki/c"] and ids(".s") == ["a", "b", ".t/wiki/c"]
+
+
+def test_token_lists_are_tokenize(spark):
+    texts = ["getUserById XMLHttpRequest_v2 parsed boxes", "", None, "a _b __c__ d1 D2 classes indexing", "ÄÖ snake_case_Word ABC", "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string").withColumn("file_path", F.lit("f"))
+    got = {r["id"]: (sorted(r["tokens"]), r["dl"]) for r in tx.token_lists(df, "id", "content", "file_path").collect()}
+    want = {r["id"]: sorted(r["t"]) for r in df.select("id", tx.tokenize(F.col("content")).alias("t")).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_keyword_index_generations(spark, tmp_path):
+    rows = lambda some: spark.createDataFrame(some, "id long, file_path string, content string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), buckets=4).add(rows([(1, "A.ts", "alpha beta"), (2, "b.ts", "beta")]))
+    live = lambda x: sorted((r["token"], r["id"]) for r in x.postings().collect())
+    assert live(index) == [("alpha", 1), ("beta", 1), ("beta", 2)] and index.statistics().first()["n"] == 2
+    index.remove(rows([(0, "a.TS", "")]))
+    assert live(index) == [("beta", 2)]
+    index.add(rows([(1, "a.ts", "gamma"), (3, "c.ts", "")]))
+    again = KeywordIndex(spark, str(tmp_path / "i"))
+    assert live(again) == [("beta", 2), ("gamma", 1)] and again.chunks().count() == 3 and again.statistics().first()["n"] == 2
+    queries = spark.createDataFrame([(7, "beta gammas"), (8, "nothing here")], "qid long, query string")
+    assert {(r["qid"], r["id"]) for r in again.search(queries).collect()} == {(7, 2), (7, 1)}
+    before = live(again)
+    assert live(again.compact()) == before == live(KeywordIndex(spark, str(tmp_path / "i"))) and len(again.state["live"]) == 1
+    assert live(KeywordIndex(spark, str(tmp_path / "none"))) == []
+
+
+def test_drop_similar_is_the_scan_that_starts_anew(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [f"word{k}" for k in range(10) if rng.random() < 0.85] if i % 9 else []
+        rows.append((1, f"f{i % 2}", i, " ".join(words), rng.choice([0.1, 0.5, 0.9]), i))
+    df = spark.createDataFrame(rows, "qid long, file_path string, id long, content string, score double, rank int")
+    want = []
+    for f in ("f0", "f1"):
+        live = [(r[2], frozenset(w for w in r[3].split()) , r[4]) for r in rows if r[1] == f]
+        again = True
+        while again:
+            again = False
+            for x in range(len(live)):
+                for y in range(x + 1, len(live)):
+                    a, b = live[x], live[y]
+                    if (len(a[1] & b[1]) / len(a[1] | b[1]) if a[1] | b[1] else 1.0) > 0.8:
+                        live.remove(b if a[2] >= b[2] else a)
+                        again = True
+                        break
+                if again:
+                    break
+        want += [r[0] for r in live]
+    tokens = {r["id"]: r["n"] for r in df.select("id", F.size(tx.tokenize(F.col("content"))).alias("n")).collect()}
+    assert all(n == len(r[3].split()) for r, n in ((r, tokens[r[2]]) for r in rows))  # a token a word
+    assert sorted(r["id"] for r in rt.drop_similar(df).collect()) == sorted(want)
+
+
+def test_ivf_recall_on_the_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    exact = {(r["qid"], r["id"]) for r in rt.knn(v, asked, 10).collect()}
+    index, centres = ann.build(v, ann.cells_for(v.count()))
+    found = {(r["qid"], r["id"]) for r in ann.search(index, centres, asked, 10).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_knn_in_lots(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4).round(1)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = v.where("id < 25").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.clip((u @ u.T + 1) / 2, 0, 1).round(6)
+    want = {(q, int(i)) for q in range(25) for i in np.lexsort((np.arange(300), -s[q]))[:7]}
+    for most in (100, 6):
+        assert {(r["qid"], r["id"]) for r in rt.knn(v, asked, 7, most=most).collect()} == want
+
+
+def test_reconcile_with_an_empty_log(spark):
+    log = spark.createDataFrame([], "id long, deleted_at timestamp")
+    store, seen = spark.createDataFrame([(1,), (1,)], "id long"), spark.createDataFrame([(1, 5)], "id long, s long").select("id", F.timestamp_seconds("s").alias("first_seen"))
+    actions, left = mm.reconcile(log, store, store, seen, F.timestamp_seconds(F.lit(10**9)))
+    assert actions.count() == 0 and left.count() == 1
+
+
+def test_lint_counts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{j}" for j in range(30) if rng.random() < 0.95), 0.4 + i % 3 / 5, "2024-01-01 00:00:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string, confidence double, o string").withColumn("observed", F.col("o").cast("timestamp"))
+    sets = [set(r[1].split()) for r in rows]
+    want = sum(len(a & b) / len(a | b) > 0.85 for i, a in enumerate(sets) for b in sets[:i])
+    got = {r["issue"]: r["n"] for r in mm.lint_counts(df, F.lit("2024-10-01 00:00:00").cast("timestamp")).collect()}
+    assert got == {"low-confidence": 20, "stale": 60, "near-duplicate": want}

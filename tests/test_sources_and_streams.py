@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from corvane import config
 from corvane.operators import providers
-from corvane.sources import epochs, files
+from corvane.sources import epochs, files, shared, state
 from corvane.streaming import watch
 
 
@@ -73,3 +77,166 @@ def test_streams(spark, tmp_path):
     q = watch.watch(stream.withColumnRenamed("signature", "path"), seen.extend, str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert sorted(seen) == ["s", "t"]
+
+
+def test_epochs_are_rewritten_into_fewer_files(spark, tmp_path):
+    t = epochs.EpochTable(spark, str(tmp_path / "t"))
+    t.promote(t.write(spark.range(100).repartition(8)))
+    n = t.optimize(2, "id")
+    assert t.read().count() == 100 and t.active() == n and t.epochs() == [n]
+    assert len(list((tmp_path / f"t/epoch={n}").glob("part-*"))) == 2
+
+
+def test_state_is_found_between_the_renames(spark, tmp_path):
+    at = str(tmp_path / "s")
+    assert shared.read_state(spark, at) is None
+    shared.write_text(spark, at, "one")
+    shared.write_text(spark, at, "zwei ü")
+    assert shared.read_state(spark, at) == "zwei ü"
+    (tmp_path / "s").rename(tmp_path / "s.old")  # a writer stopped here
+    assert shared.read_state(spark, at) == "zwei ü"
+    files.swap(spark, spark.range(3), str(tmp_path / "w"))
+    files.swap(spark, spark.range(4), str(tmp_path / "w"))
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 4 and not (tmp_path / "w.old").exists()
+
+
+def test_manifest(spark, tmp_path):
+    at = str(tmp_path / "manifest.json")
+    assert state.load_manifest(spark, at)[1] == "missing"
+    rows = spark.createDataFrame([("a/é.ts", "h1", 3, 1.5), ('q"x', "h2", 0, None)], "path string, hash string, chunkCount long, mtime double")
+    state.save_manifest(spark, rows, at)
+    assert json.loads((tmp_path / "manifest.json").read_text())["schemaVersion"] == 3
+    found, how = state.load_manifest(spark, at)
+    assert how == "ok" and sorted((r["path"], r["hash"], r["chunkCount"], r["mtime"]) for r in found.collect()) == [("a/é.ts", "h1", 3, 1.5), ('q"x', "h2", 0, None)]
+    for text, n in (("{broken", 0), ('{"schemaVersion": 3}', 0), ('{"schemaVersion": 2, "files": {"x": {"hash": "h"}}}', 1)):
+        (tmp_path / "old.json").write_text(text)
+        found, how = state.load_manifest(spark, str(tmp_path / "old.json"))
+        assert how == "corrupt" and found.count() == n
+    with pytest.raises(ValueError, match="EpochTable"):
+        state.save_manifest(spark, rows, at, most=1)
+
+
+def test_labels_and_sessions(spark, tmp_path):
+    at = tmp_path / "labels.json"
+    at.write_text(json.dumps({"labels": [{"id": "a", "query": "q", "files": ["x"]}, {"id": "b", "query": "r", "files": ["y", "z"], "note": 1}]}))
+    got = state.load_labels(spark, str(at), ["id", "query", "files"])
+    assert sorted((r["id"], r["files"]) for r in got.collect()) == [("a", ["x"]), ("b", ["y", "z"])]
+    for bad in ([], [{"id": "a", "query": "q", "files": []}], [{"id": "a", "files": ["x"]}]):
+        at.write_text(json.dumps({"labels": bad}))
+        with pytest.raises(ValueError):
+            state.load_labels(spark, str(at), ["id", "query", "files"])
+    with pytest.raises(FileNotFoundError):
+        state.load_labels(spark, str(tmp_path / "none"), ["id"])
+    for name in ("s2.jsonl", "s1.jsonl", "other.txt"):
+        (tmp_path / name).write_text("")
+    assert state.session_ids(spark, str(tmp_path)) == ["s1", "s2"] and state.session_ids(spark, str(tmp_path / "no")) == []
+    state.delete_session(spark, str(tmp_path), "s1")
+    assert state.session_ids(spark, str(tmp_path)) == ["s2"]
+
+
+def test_lease_and_sync(spark, tmp_path):
+    at = [100.0]
+    lease = state.Lease(spark, str(tmp_path), "index", now=lambda: at[0], settle_s=0)
+    assert lease.acquire("a", 10) and not lease.acquire("b", 10) and lease.holder() == "a"
+    at[0] = 105
+    assert lease.renew("a", 10) and not lease.renew("b", 10)
+    at[0] = 116
+    assert lease.holder() is None and lease.acquire("b", 10)
+    lease.release("a")
+    assert lease.holder() == "b"
+    lease.release("b")
+    assert lease.holder() is None
+
+    one = state.sync("x", "x", None)
+    assert one[:2] == ("x", "none")
+    assert state.sync(None, "r", None)[:2] == ("r", "pull") and state.sync("l", None, None)[:2] == ("l", "push")
+    seen = one[2]
+    assert state.sync("x", "y", seen)[:2] == ("y", "pull") and state.sync("z", "x", seen)[:2] == ("z", "push")
+    assert state.sync("z", "y", seen) == ("z", "conflict", seen)
+    assert state.sync("z", "y", seen, lambda a, b: a + b)[:2] == ("zy", "merged")
+
+
+def test_git_feeds(spark, tmp_path):
+    git = lambda *w: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *w], cwd=tmp_path, check=True, capture_output=True, text=True).stdout.strip()
+    assert state.working_tree(spark, str(tmp_path)) is None
+    git("init", "-q")
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    git("add", "."), git("commit", "-qm", "one")
+    first = git("rev-parse", "HEAD")
+    (tmp_path / "a").write_text("changed")
+    git("rm", "-q", "b"), git("commit", "-qam", "two")
+    (tmp_path / "c").write_text("now")
+    (tmp_path / "new").write_text("n")
+    rows, head = state.changes_since(spark, str(tmp_path), first)
+    assert sorted(map(tuple, rows.collect())) == [("a", "changed"), ("b", "deleted"), ("new", "untracked")] and head == git("rev-parse", "HEAD")
+    assert state.changes_since(spark, str(tmp_path), "--output=x") is None
+    assert sorted(map(tuple, state.working_tree(spark, str(tmp_path)).collect())) == [("c", "modified"), ("new", "untracked")]
+    assert {r["path"] for r in state.touches(spark, str(tmp_path)).collect()} == {"a", "b", "c"}
+
+
+def test_reranker_rests_and_remembers(spark):
+    calls, at = [], [0.0]
+
+    def call(query, documents):
+        calls.append(len(documents))
+        if query == "bad":
+            raise ValueError
+        return [float(len(d)) for d in documents]
+
+    r = providers.Reranker("r", call, most=2, most_cached=3, failures=2, rest_s=10, now=lambda: at[0])
+    assert r.scores("q", ["a", "bb", "ccc"]) == [1, 2, 3] and calls == [2, 1]
+    assert r.scores("q", ["ccc", "bb"]) == [3, 2] and len(calls) == 2
+    assert r.scores("bad", ["x"]) is None and r.available() and r.scores("bad", ["x"]) is None and not r.available()
+    assert r.scores("q", ["dddd"]) is None and r.scores("q", ["bb"]) == [2]
+    at[0] = 11
+    assert r.scores("q", ["dddd"]) == [4] and len(r.known) == 3
+    df = spark.createDataFrame([(1, 5, 0, "q", "aaa"), (1, 6, 1, "q", "b"), (1, 7, 2, "q", "cc"), (2, 5, 0, "bad", "x")], "qid long, id long, rank int, query string, content string")
+    got = {(x["qid"], x["id"]): x["rerank_score"] for x in providers.rerank_scores(df, lambda: providers.Reranker("r", call), pool=2).collect()}
+    assert got == {(1, 5): 3.0, (1, 6): 1.0, (1, 7): None, (2, 5): None}
+
+
+def test_decisions_and_guard(spark):
+    ask = [{"id": "destructive", "type": "noul", "instructions": "?"}, {"id": "category", "type": "choice", "instructions": "?", "criteria": ["none", "network"]}]
+    assert providers.decision_problem("rm x", ask) is None
+    bad = [("", ask), ("x" * 9000, ask), ("x", []), ("x", ask + ask), ("x", [{"id": "a", "type": "choice", "instructions": "?", "criteria": ["one"]}]),
+           ("x", [{"id": "a", "type": "score", "instructions": "?", "criteria": {"a": 1, "b": 2}}]), ("x", [{"id": "a", "type": "noul", "instructions": "?", "criteria": []}]),
+           ("x", [{"id": "a", "type": "other", "instructions": "?"}]), ("x", [{"id": "a", "type": "noul", "instructions": " "}])]
+    assert all(providers.decision_problem(s, q) for s, q in bad)
+
+    def provider(states, questions):
+        return [[{"id": "destructive", "noul": {"probability": 1.7 if "rm" in s else 0.1}}, {"id": "malicious", "noul": 0.2}, {"id": "category", "choice": "delete_files"}] for s in states]
+
+    df = spark.createDataFrame([("rm -r x",), ("ls",), (None,)], "state string")
+    got = {r["state"]: r["v"] for r in providers.decided(df, provider, ask).select("state", providers.guard_verdict(F.col("answers"), 0.7).alias("v")).collect()}
+    assert tuple(got["rm -r x"]) == (True, 1.0, 0.2, "delete_files") and not got["ls"]["flagged"] and tuple(got[None]) == (False, 0.0, 0.0, "none")
+    at = [0.0]
+    memory = providers.Expiring(5, 2, now=lambda: at[0])
+    for k in "abc":
+        memory.put(k, k)
+    assert (memory.get("a"), memory.get("b")) == (None, "b")
+    at[0] = 6
+    assert memory.get("b") is None
+
+
+def test_description_cache(spark):
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    rows = spark.createDataFrame([(f"k{i}", "d", day(i)) for i in range(1, 11)], "cache_key string, description string, at string")
+    cache = rows.select("cache_key", "description", F.col("at").cast("timestamp").alias("created"))
+    now = F.lit("2024-01-11 00:00:00").cast("timestamp")
+    left = lambda most, days: sorted(r["cache_key"] for r in providers.evict(cache, now, most, days).collect())
+    assert left(10, 1) == sorted(f"k{i}" for i in range(1, 11))  # nothing goes while there is room
+    assert left(9, 4) == ["k10", "k7", "k8", "k9"] and left(2, 30) == ["k10", "k9"]
+    key = lambda *a: spark.range(1).select(providers.cache_key(F.lit("text"), "cfg", *map(F.lit, a))).first()[0]
+    assert len(key()) == 33 and len(key("a.ts:1")) == 42 and key("a.ts:1") != key("b.ts:1")
+    assert providers.dimension(providers.hash_embedder(8)) == 8 and providers.dimension(None, 3) == 3
+    with pytest.raises(ValueError):
+        providers.dimension(lambda t: [[]])
+
+
+def test_layers_and_overrides():
+    defaults = {"a": {"x": 1, "y": 2}, "chunking": {"parsers": {".c": "c"}}, "l": [1]}
+    got = config.layered(defaults, {"a": {"y": 3}}, {"l": [2], "chunking": {"parsers": {" H ": " CPP ", "a/b": "x", "z": 3}}}, {"a": None})
+    assert got == {"a": None, "chunking": {"parsers": {".c": "c", ".h": "cpp"}}, "l": [2]} and defaults["a"] == {"x": 1, "y": 2}
+    assert config.parser_warnings(None) == [] and len(config.parser_warnings([])) == 1
+    assert len(config.parser_warnings({".h": "cpp", "a/b": "c", ".x": "", ".y": "nope"})) == 3
