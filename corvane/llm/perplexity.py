@@ -14,8 +14,10 @@ which grows with the model; orders 1 and 2, bounded by the bytes, are in each.
 A document's perplexity is per byte. Each language's band is its median log
 perplexity less ``below`` and plus ``above`` robust deviations (1.4826 times the
 median absolute deviation, ``least_spread`` at least); documents that fail the
-base rules don't shape it. Documents outside their language's band, or failing
-the base rules, are rejected.
+base rules don't shape it. A short text's perplexity strays by chance, so deviations
+count by the square root of n / (n + ``settled``) for n bytes, which widens the band of
+short texts. Documents outside their language's band, or failing the base rules, are
+rejected.
 
 Null and empty texts have no words and fail the base rules. A null language is a
 language of its own. Ids may be null or repeat. An empty table gives an empty
@@ -302,7 +304,7 @@ def log_likelihood(docs: DataFrame, model: DataFrame, block_rows: int = 4_000_00
 
 
 def verdicts(
-    docs: DataFrame, below: float = 6.0, above: float = 4.0, least_spread: float = 0.02, block_rows: int = 4_000_000
+    docs: DataFrame, below: float = 6.0, above: float = 4.0, least_spread: float = 0.02, settled: int = 400, block_rows: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, lang, text, ...) without the text, with base counts, log perplexity, its band and the verdict."""
     counts = scratch.table(count_grams(docs.select("lang", "text")), "counts")
@@ -311,14 +313,15 @@ def verdicts(
     # Rounded, so that the exact percentiles keep a bounded number of values.
     entropy = F.when(F.col("n_bytes") > 0, F.round(-F.col("logp") / F.col("n_bytes"), 3))
     scored = scored.withColumn("base_failed", failed).withColumn("log_ppl", entropy)
+    scored = scored.withColumn("sure", F.when(F.col("n_bytes") > 0, F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + settled))))
     shaping = scored.where(~F.col("base_failed"))
     # A row a language; the joins broadcast these only where adaptive execution finds them small.
     mid = shaping.groupBy("lang").agg(F.percentile("log_ppl", F.lit(0.5)).alias("mid")).withColumnRenamed("lang", "l")
-    away = shaping.join(mid, F.col("lang").eqNullSafe(F.col("l"))).select("l", "mid", F.round(F.abs(F.col("log_ppl") - F.col("mid")), 3).alias("off"))
+    away = shaping.join(mid, F.col("lang").eqNullSafe(F.col("l"))).select("l", "mid", F.round(F.abs(F.col("log_ppl") - F.col("mid")) * F.col("sure"), 3).alias("off"))
     band = away.groupBy("l", "mid").agg((1.4826 * F.percentile("off", F.lit(0.5))).alias("spread"))
     band = scratch.table(band.select("l", "mid", F.greatest(F.col("spread"), F.lit(least_spread)).alias("spread")), "bands")
     out = scored.join(band, F.col("lang").eqNullSafe(F.col("l")), "left")
-    out = out.withColumn("low", F.col("mid") - below * F.col("spread")).withColumn("high", F.col("mid") + above * F.col("spread"))
+    out = out.withColumn("low", F.col("mid") - below * F.col("spread") / F.col("sure")).withColumn("high", F.col("mid") + above * F.col("spread") / F.col("sure"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
