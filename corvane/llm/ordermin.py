@@ -299,6 +299,7 @@ def near_duplicates(
 
     texts = wanted.join(given, F.col("rep") == F.col("doc_id")).select("node", "text", "key")
     seqs = scratch.table(texts.mapInArrow(sequences, "node long, seq binary"), "sequences")
+    scratch.free(docs.sparkSession)  # of the texts' shuffle
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("tbl", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(seqs, "node")
@@ -326,7 +327,12 @@ def near_duplicates(
             bucket.run(ids, data, side, name[2] != name[3])
         yield bucket.take()
 
-    classes = components(scratch.table(dealt.mapInArrow(compare, "a long, b long"), "links"))
+    links = scratch.table(dealt.mapInArrow(compare, "a long, b long"), "links")
+    del dealt, texts, wanted
+    scratch.drop(seqs)
+    scratch.drop(shared)
+    scratch.free(docs.sparkSession)
+    classes = components(links)
     named = reps.join(classes, "node", "left").select("key", "rep", F.coalesce("component_id", "node").alias("class"))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "class").select("key", "component_id")
