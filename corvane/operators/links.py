@@ -31,6 +31,20 @@ def _base(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]*)$", 1)
 
 
+# Pages that hold no content of their own.
+INDEXES = ("index", "log")
+
+
+def vertices(pages: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(id, base, title, is_content) of each page once: its title is that of its block, else its first heading, else its name; index, log and template pages aren't content. A page without an id is left out."""
+    own = F.regexp_extract(F.regexp_replace(text, r"\r\n?", "\n"), r"\A---[ \t]*\n(?s:.*?)(?<=\n)title:[ \t]*[\"']?([^\n]*?)[\"']?[ \t]*\n", 1)
+    head = F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1))
+    out = pages.select(page_id(F.col(path)).alias("id"), own.alias("own"), head.alias("head")).where("id <> ''")
+    out = out.groupBy("id").agg(F.min(F.struct("own", "head")).alias("t")).select("id", _base(F.col("id")).alias("base"), "t.own", "t.head")
+    title = F.when(F.col("own") != "", F.col("own")).when(F.col("head") != "", F.col("head")).otherwise(F.col("base"))
+    return out.select("id", "base", title.alias("title"), (~F.col("id").isin(*INDEXES) & ~F.col("id").startswith("templates/")).alias("is_content"))
+
+
 def resolve(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(src, raw, dst): the page of the same id, else the only one of that base name, else null.
 

@@ -48,6 +48,30 @@ def c0_c34_chunk_files(spark, sf_dir):
     return ck.chunk_files(p.unionByName(d))
 
 
-@query("WITH s AS (SELECT conv_id, turn, role, text FROM conversations) SELECT role, count(*) AS declarations FROM s GROUP BY role")
+_OUTLINES = """o AS (
+    SELECT 'f' || doc_id || '.txt' AS path, 'file' AS kind, (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines' AS name, 1 AS start_line,
+           length(text) - length(replace(text, chr(10), '')) + 1 AS end_line FROM documents WHERE doc_id % 2 = 1
+    UNION ALL SELECT path, 'yaml', name, min(pos), min(pos) FROM (
+        SELECT 'f' || doc_id || '.yaml' AS path, pos, regexp_extract(line, '^([A-Za-z0-9_]+):', 1) AS name FROM (
+            SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (
+                SELECT doc_id, string_split('lang: ' || lang || chr(10) || 'source: ' || chr(10) || 'lang: x' || chr(10) || text, chr(10)) AS l FROM documents WHERE doc_id % 2 = 0)))
+    WHERE name <> '' GROUP BY path, name)"""
+
+
+def _outlines(spark, sf_dir):
+    """Every second document as a settings file, the others as plain text."""
+    d = read(spark, sf_dir, "documents")
+    even = F.col("doc_id") % 2 == 0
+    path = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(even, ".yaml").otherwise(".txt"))
+    text = F.when(even, F.concat(F.lit("lang: "), "lang", F.lit("\nsource: \nlang: x\n"), "text")).otherwise(F.col("text"))
+    return ck.outlines(d.select(path.alias("path"), text.alias("text")))
+
+
+@query(f"WITH {_OUTLINES} SELECT path, kind, name, start_line, end_line FROM o")
+def c35_outline(spark, sf_dir):
+    return _outlines(spark, sf_dir).select("path", "kind", "name", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
+
+
+@query(f"WITH {_OUTLINES} SELECT kind, count(*) AS declarations FROM o GROUP BY kind")
 def a23_outline_counts(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy(F.regexp_replace("role", "_(definition|declaration)$", "").alias("role")).agg(F.count("*").alias("declarations"))
+    return _outlines(spark, sf_dir).groupBy(F.regexp_replace("kind", "_(definition|declaration)$", "").alias("kind")).agg(F.count("*").alias("declarations"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import paths
+from corvane.operators import incremental
 from corvane.sources import shared
 
 # XML namespaces of the office formats.
@@ -109,7 +110,20 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
+def rewrite_log(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Put the rows as JSON lines in the place of a log, as ``swap`` does."""
+    swap(spark, rows, path, "json")
+
+
+def versioned_rows(spark: SparkSession, path: str, schema: str, keys: list[str], version: str = "ver", deleted: str = "deleted", epoch: int | None = None) -> DataFrame:
+    """A table's exported JSON rows, one an insertion, as the table stands: of an epoch, if one is given, each key's newest version unless that is deleted."""
+    rows = spark.read.schema(schema).json(path)
+    if epoch is not None:
+        rows = rows.where(F.col("epoch") == epoch)
+    return incremental.latest(rows, keys, version, deleted)
+
+
+def swap(spark: SparkSession, rows: DataFrame, path: str, form: str = "parquet") -> None:
     """Write beside ``path``, then take its place by two renames.
 
     If the second fails the old table is put back. Between them a reader finds no table
@@ -117,7 +131,7 @@ def swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """
     at, new, old = (shared.at(spark, path + x) for x in ("", ".new", ".old"))
     fs = shared.files(spark, path)
-    rows.write.mode("overwrite").parquet(path + ".new")
+    rows.write.mode("overwrite").format(form).save(path + ".new")
     there = fs.exists(at)
     if there:
         fs.delete(old, True)

@@ -32,6 +32,12 @@ def final_messages(events: DataFrame) -> DataFrame:
     return events.where((F.col("event") != "message") | ((F.col("role") == "assistant") & F.col("completed").isNotNull()))
 
 
+def append_events(events: DataFrame, path: str, checkpoint: str, every: str = "1 second", once: bool = False) -> StreamingQuery:
+    """Append the final messages and all other events to a log of JSON lines, each exactly once."""
+    writer = final_messages(events).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """Counts and sums by event type and window, late events beyond ``late`` left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

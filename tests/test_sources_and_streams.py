@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import config
-from corvane.operators import providers
+from corvane.operators import ingest, links, providers
 from corvane.sources import epochs, files, shared, state
 from corvane.streaming import watch
 
@@ -240,3 +240,41 @@ def test_layers_and_overrides():
     assert got == {"a": None, "chunking": {"parsers": {".c": "c", ".h": "cpp"}}, "l": [2]} and defaults["a"] == {"x": 1, "y": 2}
     assert config.parser_warnings(None) == [] and len(config.parser_warnings([])) == 1
     assert len(config.parser_warnings({".h": "cpp", "a/b": "c", ".x": "", ".y": "nope"})) == 3
+
+
+def test_logs_are_rewritten_and_versions_folded(spark, tmp_path):
+    at = str(tmp_path / "log")
+    files.append_log(spark.range(3), at)
+    files.rewrite_log(spark, spark.range(5), at)
+    assert spark.read.json(at).count() == 5
+    rows = [(1, 1, 0, False, "a"), (1, 2, 0, False, "b"), (2, 1, 0, True, "c"), (3, 1, 1, False, "d"), (1, 9, 1, False, "e")]
+    spark.createDataFrame(rows, "id long, ver long, epoch int, deleted boolean, v string").write.json(str(tmp_path / "rows"))
+    kind = "id long, ver long, epoch int, deleted boolean, v string"
+    read = lambda e: sorted((r["id"], r["v"]) for r in files.versioned_rows(spark, str(tmp_path / "rows"), kind, ["id"], epoch=e).collect())
+    assert read(0) == [(1, "b")] and read(1) == [(1, "e"), (3, "d")] and read(None) == [(1, "e"), (3, "d")]
+
+
+def test_ingest(spark):
+    kind = "id string, path string, start_line int, end_line int, language string, content string, description string, embedding array<float>"
+    store = spark.createDataFrame([("old", "a.py", 1, 1, "python", "gone", "", [1.0]), ("keep", "b.py", 1, 1, "python", "x", "", [1.0])], kind)
+    given = spark.createDataFrame([("a.py", "# says f\ndef f():\n    return 1\n\ndef g():\n    return 2\n"), ("c.txt", "plain")], "path string, text string")
+    cache = spark.createDataFrame([], "cache_key string, description string")
+    out, grown = ingest.ingest(store, given, providers.hash_embedder(8), lambda t: ["told"] * len(t), cache, "c")
+    got = {(r["path"], r["content"].split("\n")[0]): r["description"] for r in out.collect()}
+    assert got == {("b.py", "x"): "", ("a.py", "def f():"): "says f", ("a.py", "def g():"): "told", ("c.txt", "plain"): "told"}
+    assert grown.count() == 2 and out.where("size(embedding) = 8").count() == 3
+
+
+def test_event_stream_appends_final_messages(spark, tmp_path):
+    rows = [("message", "assistant", None), ("message", "assistant", 5), ("message", "user", 5), ("tool", None, None)]
+    df = spark.createDataFrame(rows, "event string, role string, completed long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    watch.append_events(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert sorted(str(r["role"]) for r in spark.read.schema(df.schema).json(str(tmp_path / "out")).collect()) == ["None", "assistant"]
+
+
+def test_vertices(spark):
+    rows = [("Wiki/Index.md", "# All"), ("a/B.md", "---\ntitle: 'Of b'\n---\n# Other"), ("c.md", "text\n# Head\n"), ("d.md", ""), ("templates/t.md", "# T"), ("/", "x")]
+    got = {r["id"]: (r["base"], r["title"], r["is_content"]) for r in links.vertices(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"index": ("index", "All", False), "a/b": ("b", "Of b", True), "c": ("c", "Head", True), "d": ("d", "d", True), "templates/t": ("t", "T", False)}
