@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,15 +49,36 @@ def table(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the scratch table that ``df`` reads, once what is made of it has been written."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+def made() -> list[str]:
+    """The tables written so far that have not been deleted."""
+    return list(_made)
+
+
+def unread(df: DataFrame, tables: list[str]) -> list[str]:
+    """Those of the tables that ``df`` does not read."""
+    if not tables:
+        return []
+    folders = {part for f in df.inputFiles() for part in f.split("/")}
+    return [t for t in tables if t.rsplit("/", 1)[-1] not in folders]
+
+
+def delete(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables once nothing reads them."""
+    for table_ in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if table_ in _made:
+            _made.remove(table_)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` reads, once what is made of it has been written."""
+    kept = set(unread(df, _made))
+    delete(df.sparkSession, [t for t in _made if t not in kept])
 
 
 def free(spark: SparkSession) -> None:

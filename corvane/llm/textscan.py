@@ -83,7 +83,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, bounds from 0) of each chunk."""
     buf, off = buffers(column)
     i, n = 0, len(off) - 1
