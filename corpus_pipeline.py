@@ -15,6 +15,7 @@ empty.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -24,40 +25,65 @@ from corvane.llm import ordermin, packing, perplexity, quality, scratch, suffixd
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
 
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage on the columns of documents. Before it begins, the scratch tables of stages before it go that ``docs`` does not read."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        gone = scratch.unread(docs, _left)
+        scratch.delete(spark, gone)
+        _left[:] = [t for t in _left if t not in gone]
+        scratch.free(spark)
+        before = set(scratch.made())
+        out = stage(spark, docs.select(COLUMNS), sf_dir)
+        _left.extend(t for t in scratch.made() if t not in before)
+        return out
+
+    return run
+
+
+@_tidy
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model scores 0.3 or more; a null id is scored alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.filtered(docs.select(COLUMNS), labels)
+    return quality.filtered(docs, labels)
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    return perplexity.filtered(docs.select(COLUMNS))
+    return perplexity.filtered(docs)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of smallest id, and of those the first; null ids come last."""
-    rows = scratch.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    rows = scratch.table(docs.select("*", F.monotonically_increasing_id().alias("row")), "rows")
     classes = ordermin.near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     kept = rows.select("row", "doc_id").join(classes, "row").groupBy("component_id").agg(first.alias("f"))
     return rows.join(kept.select(F.col("f.row").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
+@_tidy
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; documents of which nothing is left go."""
-    cut = suffixdedup.clean(docs.select(COLUMNS), row=True).where("kept_text <> ''")
+    cut = suffixdedup.clean(docs, row=True).where("kept_text <> ''")
     cut = cut.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
     return cut.select(COLUMNS)
 
 
+@_tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 4096 tokens."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
@@ -70,8 +96,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, from the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another, from the table of documents; of the tables in between none stays."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        found = stage(spark, docs, sf_dir)
+        before = set(scratch.made())
+        docs = scratch.table(found, name)
+        scratch.delete(spark, last)
+        last = [t for t in scratch.made() if t not in before]
+    scratch.delete(spark, _left)
+    _left.clear()
     return docs
