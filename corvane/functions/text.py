@@ -61,7 +61,7 @@ def _tokens_of(word: str) -> tuple[str, ...]:
     return tuple(lower | {_stemmed(p) for p in lower})
 
 
-def token_lists(rows: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
+def token_lists(rows: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """(id, path, dl, tokens): ``tokenize`` of every row, by Arrow batches that remember each word's tokens.
 
     Splitting every text three ways and stemming every row's words as column
@@ -88,7 +88,7 @@ def token_lists(rows: DataFrame, id_col: str, text_col: str, path_col: str) -> D
                 cols = [b.column(0), b.column(1), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "path", "dl", "tokens"])
 
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    given = rows.select(F.col(id_col).cast("long").alias("id"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(run, "id long, path string, dl int, tokens array<string>")
 
 

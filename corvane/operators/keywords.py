@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators import retrieval
 from corvane.sources import shared
 
 K1, B = 1.2, 0.75
@@ -128,12 +132,90 @@ class KeywordIndex:
         self._save()
         return self
 
-    def search(self, queries: DataFrame, query: str = "query", qid: str = "qid") -> DataFrame:
-        """(qid, id, score): BM25 with term frequency one, statistics from the whole index."""
-        asked = queries.select(F.col(qid).alias("qid"), F.explode(tx.tokenize(F.col(query))).alias("token"))
+    def search(self, queries: DataFrame, query: str = "query", qid: str = "qid", most: int = 20_000) -> DataFrame:
+        """(qid, id, score): BM25 with term frequency one, statistics from the whole index.
+
+        The tokens of at most ``most`` queries are taken to the driver, which reads the plans'
+        folders off them; those of more stay a table that is made for each use.
+        """
+        asked = tx.token_lists(queries, qid, query, None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
+        if queries.limit(most + 1).count() <= most:
+            asked = self.spark.createDataFrame(asked.toArrow())
         return bm25(self.postings(asked), self.statistics(), asked)
 
 
+    def best(self, queries: DataFrame, k: int, query: str = "query", qid: str = "qid", most: int = 20_000) -> DataFrame:
+        """(qid, id, score, rank): the k best of ``search``.
+
+        For at most ``most`` queries the postings of their tokens are dealt by chunk, and
+        each task adds up a matrix of queries by chunks, some chunks at a time, and keeps
+        its k best of every query: sums need no rows of (query, chunk) then. More queries
+        go by ``search``.
+        """
+        asked = tx.token_lists(queries, qid, query, None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
+        if queries.limit(most + 1).count() > most:
+            return retrieval.top(self.search(queries, query, qid, most), k, ["qid"])
+        asked = self.spark.createDataFrame(asked.toArrow())
+        hits = self.postings(asked)
+        stats = self.statistics().first()
+        # A row for each token of the queries.
+        df = hits.groupBy("token").agg(F.count("*").alias("df")).toPandas()
+        idf = np.log(1 + (stats["n"] - df["df"].to_numpy() + 0.5) / (df["df"].to_numpy() + 0.5))
+        pairs = asked.toPandas().merge(pd.DataFrame({"token": df["token"], "at": np.arange(len(df))}), on="token").sort_values(["at", "qid"])
+        names, column = np.unique(pairs["qid"].to_numpy(np.int64), return_inverse=True)
+        first = np.searchsorted(pairs["at"].to_numpy(), np.arange(len(df) + 1))
+        held = self.spark.sparkContext.broadcast((df["token"].tolist(), idf * (K1 + 1), float(stats["avgdl"] or 1), first, column, names))
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = hits.select("id", "token", "dl").repartition(parts, "id").sortWithinPartitions("id")
+        return retrieval.top(dealt.mapInArrow(_added(held, k), "qid long, id long, score double"), k, ["qid"])
+
+
+def _added(held, k: int, cells: int = 4_000_000):
+    """The k best chunks of every query among postings in order of chunks."""
+
+    def run(batches):
+        tokens, weight, avgdl, first, column, names = held.value
+        if not len(names):
+            return
+        place = pd.Index(tokens)
+        some = max(1, cells // len(names))  # chunks at a time
+        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+
+        def add(token: np.ndarray, chunk: np.ndarray, dl: np.ndarray) -> None:
+            nonlocal ids, scores
+            own, row = np.unique(chunk, return_inverse=True)
+            w = weight[token] / (1 + K1 * (1 - B + B * dl / avgdl))
+            n = first[token + 1] - first[token]
+            total = np.zeros(len(names) * len(own))
+            ends = np.cumsum(n)
+            for a in range(0, len(token), step := 200_000):
+                m, low = n[a : a + step], ends[a : a + step] - n[a : a + step]
+                at = np.repeat(first[token[a : a + step]] - (low - (low[0] if len(low) else 0)), m) + np.arange(int(m.sum()))
+                total += np.bincount(column[at] * len(own) + np.repeat(row[a : a + step], m), np.repeat(w[a : a + step], m), len(total))
+            table = np.where(total > 0, total.round(6), -1).reshape(len(names), len(own))
+            ids, scores = np.hstack([ids, np.broadcast_to(own, table.shape)]), np.hstack([scores, table])
+            if scores.shape[1] > k:
+                order = retrieval.best(ids, scores, k)
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+        waiting = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            new = [place.get_indexer(b.column(1).to_pandas()), b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64)]
+            waiting = [np.concatenate(x) for x in zip(waiting, new, strict=True)]
+            while True:
+                starts = np.flatnonzero(np.concatenate([[True], waiting[1][1:] != waiting[1][:-1]])) if len(waiting[1]) else np.zeros(0, np.int64)
+                if len(starts) <= some:
+                    break
+                add(*(x[: starts[some]] for x in waiting))
+                waiting = [x[starts[some] :] for x in waiting]
+        if len(waiting[1]):
+            add(*waiting)
+        r, c = np.nonzero(scores > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[r, c]), pa.array(scores[r, c])], ["qid", "id", "score"])
+
+    return run
+
+
 def bm25(hits: DataFrame, statistics: DataFrame, asked: DataFrame) -> DataFrame:
     """Scores of the postings of asked tokens. hits: (token, id, dl); statistics: one row; asked: (qid, token)."""
     df = hits.groupBy("token").agg(F.count("*").alias("df"))

@@ -16,11 +16,14 @@ OVERFETCH = 3
 
 
 def top(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "score", id_col: str = "id", rank: str = "rank") -> DataFrame:
-    """The k best of each group by score, ties by id, ranked from 0."""
+    """The k best of each group by score, ties by id, ranked from 0.
+
+    The row number itself is compared with k, so that Spark limits each group before the shuffle.
+    """
     order = [F.col(score).desc(), F.col(id_col)]
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     found = scored if by else scored.orderBy(*order).limit(k)
-    return found.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
+    return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).withColumn(rank, F.col("__n") - 1).drop("__n")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "id", vector: str = "embedding", most: int = 20_000) -> DataFrame:
@@ -63,7 +66,7 @@ def _nearest(held, k: int):
                 own = np.broadcast_to(part.column(0).to_numpy(), s.shape)
                 ids, scores = np.hstack([ids, own]), np.hstack([scores, s])
                 if scores.shape[1] > k:
-                    order = np.lexsort((ids, -scores))[:, :k] if scores.shape[1] <= 4 * k else _best(ids, scores, k)
+                    order = best(ids, scores, k)
                     ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
         m = ids.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, m)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
@@ -71,7 +74,7 @@ def _nearest(held, k: int):
     return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each row; among equal scores at the edge the lowest ids."""
     edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
     out = np.empty((len(scores), k), np.int64)
@@ -114,7 +117,8 @@ def fuse(vector_leg: DataFrame, keyword_leg: DataFrame, roles: DataFrame, kw: Co
 
 def ranked(fused: DataFrame, k: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("vector_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(), F.col("id")]
-    return fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1).where(F.col("rank") < k)
+    best = fused.withColumn("__n", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("__n") <= k)
+    return best.withColumn("rank", F.col("__n") - 1).drop("__n")
 
 
 def confidence(results: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import paths
 from corvane.functions import vectors as vx
-from corvane.functions.text import tokenize
+from corvane.functions.text import token_lists
 from corvane.operators import incremental as inc
 from corvane.operators import retrieval as rt
 from corvane.operators.keywords import KeywordIndex
@@ -74,7 +74,7 @@ def _index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = chunks(spark, sf_dir)
     asked = queries(spark, sf_dir)
-    words = rt.top(_index(spark, sf_dir).search(asked), 3 * K, ["qid"])
+    words = _index(spark, sf_dir).best(asked, 3 * K)
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = rt.knn(vectors, asked, 3 * K)
     return near, words, c.select("id", paths.role(F.col("file_path")).alias("role"))
@@ -89,12 +89,12 @@ def a5_bm25_statistics(spark, sf_dir):
 
 @query(f"WITH {_BM25}, {_top('bm', 't', K)} SELECT qid, id, score, rank FROM t")
 def t3_bm25_topk(spark, sf_dir):
-    return rt.top(_index(spark, sf_dir).search(queries(spark, sf_dir)), K, ["qid"]).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return _index(spark, sf_dir).best(queries(spark, sf_dir), K).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_INDEX}, {_ASKED} SELECT ask.key AS qid, token, df FROM ask JOIN df USING (token)")
 def j2_query_token_lookup(spark, sf_dir):
-    asked = queries(spark, sf_dir).select("qid", F.explode(tokenize(F.col("query"))).alias("token"))
+    asked = token_lists(queries(spark, sf_dir), "qid", "query", None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
     df = _index(spark, sf_dir).postings(asked).groupBy("token").agg(F.count("*").alias("df"))
     return asked.join(df, "token").select("qid", "token", "df")
 

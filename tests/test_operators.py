@@ -208,6 +208,9 @@ def test_keyword_index_generations(spark, tmp_path):
     assert live(again) == [("beta", 2), ("gamma", 1)] and again.chunks().count() == 3 and again.statistics().first()["n"] == 2
     queries = spark.createDataFrame([(7, "beta gammas"), (8, "nothing here")], "qid long, query string")
     assert {(r["qid"], r["id"]) for r in again.search(queries).collect()} == {(7, 2), (7, 1)}
+    full = {(r["qid"], r["id"]): r["score"] for r in again.search(queries).collect()}
+    assert {(r["qid"], r["id"]): r["score"] for r in again.best(queries, 5).collect()} == full and again.best(queries, 1).count() == 1
+    assert again.best(queries, 5, most=1).count() == 2  # more queries than are taken to the driver
     before = live(again)
     assert live(again.compact()) == before == live(KeywordIndex(spark, str(tmp_path / "i"))) and len(again.state["live"]) == 1
     assert live(KeywordIndex(spark, str(tmp_path / "none"))) == []
