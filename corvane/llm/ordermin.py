@@ -281,6 +281,7 @@ def near_duplicates(
     met = met.select(F.col("tbl").alias("t"), F.col("code").alias("c"), F.ceil(F.col("members") / block).cast("int").alias("nb"))
     shared = cells.join(met, (F.col("tbl") == F.col("t")) & (F.col("code") == F.col("c"))).select("tbl", "code", "node", "nb")
     shared = scratch.table(shared, "buckets")
+    scratch.free(docs.sparkSession)  # of the shuffles so far
     wanted = shared.select("node").distinct().join(reps.select("node", "rep", "key"), "node")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
