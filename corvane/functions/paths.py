@@ -35,21 +35,27 @@ def role(path: Column) -> Column:
     return F.when(test, "test").when(doc, "doc").otherwise("source")
 
 
+# Content types in the order in which they are tried, each by a pattern of the path or of its base name.
+CONTENT_TYPES = [
+    ("readme", "base", r"^readme"),
+    ("test", "base", r"^(test|tests|__tests__|spec|specs|__spec__)\b|\.(test|spec)\.[^.]+$"),
+    ("documentation", "path", r"(^|/)((docs?|documentation|guides?|manual|tutorial)s?)(/|$)"),
+    ("configuration", "path", r"(^|/)((config|conf|configuration|settings|env)s?)(/|$)"),
+    ("configuration", "base", r"\.(config|conf)\.[^.]+$"),
+    ("source", "path", r"(^|/)(src|source|lib|packages?|modules?)(/|$)"),
+    ("build", "path", r"(^|/)(ci|cd|\.github|\.gitlab|build|deploy|scripts?)(/|$)"),
+    ("example", "path", r"(^|/)(examples?|samples?|demos?)(/|$)"),
+]
+
+
 def content_type(path: Column) -> Column:
     """readme, test, documentation, configuration, source, build, example or nothing."""
     p = F.lower(slashed(path))
-    base = basename(p)
-    has = lambda names: p.rlike(rf"(^|/)({names})(/|$)")
-    return (
-        F.when(base.startswith("readme"), "readme")
-        .when(base.rlike(r"^(test|tests|__tests__|spec|specs|__spec__)\b") | base.rlike(r"\.(test|spec)\.[^.]+$"), "test")
-        .when(has("(docs?|documentation|guides?|manual|tutorial)s?"), "documentation")
-        .when(has("(config|conf|configuration|settings|env)s?") | base.rlike(r"\.(config|conf)\.[^.]+$"), "configuration")
-        .when(has("src|source|lib|packages?|modules?"), "source")
-        .when(has(r"ci|cd|\.github|\.gitlab|build|deploy|scripts?"), "build")
-        .when(has("examples?|samples?|demos?"), "example")
-        .otherwise("")
-    )
+    of = {"path": p, "base": basename(p)}
+    out = F.lit("")
+    for name, part, pattern in reversed(CONTENT_TYPES):
+        out = F.when(of[part].rlike(pattern), name).otherwise(out)
+    return out
 
 
 def glob_regex(pattern: str) -> str:

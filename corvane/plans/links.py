@@ -67,6 +67,14 @@ def g7_staleness(spark, sf_dir):
     return lk.staleness(reviews, touches, F.lit("1998-01-01 00:00:00").cast("timestamp"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS links FROM pages""")
+@query(
+    """SELECT page_id, array_to_string(CASE WHEN page_id % 3 = 0 THEN ['A/' || page_id] ELSE ['A/' || page_id, 'b' || page_id] END, '|') AS wiki,
+           CASE WHEN page_id % 3 = 0 THEN '' ELSE 'c' || page_id || '.md' END AS pages FROM pages"""
+)
 def f20_link_extraction(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
+    """Links beside code of every kind; the last fence of every third page is never closed."""
+    n = F.col("page_id").cast("string")
+    close = F.when(F.col("page_id") % 3 == 0, "").otherwise("```")
+    parts = [F.lit("See [[A/"), n, F.lit("|x]] and `[[no]]`.\n~~~\n[[fenced]]\n~~~\n```ts\n[[fenced too]] [z](z.md)\n"), close, F.lit("\n[[ b"), n, F.lit(" #s|t]] [t](c"), n, F.lit(".md) [u](http://x/y.md)")]
+    text = F.concat(*parts)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(lk.wiki_links(text), "|").alias("wiki"), F.array_join(lk.page_links(text), "|").alias("pages"))

@@ -20,12 +20,15 @@ def f12_namespace(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CHUNKS} SELECT id, CASE WHEN file_path LIKE 'src/__tests__%' THEN '[en] [src] [test] M' || id % 7 || '.test' WHEN file_path LIKE 'src/%' THEN '[en] [src] [source] Module' || id % 7
-    WHEN file_path LIKE 'docs/%' THEN '[en] [docs] [documentation] Guide ' || id % 7 WHEN file_path LIKE 'lib/%' THEN '[en] [lib] [source] Util ' || id % 7 ELSE '[en] [config] [configuration] S' || substr(file, 2) || '.config' END AS header
-    FROM chunks WHERE language = 'en' AND NOT regexp_matches(content, '(^|\\n)#')"""
+    f"""WITH {CHUNKS}, h AS (SELECT *, CASE WHEN id % 3 = 0 THEN '## Heading ' || id || chr(10) || content ELSE content END AS c FROM chunks)
+    SELECT id, coalesce('[' || language || '] ', '') || CASE WHEN file_path LIKE 'src/__tests__%' THEN '[src] [test] M' || id % 7 || '.test' WHEN file_path LIKE 'src/%' THEN '[src] [source] Module' || id % 7
+    WHEN file_path LIKE 'docs/%' THEN '[docs] [documentation] ' || CASE WHEN regexp_matches(c, '(?m)^#{{1,3}}\\s+(.+)$') THEN left(trim(regexp_extract(c, '(?m)^#{{1,3}}\\s+(.+)$', 1)), 80) ELSE 'Guide ' || id % 7 END
+    WHEN file_path LIKE 'lib/%' THEN '[lib] [source] Util ' || id % 7 ELSE '[config] [configuration] S' || substr(file, 2) || '.config' END AS header FROM h"""
 )
 def f13_metadata_header(spark, sf_dir):
-    c = chunks(spark, sf_dir).where((F.col("language") == "en") & ~F.col("content").rlike(r"(?m)^#"))
+    """All chunks, a third of them with a heading, which counts in Markdown files."""
+    begun = F.concat(F.lit("## Heading "), F.col("id").cast("string"), F.lit("\n"), "content")
+    c = chunks(spark, sf_dir).withColumn("content", F.when(F.col("id") % 3 == 0, begun).otherwise(F.col("content")))
     return c.select("id", ps.metadata_header(F.col("file_path"), F.col("content"), F.col("language")).alias("header"))
 
 
