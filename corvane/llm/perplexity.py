@@ -126,13 +126,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             lang = language_ids(b.column(0))
-            for i, j, buf, off in chunks(b.column(1)):
+            for i, j, buf, off in chunks(b.column(1), 1 << 18):
                 if len(buf):
                     held.append(np.unique(grams(buf, off, lang[i:j]), return_counts=True))
                     size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > 1_000_000:
                     held = [merged()]
-                    if len(held[0][0]) > 1_500_000:
+                    if len(held[0][0]) > 500_000:
                         yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop())], ["g", "c"])
                     size = sum(len(x) for x, _ in held)
         if held:
@@ -216,11 +216,11 @@ class HashArrays:
     def __init__(self, h: np.ndarray, values: np.ndarray, bits: int = 20):
         order = np.argsort(h)
         self.h, self.v, self.shift = np.append(h[order], U64(2**64 - 1)), np.append(values[order], 0).astype(np.float32), U64(64 - bits)
-        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=U64) << self.shift)
+        self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=U64) << self.shift).astype(np.uint32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, 0 where missing, and which are there."""
-        at = self.first[(h >> self.shift).astype(np.int64)]
+        at = self.first[(h >> self.shift).astype(np.int64)].astype(np.int64)
         rest = np.flatnonzero(self.h[at] < h)
         while len(rest):
             at[rest] += 1
@@ -268,7 +268,7 @@ def log_likelihood(docs: DataFrame, model: DataFrame, block_rows: int = 4_000_00
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lang = language_ids(b.column("lang"))
-                for i, j, buf, off in chunks(b.column(0)):
+                for i, j, buf, off in chunks(b.column(0), 1 << 18):
                     g = grams(buf, off, lang[i:j])
                     if blocks == 1:
                         value = arrays.value.logs(g)
