@@ -60,6 +60,19 @@ def platt(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float
     return max(a, 1e-3) / scale, b
 
 
+def product(x: np.ndarray, w: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """``x @ w`` with each row's terms added one after another.
+
+    A row's result is the same whatever rows stand beside it. BLAS's is not: its
+    rounding changes with the number of rows and with a row's place among them.
+    """
+    wide = w.reshape(len(w), -1).astype(kind)
+    out = np.zeros((len(x), wide.shape[1]), kind)
+    for column, weights in zip(np.ascontiguousarray(x.T, kind), wide, strict=True):
+        out += column[:, None] * weights
+    return out.reshape(len(x), *w.shape[1:])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

@@ -6,7 +6,8 @@ of its words. Gated attention, tanh of one projection times the sigmoid of
 another, weighs the passages; the weighted representation is scored. Only the
 document's label is learned from; the weights say which passages made the score.
 
-``score`` depends on the text alone. Null and empty texts are one empty passage.
+``score`` depends on the text alone, bit for bit: sums run in a fixed order, not in
+that of a matrix library. Null and empty texts are one empty passage.
 Ids may be null or repeat. Without labels of both kinds all scores are equal. An
 empty table gives an empty result.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.labelled import Adam, platt, remainder, sample, sigmoid
+from corvane.llm.labelled import Adam, platt, product, remainder, sample, sigmoid
 from corvane.llm.ordermin import FOLDED
 from corvane.llm.textscan import U64, chunks, mix, powers, prefix_hash, repeats, span_hash, words
 
@@ -91,16 +92,17 @@ class Attention:
         self.at = {"e": put(FEATURES, hidden), "eb": np.zeros(hidden, np.float32), "v": put(hidden, gate), "u": put(hidden, gate), "w": put(gate), "c": put(hidden), "d": np.zeros(1, np.float32)}
         self.slope, self.shift = 1.0, 0.0
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    def forward(self, x: np.ndarray, bounds: np.ndarray, times=np.matmul) -> dict[str, np.ndarray]:
+        """All values on the way to the texts' raw scores; ``times`` multiplies matrices."""
         p = self.at
         size, cut = bounds[1:] - bounds[:-1], bounds[:-1]
-        h = np.tanh(x @ p["e"] + p["eb"])
-        t, g = np.tanh(h @ p["v"]), sigmoid(h @ p["u"])
-        raw = (t * g) @ p["w"]
+        h = np.tanh(times(x, p["e"]) + p["eb"])
+        t, g = np.tanh(times(h, p["v"])), sigmoid(times(h, p["u"]))
+        raw = times(t * g, p["w"])
         raw = np.exp(raw - np.repeat(np.maximum.reduceat(raw, cut), size))
         a = raw / np.repeat(np.add.reduceat(raw, cut), size)
         z = np.add.reduceat(a[:, None] * h, cut, axis=0)
-        return {"h": h, "t": t, "g": g, "a": a, "z": z, "s": z @ p["c"] + p["d"][0]}
+        return {"h": h, "t": t, "g": g, "a": a, "z": z, "s": times(z, p["c"]) + p["d"][0]}
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -136,9 +138,9 @@ class Attention:
         return {k: g + (1e-3 * p[k] if p[k].ndim == 2 else 0) for k, g in grad.items()}
 
     def score(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities by text and the passages' attention weights."""
-        f = self.forward(self.scaled(x), bounds)
-        return sigmoid(self.slope * f["s"].astype(np.float64) + self.shift), f["a"]
+        """Probabilities by text and the passages' attention weights, of each text bit by bit as if it were alone."""
+        f = self.forward(self.scaled(x), bounds, product)
+        return sigmoid(self.slope * f["s"] + self.shift), f["a"]
 
 
 def train(pdf: pd.DataFrame) -> Attention:

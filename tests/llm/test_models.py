@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import perplexity, quality, sharding, toxicity, warc
-from corvane.llm.labelled import remainder
+from corvane.llm.labelled import remainder, sample
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,3 +211,64 @@ def test_attention_gradients():
         down = loss()
         v[at] = keep
         assert abs((up - down) / (2 * h) - grad[name][at]) < 1e-4 * max(1, abs(grad[name][at])), name
+
+
+def texts_and_net(spark, module, label, by, out):
+    """All texts of the smallest tables and a network that is fitted to them."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    net = module.train(sample(docs, labels, label, by, out))
+    return [r["text"] or "" for r in docs.select("text").collect()] + ["", "one", "x" * 300], net[0] if isinstance(net, tuple) else net
+
+
+def flat(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in data])]).astype(np.int64)
+
+
+def test_quality_scores_do_not_depend_on_other_texts(spark):
+    texts, net = texts_and_net(spark, quality, "quality", 5, 0)
+    score = lambda t: net.score(*quality.passages(*flat(t)))[0]
+    alone = np.array([score([t])[0] for t in texts])
+    assert (score(texts) == alone).all() and (score(texts[::-1])[::-1] == alone).all() and (score(texts[7:])[: len(texts)] == alone[7:]).all()
+
+
+def test_toxicity_scores_do_not_depend_on_other_texts(spark):
+    texts, net = texts_and_net(spark, toxicity, "toxic", 3, 1)
+    raw = lambda t: net.raw(*toxicity.hashed_words(*flat(t), net.bits))
+    alone = np.array([raw([t])[0] for t in texts])
+    assert (raw(texts) == alone).all() and (raw(texts[::-1])[::-1] == alone).all() and (raw(texts[7:]) == alone[7:]).all()
+
+
+def test_attention_forward_by_hand(spark):
+    """Every passage by plain loops over its features."""
+    texts, net = texts_and_net(spark, quality, "quality", 5, 0)
+    p = {k: v.astype(float) for k, v in net.at.items()}
+    for t in texts[:30]:
+        x, _ = quality.passages(*flat([t]))
+        hs, raws = [], []
+        for row in x.astype(float):
+            v = [min(6, max(-6, (a - m) / s)) for a, m, s in zip(row, net.mean.astype(float), net.scale.astype(float), strict=True)]
+            h = [np.tanh(sum(v[i] * p["e"][i][j] for i in range(len(v))) + p["eb"][j]) for j in range(len(p["eb"]))]
+            tanh = [np.tanh(sum(h[i] * p["v"][i][j] for i in range(len(h)))) for j in range(len(p["w"]))]
+            gate = [1 / (1 + np.exp(-sum(h[i] * p["u"][i][j] for i in range(len(h))))) for j in range(len(p["w"]))]
+            hs.append(h), raws.append(sum(a * b * w for a, b, w in zip(tanh, gate, p["w"], strict=True)))
+        a = np.exp(np.array(raws) - max(raws))
+        z = (a / a.sum()) @ np.array(hs)
+        want = 1 / (1 + np.exp(-(net.slope * (z @ p["c"] + p["d"][0]) + net.shift)))
+        assert abs(net.score(*quality.passages(*flat([t])))[0][0] - want) < 1e-5
+
+
+def test_convolution_forward_by_hand(spark):
+    """Every window and filter by plain loops."""
+    texts, net = texts_and_net(spark, toxicity, "toxic", 3, 1)
+    out = net.at["out"].reshape(len(toxicity.WIDTHS), net.filters)
+    for t in sorted(texts, key=len)[:40]:
+        words, _ = toxicity.hashed_words(*flat([t]), net.bits)
+        x = [sum(net.words[b].astype(float) for b in own) for own in words]
+        want = float(net.at["offset"][0])
+        for k, w in enumerate(toxicity.WIDTHS):
+            for q in range(net.filters):
+                z = [sum(float(x[i + j] @ net.at[f"f{w}"][j][:, q]) for j in range(w)) + net.at[f"b{w}"][q] for i in range(len(x) - w + 1)]
+                want += max([0.0, *z]) * out[k, q]
+        assert abs(net.raw(*toxicity.hashed_words(*flat([t]), net.bits))[0] - want) < 1e-3
