@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
+from corvane.llm import codec, lattice, merkle, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash, op13_radix_trie_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +81,46 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
     """,
+    "op13_radix_trie_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, n_chars,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n0,
+                   coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+                   xor(4294967295, list_reduce(
+                       [4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                       lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+            FROM documents
+        ), r AS (
+            SELECT doc_id, lang, sha256(head || n0 || tail) AS leaf,
+                   sha256(head || CASE WHEN crc % 7 = 0 THEN n1 ELSE n0 END || tail) AS given,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+            FROM d
+        ), node AS (
+            SELECT lang, 0 AS h, i, n, leaf AS x FROM r
+            UNION ALL
+            SELECT lang, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, h, i // 2, n
+        ), sub AS (
+            SELECT lang, h AS levels, x AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM node WHERE n = 1
+        ), crown AS (
+            SELECT 0 AS h, place AS i, n, subroot AS x FROM sub
+            UNION ALL
+            SELECT h + 1, i // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY h, i // 2, n
+        ), fold AS (
+            SELECT lang, i, 0 AS h, given AS x, '' AS proof FROM r
+            UNION ALL
+            SELECT f.lang, f.i, f.h + 1,
+                   sha256(CASE WHEN (CASE WHEN f.h < s.levels THEN f.i >> f.h ELSE s.place >> (f.h - s.levels) END) % 2 = 1
+                          THEN coalesce(a.x, b.x, '') || f.x ELSE f.x || coalesce(a.x, b.x, '') END),
+                   f.proof || coalesce(a.x, b.x, '')
+            FROM fold f JOIN sub s ON f.lang IS NOT DISTINCT FROM s.lang
+            LEFT JOIN node a ON f.h < s.levels AND a.lang IS NOT DISTINCT FROM f.lang AND a.h = f.h AND a.i = xor(f.i >> f.h, 1)
+            LEFT JOIN crown b ON f.h >= s.levels AND b.h = f.h - s.levels AND b.i = xor(s.place >> (f.h - s.levels), 1)
+            WHERE f.h < s.levels + (SELECT max(h) FROM crown)
+        )
+        SELECT r.doc_id, r.leaf, s.subroot, c.x AS root, sha256(f.proof) AS proof_sha256, f.x AS folded_root, f.x = c.x AS verified
+        FROM r JOIN sub s ON r.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT x FROM crown WHERE n = 1) c
+        JOIN fold f ON f.lang IS NOT DISTINCT FROM r.lang AND f.i = r.i AND f.h = s.levels + (SELECT max(h) FROM crown)
+    """,
 }
