@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, lattice, merkle, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
+from corvane.llm import codec, impacts, lattice, merkle, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,12 +59,16 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_quantised_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.search(impacts.build(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash, op13_radix_trie_manifest)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash, op11_quantised_ranking, op13_radix_trie_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,6 +85,29 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
     """,
+    "op11_quantised_ranking": """
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+            FROM documents
+        ), p AS (
+            SELECT r, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM words GROUP BY r, t
+        ), s AS (
+            SELECT CAST(count(DISTINCT r) AS BIGINT) AS n, CAST(sum(tf) AS BIGINT) AS l FROM p
+        ), m AS (
+            SELECT r, 50 + (50 * CAST(sum(tf) AS BIGINT) * any_value(s.n)) // any_value(s.l) AS m FROM p CROSS JOIN s GROUP BY r
+        ), w AS (
+            SELECT t, CAST(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p CROSS JOIN s GROUP BY t
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+            FROM benchmark
+        ), f AS (
+            SELECT q.item_id, p.r, any_value(p.doc_id) AS doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m))) AS BIGINT) AS score
+            FROM q JOIN p USING (t) JOIN w USING (t) JOIN m ON m.r = p.r GROUP BY q.item_id, p.r
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM f WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+    """,
     "op13_radix_trie_manifest": """
         WITH RECURSIVE d AS (
             SELECT doc_id, lang, n_chars,
