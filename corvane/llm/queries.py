@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import codec, impacts, lattice, merkle, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
+from corvane.llm import codec, impacts, lattice, media, merkle, ordermin, packing, perplexity, quality, sharding, suffixdedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op11_quantised_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacts.search(impacts.build(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_read(spark, sf_dir, "documents"))
+
+
 def op13_radix_trie_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash, op11_quantised_ranking, op13_radix_trie_manifest)
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_certified_packing, op3_rank_array_bpe, op4_lattice_near_duplicates, op5_induced_suffix_dedup, op6_feistel_shards, op7_convolutional_toxicity, op8_attention_quality, op9_seekable_warc, op10_order_minhash, op11_quantised_ranking, op12_lossless_webp, op13_radix_trie_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {
