@@ -39,7 +39,7 @@ class Store:
 
     def file(self):
         """An unnamed file where Spark's own spill files of this executor go."""
-        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        folder = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS", "")).split(",")[0]  # the latter is YARN's
         return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
 
     def array(self, n: int, kind, fill: int | None = None) -> np.ndarray:

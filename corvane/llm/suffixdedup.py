@@ -15,7 +15,9 @@ input. The work is dealt by content:
     induced sorting (see ``induced``); neighbours that share ``width`` symbols are
     one group of equal windows, whose smallest document keeps them. The text, the
     arrays over it and the queues are in memory up to a budget that ``memory`` sets,
-    and beyond it in files, so a shard may be many times as large.
+    and beyond it in files, so a shard may be many times as large. There are as many
+    shards, and as many buckets of documents for what is found, as the measured size of
+    all texts asks for, so that neither grows with the input.
 4.  Each document's covered spans are joined and cut out.
 
 Whole copies of an earlier document are told by digest and take no part.
@@ -44,6 +46,8 @@ from corvane.llm.induced import Column, Sorter, Store
 from corvane.llm.textscan import U64, chunks, mix, ragged
 
 CHUNK = 1 << 20
+#: Bytes of text, about, whose names fall to one shard, and whose answers to one bucket: 2.5 million names of 16 bytes.
+SHARE = 32 << 20
 NAME_BYTES = 6
 
 
@@ -177,6 +181,12 @@ def _each(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
         yield rows
 
 
+def shares(size: int, parts: int) -> tuple[int, int]:
+    """Shards and buckets for texts of ``size`` bytes together: some a task, and so many that none has more than SHARE of them, about."""
+    least = -(-size // SHARE)
+    return max(4 * parts, least), max(parts, least)
+
+
 def _together(dealt: DataFrame, parts: int, by: str) -> DataFrame:
     """Rows of one shard or bucket one after another."""
     return dealt.repartition(parts, by).sortWithinPartitions(by)
@@ -426,13 +436,13 @@ def find(docs: DataFrame, width: int = 50, gram: int = 24, memory: int = 4_000_0
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 4 * parts
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole_row = [F.struct(*docs.columns).alias("row")] if row else []
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *whole_row)
     sha = F.sha2(F.col("text").cast("binary"), 256)
     long = given.where((F.octet_length("text") >= width) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    marks = scratch.table(long.select("doc_id", sha.alias("sha")), "marks")
+    marks = scratch.table(long.select("doc_id", sha.alias("sha"), F.octet_length("text").alias("size")), "marks")
+    shards, buckets = shares(marks.agg(F.sum("size")).first()[0] or 0, parts)
     # Whole copies, and ids of several texts, by id alone: small enough to join without moving the texts. Only
     # texts that several rows have are joined, in a join of two exchanges, whose hot values Spark can split.
     first = marks.groupBy("sha").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -446,7 +456,7 @@ def find(docs: DataFrame, width: int = 50, gram: int = 24, memory: int = 4_000_0
     asked = scratch.table(_ask(texts, width, gram, shards), "asked")
     scratch.free(spark)
     asks = _together(asked.where("shard >= 0").select("shard", "docs", "counts", "names"), parts, "shard")
-    answers = asks.mapInArrow(_answer(parts), "bucket int, docs binary, counts binary, c0 binary")
+    answers = asks.mapInArrow(_answer(buckets), "bucket int, docs binary, counts binary, c0 binary")
     answers = _gathered(answers, parts, ["names"], [NAME_BYTES])
     told = answers.unionByName(asked.where("shard < 0").select("doc_id", "names"))
     told = told.groupBy(F.col("doc_id").alias("told_id")).agg(F.collect_list("names").alias("names"))
@@ -458,7 +468,7 @@ def find(docs: DataFrame, width: int = 50, gram: int = 24, memory: int = 4_000_0
     scratch.drop(told)
     scratch.free(spark)
     found = sent.where("shard >= 0").select("shard", "docs", "starts", "sizes", "data")
-    found = _together(found, parts, "shard").mapInArrow(_covered(width, memory, parts), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
+    found = _together(found, parts, "shard").mapInArrow(_covered(width, memory, buckets), "bucket int, docs binary, counts binary, c0 binary, c1 binary")
     found = _gathered(found, parts, ["starts", "sizes"], [8, 4])
     spans = found.unionByName(sent.where("shard < 0").select("doc_id", "starts", "sizes"))
     spans = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))

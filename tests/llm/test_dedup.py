@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import lattice, ordermin, suffixdedup
 from corvane.llm.components import components, label
@@ -235,3 +238,88 @@ def test_lattice_of_other_lengths_and_sizes(spark):
         want.append((i, len(links)))
     assert [(i, n) for i, n, _ in got] == sorted(want)
     assert {c for i, _, c in got if i in (300, 301, 302)} == {300} and {c for i, _, c in got if i >= 303} == {303, 304, 305, 306}
+
+
+def test_lattice_finds_pairs_just_over_the_threshold(spark):
+    """Pairs planted at a cosine of 0.950 to 0.97, of several lengths of vectors: nearly all are found, and nothing below 0.95 is."""
+    rng = np.random.default_rng(17)
+    rows, wanted = [], {}
+    for dim, many in ((64, 600), (128, 300), (768, 100)):
+        base = rng.normal(size=(many, dim))
+        base /= np.linalg.norm(base, axis=1)[:, None]
+        side = rng.normal(size=(many, dim))
+        side -= (side * base).sum(1)[:, None] * base
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        # Every sixth pair lies just below.
+        cos = np.where(np.arange(many) % 6 == 5, rng.uniform(0.93, 0.9499, many), rng.uniform(0.9501, 0.97, many))
+        other = (cos[:, None] * base + np.sqrt(1 - cos**2)[:, None] * side) * rng.uniform(0.1, 50, many)[:, None]
+        at = len(rows)
+        for k in range(many):
+            rows += [(at + 2 * k, base[k].tolist()), (at + 2 * k + 1, other[k].tolist())]
+            wanted[at + 2 * k] = wanted[at + 2 * k + 1] = int(cos[k] >= 0.95)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in lattice.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] <= n for i, n in wanted.items())
+    found, all_ = sum(got[i]["n_links"] for i in wanted), sum(wanted.values())
+    assert all_ > 1600 and found >= 0.99 * all_
+    assert all(got[i]["component_id"] == i - i % 2 * got[i]["n_links"] for i in wanted)
+
+
+def similar(a, b, threshold):
+    """Longest common subsequence of labelled 5-word runs, as a share of all of them, by the whole table."""
+    def runs(text):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        grams = [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        seen: Counter = Counter()
+        out = []
+        for g in grams:
+            out.append((g, seen[g]))
+            seen[g] += 1
+        return out
+
+    x, y = runs(a), runs(b)
+    last = [0] * (len(y) + 1)
+    for g in x:
+        row = [0]
+        for k, h in enumerate(y):
+            row.append(last[k] + 1 if g == h else max(last[k + 1], row[k]))
+        last = row
+    common = last[-1]
+    return bool(x and y) and common / (len(x) + len(y) - common)
+
+
+def test_order_minhash_by_an_alignment_of_its_own(spark):
+    """Classes against all pairs, aligned by a plain table, of texts with edits that cross the threshold."""
+    rng = random.Random(23)
+    base = [[f"W{rng.randint(0, 300)}" for _ in range(rng.randint(40, 120))] for _ in range(9)]
+    rows = []
+    for i in range(54):
+        words = list(base[i % 9])
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(words) - 6)
+            kind = rng.randrange(3)
+            words[k : k + (kind < 2)] = ["edit"] if kind else []
+            if rng.random() < 0.2:
+                words[k : k + 6] = words[k + 3 : k + 6] + words[k : k + 3]
+        rows.append((i, ", ".join(words)))
+    pairs = [(i, j, similar(rows[i][1], rows[j][1], 0.8)) for i in range(54) for j in range(i)]
+    clear = [p for p in pairs if abs(p[2] - 0.8) > 1e-9]
+    part = label(54, np.array([p[1] for p in clear if p[2] > 0.8]), np.array([p[0] for p in clear if p[2] > 0.8]))
+    assert 10 < len(set(part.tolist())) < 50 and any(0.6 < p[2] < 0.8 for p in pairs)
+    got = {r["doc_id"]: r["component_id"] for r in ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tables=40).collect()}
+    assert [got[i] for i in range(54)] == part.tolist()
+
+
+def test_shares_follow_the_size(spark):
+    """Ten times the input has ten times the shards and buckets; what one holds stays."""
+    assert suffixdedup.shares(0, 8) == (32, 8) and suffixdedup.shares(10**15, 8) == (-(-(10**15) // suffixdedup.SHARE),) * 2
+    rng = random.Random(3)
+    most = []
+    for many in (40, 400):  # ten documents a shard either way
+        rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))) for i in range(many)]
+        shards, _ = suffixdedup.shares(many * suffixdedup.SHARE // 10, 1)
+        asked = suffixdedup._ask(spark.createDataFrame(rows, "doc_id long, text string"), 50, 24, shards).where("shard >= 0")
+        sizes = asked.groupBy("shard").agg(F.sum(F.octet_length("names")).alias("n")).collect()
+        assert len(sizes) == shards
+        most.append(max(r["n"] for r in sizes))
+    assert most[1] < 1.3 * most[0]
