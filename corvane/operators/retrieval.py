@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
+from corvane.sources import shared
 
 RRF = 60
 DEMOTION = {"doc": 0.5, "test": 0.6}
@@ -151,37 +152,66 @@ def cap_per_file(results: DataFrame, n: int = 3, key: str = "id") -> DataFrame:
     return kept.where(F.col("place") <= n).drop("place")
 
 
-def drop_similar(results: DataFrame, threshold: float = 0.8) -> DataFrame:
+def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool = False) -> DataFrame:
     """Greedy removal of a file's chunks whose token sets overlap over ``threshold`` with a better one's.
 
-    Pairs are taken in order; of a pair the higher score stays, on a tie the earlier.
-    A removal changes nothing for the pairs before it, so one walk does; only chunks
-    that share a token are compared. One group is a query's results of a file.
+    Pairs of a query's results of one file are taken in order of (rank, id); of a pair
+    of which both are left the higher score stays, on a tie the earlier. No file is a
+    group of one task: similar pairs are found by their rarest tokens, and the walk over
+    them is done in rounds. Of a pair it is known what becomes of it once no earlier pair
+    can still remove its winner; a round settles all such pairs at once, so that there
+    are as many rounds as pairs wait for one another in a row. Equal token sets are
+    similar pairs too; where results come ``best_first``, of equal ones only the first
+    is walked with, as it removes the others or goes with them.
     """
-    tokens = results.withColumn("__tokens", tx.tokenize(F.col("content")))
-
-    def run(pdf):
-        rows = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
-        sets, score = [frozenset(t) for t in rows["__tokens"]], rows["score"].to_numpy()
-        holders: dict[str, list[int]] = {}
-        for k, own in enumerate(sets):
-            for t in own:
-                holders.setdefault(t, []).append(k)
-        bare = [k for k, own in enumerate(sets) if not own]  # two without tokens are alike
-        live = np.ones(len(rows), bool)
-        for x in range(len(rows)):
-            if not live[x]:
-                continue
-            met = np.bincount([k for t in sets[x] for k in holders[t] if k > x], minlength=len(rows)) if sets[x] else np.isin(np.arange(len(rows)), bare)
-            for y in np.flatnonzero(met[x + 1 :]) + x + 1:
-                if live[y] and (not sets[x] or met[y] / (len(sets[x]) + len(sets[y]) - met[y]) > threshold):
-                    if score[x] < score[y]:
-                        live[x] = False
-                        break
-                    live[y] = False
-        return rows[live].drop(columns="__tokens")
-
-    return tokens.groupBy("qid", "file_path").applyInPandas(run, results.schema)
+    rows = shared.table(results.withColumn("__row", F.monotonically_increasing_id()), "results")
+    lists = tx.token_lists(rows, "__row", "content", None)
+    # Two without tokens are alike.
+    lists = lists.select(F.col("id").alias("__row"), F.when(F.size("tokens") > 0, F.array_sort("tokens")).otherwise(F.array(F.lit(""))).alias("__tokens"))
+    rows = rows.join(shared.table(lists, "tokens"), "__row")
+    own, at = ["qid", "file_path"], F.struct("rank", "id", "__row")
+    walked = rows
+    if best_first:
+        first = rows.groupBy(*own, "__tokens").agg(F.min(at).alias("f"))
+        walked = rows.join(first.select(F.col("f.__row").alias("__row")), "__row", "left_semi")
+    pairs = shared.table(_similar(walked.select(*own, "__row", at.alias("at"), "score", "__tokens"), own, threshold), "pairs")
+    gone = shared.table(pairs.select(F.col("loser").alias("v"), "t").limit(0), "gone")
+    while not pairs.isEmpty():
+        waits = pairs.groupBy(F.col("loser").alias("winner")).agg(F.min("t").alias("wait"))
+        fate = lambda c, name: gone.select(F.col("v").alias(c), F.col("t").alias(name))  # noqa: B023, E731
+        known = pairs.join(waits, "winner", "left").join(fate("winner", "end"), "winner", "left").join(fate("loser", "out"), "loser", "left")
+        # A pair whose winner went before it comes to nothing; one whose loser did changes nothing.
+        known = known.where((F.col("end").isNull() | (F.col("end") > F.col("t"))) & (F.col("out").isNull() | (F.col("out") > F.col("t"))))
+        known = shared.table(known.withColumn("sure", F.col("wait").isNull() | (F.col("wait") > F.col("t"))).select("winner", "loser", "t", "sure"), "known")
+        gone = gone.unionByName(known.where("sure").select(F.col("loser").alias("v"), "t")).groupBy("v").agg(F.min("t").alias("t"))
+        gone = shared.table(gone, "gone")
+        pairs = known.where("not sure").drop("sure")
+    if best_first:
+        rows = walked
+    return rows.join(gone.select(F.col("v").alias("__row")), "__row", "left_anti").select(*results.columns)
+
+
+def _similar(rows: DataFrame, own: list[str], threshold: float) -> DataFrame:
+    """(winner, loser, t) of the pairs of rows of one ``own`` whose token sets overlap over ``threshold``; t: the pair's turn.
+
+    Sets over the threshold share one of the first size - threshold * size + 1 tokens, the rarest first.
+    """
+    df = rows.select(F.explode("__tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n = F.size("__tokens")
+    words = rows.select(*own, "__row", n.alias("n"), F.explode("__tokens").alias("token")).join(df, "token")
+    rare = words.groupBy(*own, "__row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))  # a row's own tokens
+    first = (F.col("n") - F.ceil(F.round(threshold * F.col("n"), 9)) + 1).cast("int")
+    rare = shared.table(rare.select(*own, "__row", "n", F.explode(F.slice("w", F.lit(1), first)).alias("w")).select(*own, "__row", "n", F.col("w.token").alias("token")), "rare")
+    a, b = (rare.select(*own, "token", F.col("__row").alias(r), F.col("n").alias(m)) for r, m in (("x", "nx"), ("y", "ny")))
+    met = a.join(b, [*own, "token"]).where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))).select("x", "y").distinct()
+    side = lambda c: rows.select(F.col("__row").alias(c), F.col("at").alias(f"at_{c}"), F.col("score").alias(f"score_{c}"), F.col("__tokens").alias(f"tokens_{c}"))
+    both = met.join(side("x"), "x").join(side("y"), "y")
+    common = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    both = both.where(common / (F.size("tokens_x") + F.size("tokens_y") - common) > threshold)
+    early = F.col("at_x") < F.col("at_y")
+    turn = F.when(early, F.struct(F.col("at_x").alias("a"), F.col("at_y").alias("b"))).otherwise(F.struct(F.col("at_y").alias("a"), F.col("at_x").alias("b")))
+    x_stays = F.when(early, F.col("score_x") >= F.col("score_y")).otherwise(F.col("score_x") > F.col("score_y"))
+    return both.select(F.when(x_stays, F.col("x")).otherwise(F.col("y")).alias("winner"), F.when(x_stays, F.col("y")).otherwise(F.col("x")).alias("loser"), turn.alias("t"))
 
 
 def rerank(results: DataFrame, score: Column, pool: int = 20, min_score: float = 0.0) -> DataFrame:

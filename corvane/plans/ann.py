@@ -22,6 +22,12 @@ def t2_ivf_topk(spark, sf_dir):
     return ann.search(index, centres, vector_queries(spark, sf_dir), 10)
 
 
+@query()
+def t2_graph_topk(spark, sf_dir):
+    links, unit = ann.graph(_vectors(spark, sf_dir))
+    return ann.graph_search(links, unit, vector_queries(spark, sf_dir), 10)
+
+
 @query()
 def a19_signal_comparison(spark, sf_dir):
     """Results of each leg alone and fused that share the query's label, of ten a query."""

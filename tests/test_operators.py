@@ -244,6 +244,26 @@ def test_drop_similar_is_the_scan_that_starts_anew(spark):
     tokens = {r["id"]: r["n"] for r in df.select("id", F.size(tx.tokenize(F.col("content"))).alias("n")).collect()}
     assert all(n == len(r[3].split()) for r, n in ((r, tokens[r[2]]) for r in rows))  # a token a word
     assert sorted(r["id"] for r in rt.drop_similar(df).collect()) == sorted(want)
+    assert rt.drop_similar(df).columns == df.columns and rt.drop_similar(df.where("false")).count() == 0
+
+
+def test_drop_similar_best_first_needs_only_first_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    sets = [" ".join(f"word{k}" for k in range(12) if rng.random() < 0.9) for _ in range(12)]
+    rows = [(q, "f", i, rng.choice(sets), 1.0 - i // 4 / 100, i) for q in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "qid long, file_path string, id long, content string, score double, rank int")
+    want = []
+    for q in (1, 2):
+        kept = []
+        for r in (r for r in rows if r[0] == q):
+            w = set(r[3].split())
+            if all(len(w & k) / len(w | k) <= 0.8 for _, k in kept):
+                kept.append((r[2], w))
+        want += [(q, i) for i, _ in kept]
+    for best_first in (False, True):
+        assert sorted((r["qid"], r["id"]) for r in rt.drop_similar(df, best_first=best_first).collect()) == sorted(want)
 
 
 def test_ivf_recall_on_the_table(spark):
