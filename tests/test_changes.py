@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import time
 
 from corvane.sources import changes
+from corvane.streaming import watch
 
 
 def touched(at, text):
@@ -59,3 +61,66 @@ def test_snapshots_compare_like_sets(tmp_path):
         was = files
     s.forget(3)
     assert s.numbers() == [3, 4]
+
+
+def waited(ready, seconds=60):
+    """Whether something came true in time."""
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        if ready():
+            return True
+        time.sleep(0.3)
+    return False
+
+
+def lines(folder, name, rows):
+    """A finished file of JSON lines at once."""
+    folder.mkdir(exist_ok=True)
+    (folder / f".{name}").write_text("".join(r + "\n" for r in rows))
+    (folder / f".{name}").rename(folder / name)
+
+
+def test_a_burst_over_three_batches_is_one_event(spark, tmp_path):
+    given, out = tmp_path / "in", str(tmp_path / "out")
+    given.mkdir()
+    events = spark.readStream.schema("path string, change string").json(str(given))
+    q = watch.coalesced(events, quiet_s=20).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        taken = lambda: sum(p["numInputRows"] for p in q.recentProgress) - 1
+        lines(given, "w.json", ['{"path": "w", "change": "created"}'])  # the first batch is slow
+        assert waited(lambda: taken() == 0)
+        for k, n in enumerate((3, 5, 6)):  # each burst is a batch of its own, within the quiet time of the one before
+            more = ['{"path": "b", "change": "created"}'] if k == 0 else ['{"path": "c", "change": "deleted"}'] * (2 * (k - 1))
+            lines(given, f"{k}.json", ['{"path": "a", "change": "changed"}'] * (n - len(more)) + more)
+            assert waited(lambda k=k: taken() >= (3, 8, 14)[k])
+        rows = lambda: sorted(tuple(r) for r in spark.read.schema("path string, change string, events long").parquet(out).collect())
+        assert waited(lambda: len(rows()) >= 4)
+        time.sleep(2)
+        assert rows() == [("a", "changed", 11), ("b", "created", 1), ("c", "deleted", 2), ("w", "created", 1)]
+        # What has fired is forgotten, and the next event of the path is told again.
+        lines(given, "9.json", ['{"path": "b", "change": "deleted"}'])
+        assert waited(lambda: ("b", "deleted", 1) in rows())
+    finally:
+        q.stop()
+    assert q.exception() is None
+
+
+def test_state_of_quiet_signatures_goes(spark, tmp_path):
+    given = tmp_path / "in"
+    given.mkdir()
+    cp, out = str(tmp_path / "cp"), str(tmp_path / "out")
+    events = spark.readStream.schema("signature string, ts timestamp").json(str(given))
+
+    def passed():
+        q = watch.allowed(events, cooldown_s=1, most=2, idle_s=8).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+        return sorted((r["signature"], r["ts"].second, r["allowed"]) for r in spark.read.parquet(out).collect())
+
+    state = lambda: sorted(r["key"]["signature"] for r in spark.read.format("statestore").option("stateVarName", "seen").load(cp).collect())
+    row = lambda k, s: f'{{"signature": "{k}", "ts": "2024-01-01 00:00:{s:02d}"}}'
+    lines(given, "0.json", [row("x", 0), row("x", 0), row("x", 5), row("x", 9), row("y", 1)])
+    assert passed() == [("x", 0, False), ("x", 0, True), ("x", 5, True), ("x", 9, False), ("y", 1, True)]
+    assert state() == ["x", "y"]
+    lines(given, "1.json", [row("z", 30), row("x", 31)])
+    assert [r for r in passed() if r[1] >= 30] == [("x", 31, True), ("z", 30, True)]  # a new session of x
+    assert state() == ["x", "z"]
