@@ -69,6 +69,23 @@ def argmax(probabilities: Column) -> Column:
     return F.filter(e, lambda x: x["value"] == top)[0]["key"]
 
 
+def decided(probability: Column) -> Column:
+    """(yes, confidence) of a yes-or-no question: yes from one half, and how likely the answer is that is given."""
+    yes = probability >= 0.5
+    return F.struct(yes.alias("yes"), F.when(yes, probability).otherwise(1 - probability).alias("confidence"))
+
+
+def chosen(probabilities: Column) -> Column:
+    """(choice, confidence) of a map of probabilities: the largest, the first of equals."""
+    return F.struct(argmax(probabilities).alias("choice"), F.array_max(F.map_values(probabilities)).alias("confidence"))
+
+
+def level(score: Column, levels: Column) -> Column:
+    """The one of an array of levels that a score from 0 rounds to, halves up, the last one beyond; null of no levels."""
+    at = F.least(F.size(levels) - 1, F.greatest(F.lit(0), F.floor(score + 0.5).cast("int")))
+    return F.when(score.isNotNull() & (F.size(levels) > 0), F.try_element_at(levels, F.greatest(at, F.lit(0)) + 1))
+
+
 def ignore_lists(content: str) -> tuple[list[str], list[str]]:
     """Folder and file patterns of an ignore file, each without repeats in any case, sorted."""
     found: dict[str, dict[str, str]] = {"dirs": {}, "files": {}}

@@ -108,3 +108,8 @@ def worth_recording(error: Column, least: int = 15) -> Column:
 def tag_value(tags: Column, prefix: str) -> Column:
     """What follows the prefix in the first tag that has it; null for none."""
     return F.substring(F.try_element_at(F.filter(tags, lambda t: t.startswith(prefix)), F.lit(1)), len(prefix) + 1, 1000)
+
+
+def stale(observed: Column, now: Column, half_life_days: float = 30) -> Column:
+    """Whether something is older than twice its half-life; null of unknown age."""
+    return (F.unix_timestamp(now) - F.unix_timestamp(observed)) / 86400 > 2 * half_life_days

@@ -34,22 +34,26 @@ def similar_pairs(records: DataFrame, threshold: float, text: str = "content", i
 
     A pair over the threshold t shares at least t of the longer set, so it has a
     common word among the first n - ceil(t n) + 1 of each set by rising frequency:
-    only those prefixes are joined, and no pair is lost. Equal sets are joined
-    as one; what is returned pairs their first with the others'.
+    only those prefixes are joined, and no pair is lost. A pair is made where the first
+    word that both prefixes have meets, so none is made twice. Equal sets are joined
+    as one; what is returned pairs their first with the others.
     """
-    sets = records.select(F.col(id_col).alias("id"), F.array_sort(tx.word_set(F.col(text))).alias("w"))
-    one = sets.groupBy("w").agg(F.min("id").alias("id"), F.collect_list("id").alias("same"))
+    w = F.array_sort(tx.word_set(F.col(text)))
+    sets = records.select(F.col(id_col).alias("id"), w.alias("w"))
+    name = F.when(F.col("w").isNull(), "none").otherwise(F.sha2(F.array_join("w", " "), 256))  # words have no spaces
+    one = sets.groupBy(name.alias("name")).agg(F.min("id").alias("id"), F.first("w").alias("w"))
     words = one.select("id", "w", F.explode("w").alias("t"))
     freq = words.groupBy("t").agg(F.count("*").alias("f"))
-    ordered = words.join(freq, "t").groupBy("id", "w").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    ordered = words.join(freq, "t").groupBy("id").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
     n = F.size("o")
     keep = n - F.ceil(threshold * n) + 1
-    head = ordered.select("id", "w", F.explode(F.slice(F.transform("o", lambda x: x["t"]), F.lit(1), keep.cast("int"))).alias("t"))
-    other = head.select(F.col("id").alias("b"), F.col("w").alias("wb"), "t")
+    head = ordered.select("id", "w", F.slice(F.transform("o", lambda x: x["t"]), F.lit(1), keep.cast("int")).alias("p")).select("*", F.explode("p").alias("t"))
+    other = head.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.col("p").alias("pb"), "t")
     low, high = F.least(F.size("w"), F.size("wb")), F.greatest(F.size("w"), F.size("wb"))
-    pairs = head.join(other, "t").where((F.col("id") < F.col("b")) & (low >= threshold * high)).select(F.col("id").alias("a"), "b", "w", "wb").distinct()
-    pairs = pairs.withColumn("similarity", tx.jaccard(F.col("w"), F.col("wb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
-    equal = one.select(F.col("id").alias("a"), F.explode("same").alias("b"), F.lit(1.0).alias("similarity")).where("a <> b")
+    met = head.join(other, "t").where((F.col("id") < F.col("b")) & (low >= threshold * high) & (F.array_intersect("p", "pb")[0] == F.col("t")))
+    pairs = met.select(F.col("id").alias("a"), "b", tx.jaccard(F.col("w"), F.col("wb")).alias("similarity")).where(F.col("similarity") > threshold)
+    member = sets.select(F.col("id").alias("b"), name.alias("name"))
+    equal = one.select(F.col("id").alias("a"), "name").join(member, "name").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     return pairs.unionByName(equal)
 
 
@@ -57,16 +61,14 @@ def lint(records: DataFrame, now: Column, min_confidence: float = 0.5, half_life
     """(issue, id, other): low confidence, older than twice the half-life, near-duplicates."""
     none = F.lit(None).cast("long")
     low = records.where(F.col("confidence") < min_confidence).select(F.lit("low-confidence").alias("issue"), "id", none.alias("other"))
-    age = (F.unix_timestamp(now) - F.unix_timestamp("observed")) / 86400
-    stale = records.where(age > 2 * half_life_days).select(F.lit("stale").alias("issue"), "id", none.alias("other"))
+    stale = records.where(sg.stale(F.col("observed"), now, half_life_days)).select(F.lit("stale").alias("issue"), "id", none.alias("other"))
     near = similar_pairs(records, threshold).select(F.lit("near-duplicate").alias("issue"), F.col("a").alias("id"), F.col("b").alias("other"))
     return low.unionByName(stale).unionByName(near)
 
 
 def lint_counts(records: DataFrame, now: Column, min_confidence: float = 0.5, half_life_days: int = 30, threshold: float = 0.85) -> DataFrame:
     """(issue, n): how many records or, of near-duplicates, pairs of records have each issue that there is."""
-    age = (F.unix_timestamp(now) - F.unix_timestamp("observed")) / 86400
-    issues = F.array(F.when(F.col("confidence") < min_confidence, "low-confidence"), F.when(age > 2 * half_life_days, "stale"))
+    issues = F.array(F.when(F.col("confidence") < min_confidence, "low-confidence"), F.when(sg.stale(F.col("observed"), now, half_life_days), "stale"))
     single = records.select(F.explode(issues).alias("issue")).where("issue is not null").groupBy("issue").agg(F.count("*").alias("n"))
     near = alike.count(records, threshold).where("n > 0").select(F.lit("near-duplicate").alias("issue"), "n")
     return single.unionByName(near)

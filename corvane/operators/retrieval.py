@@ -33,7 +33,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     Queries are multiplied as matrices with Arrow batches of vectors; each task keeps
     its k best of every query, so a shuffle moves k rows a query and task. At most
     ``most`` queries are broadcast at once; more are asked in as many scans as it takes.
+    Queries without a vector find nothing.
     """
+    queries = queries.where(F.col("qvec").isNotNull())
     pool = vectors.where(where) if where is not None else vectors
     given = pool.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     lots = max(1, -(-queries.count() // most))

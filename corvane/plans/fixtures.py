@@ -71,10 +71,10 @@ def tokens_sql(name: str, table: str, key: str, text: str) -> str:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage as a query, with the vector of the same number."""
+    """Every benchmark passage as a query, with the vector of the same number where there is one."""
     b = read(spark, sf_dir, "benchmark")
     v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("qvec"))
-    return b.join(v, b["item_id"] == v["vec_id"]).select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "qvec")
+    return b.join(v, b["item_id"] == v["vec_id"], "left").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "qvec")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,17 +62,18 @@ def f22_review_date(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(ps.review_date(raw)).alias("reviewed"))
 
 
-@query("SELECT event_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS choice, greatest(a, b, c) AS confidence, event_id % 10 >= 5 AS yes FROM (SELECT event_id, event_id % 7 AS a, event_id % 5 AS b, event_id % 3 AS c FROM events)")
+@query("SELECT event_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS choice, greatest(a, b, c) AS confidence, event_id % 10 >= 5 AS yes, round(greatest(event_id % 10 / 10.0, 1 - event_id % 10 / 10.0), 6) AS sure, ['low', 'fair', 'high'][1 + least(2, event_id % 9 // 2)] AS level FROM (SELECT event_id, event_id % 7 AS a, event_id % 5 AS b, event_id % 3 AS c FROM events)")
 def f25_decision_scoring(spark, sf_dir):
     i = F.col("event_id")
     p = F.create_map(F.lit("a"), i % 7, F.lit("b"), i % 5, F.lit("c"), i % 3)
-    return read(spark, sf_dir, "events").select(i, ps.argmax(p).alias("choice"), F.array_max(F.map_values(p)).alias("confidence"), (i % 10 / 10 >= 0.5).alias("yes"))
+    levels = F.array(*map(F.lit, ("low", "fair", "high")))
+    return read(spark, sf_dir, "events").select(i, ps.chosen(p).alias("c"), ps.decided(i % 10 / 10).alias("d"), ps.level(F.floor(i % 9 / 2), levels).alias("level")).select("event_id", "c.*", "d.yes", F.round("d.confidence", 6).alias("sure"), "level")
 
 
 @query("SELECT o_orderkey, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate)) / 86400 > 60 AS stale FROM orders")
 def f27_decay(spark, sf_dir):
-    age = (F.unix_timestamp(F.lit("1998-01-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 86400
-    return read(spark, sf_dir, "orders").select("o_orderkey", (age > 2 * 30).alias("stale"))
+    now = F.lit("1998-01-01 00:00:00").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", sg.stale(F.col("o_orderdate").cast("timestamp"), now, 30).alias("stale"))
 
 
 @query(

@@ -87,6 +87,29 @@ def test_epochs_are_rewritten_into_fewer_files(spark, tmp_path):
     assert len(list((tmp_path / f"t/epoch={n}").glob("part-*"))) == 2
 
 
+def test_readers_keep_their_epoch(spark, tmp_path):
+    at = [1000.0]
+    t = epochs.EpochTable(spark, str(tmp_path / "t"), now=lambda: at[0])
+    t.promote(t.write(spark.range(100).repartition(8)))
+    with t.held() as rows:
+        first = t.active()
+        n = t.optimize(2, "id")
+        assert t.epochs() == [first, n] and t.holds() == {first}
+        assert rows.count() == 100  # planned before, run after
+        t.promote(t.write(spark.range(7)))
+        assert t.prune(every_s=900) == []  # too soon
+        at[0] += 901
+        assert t.prune(every_s=900) == [n] and rows.agg(F.sum("id")).first()[0] == 4950
+    assert t.prune() == [first] and t.read().count() == 7
+    stuck = t.held(most_s=60)
+    stuck.__enter__()
+    last = t.active()
+    t.promote(t.write(spark.range(8)))
+    assert t.prune() == []
+    at[0] += 61  # the reader is taken for dead
+    assert t.prune() == [last] and t.holds() == set()
+
+
 def test_state_is_found_between_the_renames(spark, tmp_path):
     at = str(tmp_path / "s")
     assert shared.read_state(spark, at) is None
