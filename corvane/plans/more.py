@@ -9,6 +9,7 @@ from corvane.functions import parsing as ps
 from corvane.functions import signals as sg
 from corvane.functions import text as tx
 from corvane.operators import incremental as inc
+from corvane.operators import intervals
 from corvane.operators import status as st
 from corvane.plans.fixtures import CHUNKS, chunks, read
 from corvane.plans.registry import query
@@ -101,10 +102,8 @@ def j9_m29_file_restriction(spark, sf_dir):
 )
 def j17_nested_callables(spark, sf_dir):
     n = chunks(spark, sf_dir).select("id", "file", F.col("start_line").alias("s"), (F.col("end_line") + 40).alias("e"), (F.col("id") % 2 == 0).alias("callable"))
-    m = n.select(F.col("id").alias("i2"), F.col("file").alias("f2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("callable").alias("c2"))
-    inside = (F.col("file") == F.col("f2")) & (F.col("i2") != F.col("id")) & (F.col("s2") <= F.col("s")) & (F.col("e2") >= F.col("e")) & ((F.col("s2") < F.col("s")) | (F.col("e2") > F.col("e")))
-    near = n.join(m, inside, "left").groupBy("id", "callable").agg(F.max_by("c2", F.struct("s2", -F.col("e2"), "i2")).alias("near"))
-    return near.where(~F.col("callable") | F.col("near").isNull() | ~F.col("near")).select("id")
+    near = intervals.nearest_around(n, "file", "s", "e", "id", "callable")
+    return near.where(~F.col("callable") | F.col("near").isNull() | ~F.col("near_value")).select("id")
 
 
 @query(f"WITH {CHUNKS}, marks AS (SELECT DISTINCT 'docs/' || file AS p FROM chunks WHERE id % 40 = 1) SELECT DISTINCT file_path FROM chunks WHERE EXISTS (SELECT 1 FROM marks WHERE starts_with(file_path, p || '/'))")
