@@ -45,7 +45,8 @@ def _messages(spark, sf_dir):
 
 @query(f"WITH {tokens_sql('tok', 'documents', 'doc_id', 'text')} SELECT key AS doc_id, count(*) AS n_tokens, sha256(string_agg(token, ' ' ORDER BY token)) AS tokens_sha FROM tok GROUP BY key")
 def f1_tokenize(spark, sf_dir):
-    t = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(tx.tokenize(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    lists = tx.token_lists(read(spark, sf_dir, "documents"), "doc_id", "text", None)
+    t = lists.where("dl > 0").select(F.col("id").alias("doc_id"), F.array_sort("tokens").alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "t"), 256).alias("tokens_sha"))
 
 
