@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import vectors as vx
+from corvane.operators import alike
 from corvane.sources import shared
 
 RRF = 60
@@ -159,24 +160,28 @@ def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool =
 
     Pairs of a query's results of one file are taken in order of (rank, id); of a pair
     of which both are left the higher score stays, on a tie the earlier. No file is a
-    group of one task: similar pairs are found by their rarest tokens, and the walk over
-    them is done in rounds. Of a pair it is known what becomes of it once no earlier pair
+    group of one task: similar pairs are found by parts of their token sets that agree,
+    and the walk over them is done in rounds. Of a pair it is known what becomes of it once no earlier pair
     can still remove its winner; a round settles all such pairs at once, so that there
     are as many rounds as pairs wait for one another in a row. Equal token sets are
-    similar pairs too; where results come ``best_first``, of equal ones only the first
+    similar pairs too, no further than to the next of a higher score (``_turns``);
+    where results come ``best_first``, of equal ones only the first
     is walked with, as it removes the others or goes with them.
     """
     rows = shared.table(results.withColumn("__row", F.monotonically_increasing_id()), "results")
-    lists = tx.token_lists(rows, "__row", "content", None)
-    # Two without tokens are alike.
-    lists = lists.select(F.col("id").alias("__row"), F.when(F.size("tokens") > 0, F.array_sort("tokens")).otherwise(F.array(F.lit(""))).alias("__tokens"))
-    rows = rows.join(shared.table(lists, "tokens"), "__row")
     own, at = ["qid", "file_path"], F.struct("rank", "id", "__row")
-    walked = rows
+    # Rows of no query or file have none to be similar to.
+    named = rows.dropna(subset=own).withColumn("__own", F.to_json(F.struct(*own)))
+    lists = tx.token_lists(named, "__row", "content", "__own")
+    # Two without tokens are alike. Sets of two files have no word in common.
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    lists = lists.select(F.col("id").alias("__row"), F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x, F.col("path")))).alias("w"))
+    lists = shared.table(lists.withColumn("set", F.shiftrightunsigned(F.xxhash64("w"), 1)), "tokens")
+    member = shared.table(lists.select("__row", "set").join(rows.select("__row", at.alias("at"), "score"), "__row"), "members")
+    sets, walked = lists.groupBy(F.col("set").alias("id")).agg(F.first("w").alias("w")), member
     if best_first:
-        first = rows.groupBy(*own, "__tokens").agg(F.min(at).alias("f"))
-        walked = rows.join(first.select(F.col("f.__row").alias("__row")), "__row", "left_semi")
-    pairs = shared.table(_similar(walked.select(*own, "__row", at.alias("at"), "score", "__tokens"), own, threshold), "pairs")
+        walked = member.join(member.groupBy("set").agg(F.min("at").alias("f")).select(F.col("f.__row").alias("__row")), "__row", "left_semi")
+    pairs = shared.table(_turns(walked, alike.pairs(sets, threshold)), "pairs")
     gone = shared.table(pairs.select(F.col("loser").alias("v"), "t").limit(0), "gone")
     while not pairs.isEmpty():
         waits = pairs.groupBy(F.col("loser").alias("winner")).agg(F.min("t").alias("wait"))
@@ -188,34 +193,47 @@ def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool =
         gone = gone.unionByName(known.where("sure").select(F.col("loser").alias("v"), "t")).groupBy("v").agg(F.min("t").alias("t"))
         gone = shared.table(gone, "gone")
         pairs = known.where("not sure").drop("sure")
+    out = gone.select(F.col("v").alias("__row"))
     if best_first:
-        rows = walked
-    return rows.join(gone.select(F.col("v").alias("__row")), "__row", "left_anti").select(*results.columns)
+        out = out.unionByName(member.select("__row").join(walked.select("__row"), "__row", "left_anti"))
+    return rows.join(out, "__row", "left_anti").select(*results.columns)
 
 
-def _similar(rows: DataFrame, own: list[str], threshold: float) -> DataFrame:
-    """(winner, loser, t) of the pairs of rows of one ``own`` whose token sets overlap over ``threshold``; t: the pair's turn.
+def _turns(member: DataFrame, near: DataFrame) -> DataFrame:
+    """(winner, loser, t) of the similar pairs of members (__row, set, at, score); near: (x, y), the sets that are similar; t: the pair's turn.
 
-    Sets over the threshold share one of the first size - threshold * size + 1 tokens, the rarest first.
+    Whoever comes to its turn meets nobody after the next of its own set with a higher
+    score: that one is still there, as what would have removed it is similar to both and
+    would have removed the lower and earlier one before, and it ends the turn.
     """
-    df = rows.select(F.explode("__tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = F.size("__tokens")
-    words = rows.select(*own, "__row", n.alias("n"), F.explode("__tokens").alias("token")).join(df, "token")
-    rare = words.groupBy(*own, "__row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))  # a row's own tokens
-    first = (F.col("n") - F.ceil(F.round(threshold * F.col("n"), 9)) + 1).cast("int")
-    rare = shared.table(rare.select(*own, "__row", "n", F.explode(F.slice("w", F.lit(1), first)).alias("w")).select(*own, "__row", "n", F.col("w.token").alias("token")), "rare")
-    a, b = (rare.select(*own, "token", F.col("__row").alias(r), F.col("n").alias(m)) for r, m in (("x", "nx"), ("y", "ny")))
-    met = a.join(b, [*own, "token"]).where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))).select("x", "y").distinct()
-    side = lambda c: rows.select(F.col("__row").alias(c), F.col("at").alias(f"at_{c}"), F.col("score").alias(f"score_{c}"), F.col("__tokens").alias(f"tokens_{c}"))
-    both = met.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    both = both.where(common / (F.size("tokens_x") + F.size("tokens_y") - common) > threshold)
+    places = member.withColumn("n", F.count("*").over(Window.partitionBy("set"))).where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy("at")))
+    higher = places.select("set", "__row", "place", F.col("score").cast("double").alias("score")).groupBy("set").applyInArrow(_next_higher, "__row long, stop long")
+    until = higher.join(member.select(F.col("__row").alias("stop"), F.col("at").alias("until")), "stop").select("__row", "until")
+    member = member.join(until, "__row", "left")
+    side = lambda c: member.select(F.col("set").alias(f"set_{c}"), F.col("__row").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("at", "score", "until")])
     early = F.col("at_x") < F.col("at_y")
+    reached = F.when(early, F.col("until_x").isNull() | (F.col("at_y") <= F.col("until_x"))).otherwise(F.col("until_y").isNull() | (F.col("at_x") <= F.col("until_y")))
+    columns = ["x", "at_x", "score_x", "y", "at_y", "score_y"]
+    equal = side("x").join(side("y"), F.col("set_x") == F.col("set_y")).where((F.col("at_x") < F.col("at_y")) & reached).select(*columns)
+    near = near.select(F.col("x").alias("set_x"), F.col("y").alias("set_y"))
+    both = equal.unionByName(near.join(side("x"), "set_x").join(side("y"), "set_y").where(reached).select(*columns))
     turn = F.when(early, F.struct(F.col("at_x").alias("a"), F.col("at_y").alias("b"))).otherwise(F.struct(F.col("at_y").alias("a"), F.col("at_x").alias("b")))
     x_stays = F.when(early, F.col("score_x") >= F.col("score_y")).otherwise(F.col("score_x") > F.col("score_y"))
     return both.select(F.when(x_stays, F.col("x")).otherwise(F.col("y")).alias("winner"), F.when(x_stays, F.col("y")).otherwise(F.col("x")).alias("loser"), turn.alias("t"))
 
 
+def _next_higher(table: pa.Table) -> pa.Table:
+    """(__row, stop): the next in place with a higher score, where there is one."""
+    row, place, score = (table.column(c).to_numpy() for c in ("__row", "place", "score"))
+    order = np.argsort(place)
+    stop, waiting = np.full(len(row), -1, np.int64), []
+    for k in order.tolist():
+        while waiting and score[waiting[-1]] < score[k]:
+            stop[waiting.pop()] = row[k]
+        waiting.append(k)
+    return pa.table({"__row": row[stop >= 0], "stop": stop[stop >= 0]})
+
+
 def rerank(results: DataFrame, score: Column, pool: int = 20, min_score: float = 0.0) -> DataFrame:
     """The first ``pool`` of each query by the reranker's ``score``, then the rest as they were; pool members under ``min_score`` go."""
     marked = results.withColumn("rerank_score", F.when(F.col("rank") < pool, score))
