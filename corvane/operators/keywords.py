@@ -22,6 +22,7 @@ from corvane.operators import retrieval
 from corvane.sources import shared
 
 K1, B = 1.2, 0.75
+MOST = 2_000_000  # postings a file
 
 
 def bucket(token: Column, buckets: int) -> Column:
@@ -29,7 +30,8 @@ def bucket(token: Column, buckets: int) -> Column:
 
 
 class KeywordIndex:
-    """The index below ``root``; ``buckets`` folders of tokens, ``files`` files in each by a hash of the chunk."""
+    """The index below ``root``; ``buckets`` folders of tokens, in each as many files, by a hash of the chunk, as
+    a generation's size asks for, ``files`` at least: one task writes one file, of about ``MOST`` postings."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, files: int = 1):
         self.spark, self.root = spark, root.rstrip("/")
@@ -42,12 +44,13 @@ class KeywordIndex:
     def _path(self, kind: str, gen: int) -> str:
         return f"{self.root}/{kind}/gen={gen}"
 
-    def _write(self, gen: int, postings: DataFrame) -> None:
-        """postings: (token, id, dl, path), of which the chunks are those of the token that stands for the chunk itself."""
-        n, files = self.state["buckets"], self.state["files"]
+    def _write(self, gen: int, postings: DataFrame, rows: int) -> None:
+        """postings: (token, id, dl, path), about ``rows``, of which the chunks are those of the token that stands for the chunk itself."""
+        n = self.state["buckets"]
+        files = max(self.state["files"], -(-rows // (n * MOST)))
         dealt = postings.withColumn("bucket", F.when(F.col("token") == "", -1).otherwise(bucket(F.col("token"), n)))
-        dealt = dealt.withColumn("file", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(files)))
-        dealt = dealt.repartition(n * files, "bucket", "file")
+        file = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(files)).cast("int")
+        dealt = dealt.withColumn("file", (F.col("bucket") + 1) * files + file).repartitionById((n + 1) * files, "file")
         dealt.select("token", "id", "dl", "path", "bucket").write.partitionBy("bucket").parquet(self._path("postings", gen))
 
     def add(self, chunks: DataFrame, id_col: str = "id", path: str = "file_path", content: str = "content") -> KeywordIndex:
@@ -56,7 +59,9 @@ class KeywordIndex:
         lists = tx.token_lists(chunks, id_col, content, path)
         # The empty token stands for the chunk itself: its row has the path and the length.
         rows = lists.select(F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"), "id", "dl", "path")
-        self._write(gen, rows.withColumn("path", F.when(F.col("token") == "", F.col("path"))))
+        size = chunks.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(content).cast("string"))).alias("bytes")).first()
+        # Texts have about one distinct token in eight bytes.
+        self._write(gen, rows.withColumn("path", F.when(F.col("token") == "", F.col("path"))), size["n"] + (size["bytes"] or 0) // 8)
         self.state["last"] = gen
         self.state["live"].append(gen)
         self._save()
@@ -113,7 +118,7 @@ class KeywordIndex:
         """Fold all generations into one, and delete them."""
         gen = self.state["last"] + 1
         live = self.chunks().select(F.lit("").alias("token"), "id", "dl", "path")
-        self._write(gen, live.unionByName(self.postings().withColumn("path", F.lit(None).cast("string"))))
+        self._write(gen, live.unionByName(self.postings().withColumn("path", F.lit(None).cast("string"))), self._stored().count())
         old = [self._path("postings", g) for g in self.state["live"]] + [self._path("removed", g) for g in self.state["removed"]]
         self.state |= {"last": gen, "live": [gen], "removed": []}
         self._save()
@@ -126,7 +131,7 @@ class KeywordIndex:
         """Take over the other index's chunks; of an id that both have, the other's stays."""
         gen = self.state["last"] + 1
         live = other.chunks().select(F.lit("").alias("token"), "id", "dl", "path")
-        self._write(gen, live.unionByName(other.postings().withColumn("path", F.lit(None).cast("string"))))
+        self._write(gen, live.unionByName(other.postings().withColumn("path", F.lit(None).cast("string"))), other._stored().count())
         self.state["last"] = gen
         self.state["live"].append(gen)
         self._save()
@@ -138,11 +143,13 @@ class KeywordIndex:
         The tokens of at most ``most`` queries are taken to the driver, which reads the plans'
         folders off them; those of more stay a table that is made for each use.
         """
-        asked = tx.token_lists(queries, qid, query, None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
-        if queries.limit(most + 1).count() <= most:
-            asked = self.spark.createDataFrame(asked.toArrow())
+        asked = self.asked(queries, query, qid, most)
         return bm25(self.postings(asked), self.statistics(), asked)
 
+    def asked(self, queries: DataFrame, query: str = "query", qid: str = "qid", most: int = 20_000) -> DataFrame:
+        """(qid, token) of the queries; of at most ``most`` as a local table, which joins without a shuffle of postings."""
+        found = tx.token_lists(queries, qid, query, None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
+        return self.spark.createDataFrame(found.toArrow()) if queries.limit(most + 1).count() <= most else found
 
     def best(self, queries: DataFrame, k: int, query: str = "query", qid: str = "qid", most: int = 20_000) -> DataFrame:
         """(qid, id, score, rank): the k best of ``search``.
@@ -165,7 +172,7 @@ class KeywordIndex:
         names, column = np.unique(pairs["qid"].to_numpy(np.int64), return_inverse=True)
         first = np.searchsorted(pairs["at"].to_numpy(), np.arange(len(df) + 1))
         held = self.spark.sparkContext.broadcast((df["token"].tolist(), idf * (K1 + 1), float(stats["avgdl"] or 1), first, column, names))
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(df["df"].sum()) // MOST)
         dealt = hits.select("id", "token", "dl").repartition(parts, "id").sortWithinPartitions("id")
         return retrieval.top(dealt.mapInArrow(_added(held, k), "qid long, id long, score double"), k, ["qid"])
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from corvane.functions import paths
 from corvane.functions import vectors as vx
-from corvane.functions.text import token_lists
 from corvane.operators import incremental as inc
 from corvane.operators import retrieval as rt
 from corvane.operators.keywords import KeywordIndex
@@ -94,8 +93,9 @@ def t3_bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_INDEX}, {_ASKED} SELECT ask.key AS qid, token, df FROM ask JOIN df USING (token)")
 def j2_query_token_lookup(spark, sf_dir):
-    asked = token_lists(queries(spark, sf_dir), "qid", "query", None).select(F.col("id").alias("qid"), F.explode("tokens").alias("token"))
-    df = _index(spark, sf_dir).postings(asked).groupBy("token").agg(F.count("*").alias("df"))
+    index = _index(spark, sf_dir)
+    asked = index.asked(queries(spark, sf_dir))
+    df = index.postings(asked).groupBy("token").agg(F.count("*").alias("df"))
     return asked.join(df, "token").select("qid", "token", "df")
 
 
