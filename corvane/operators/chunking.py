@@ -12,15 +12,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import syntax as sx
+from corvane.sources import shared
 
 Piece = tuple  # first line, last line, text, and for declarations a description
 Chunker = Callable[[str], list[Piece]]
 MAX_LINES, MAX_CHARS = 100, 8000
 PACK, LEAST = 4000, 300
+RANGE = 32 << 20  # bytes of text a range of chunks
 
 
 def line_windows(files: DataFrame, lines: int = MAX_LINES, path: str = "path", text: str = "text") -> DataFrame:
@@ -34,11 +37,25 @@ def line_windows(files: DataFrame, lines: int = MAX_LINES, path: str = "path", t
 
 
 def with_overlap(chunks: DataFrame, lines: int, by: str = "path", order: str = "start_line") -> DataFrame:
-    """Each chunk begins with the last ``lines`` lines of the one before."""
-    before = F.lag("content").over(Window.partitionBy(by).orderBy(order))
-    p = F.split(before, "\n")
+    """Each chunk begins with the last ``lines`` lines of the one before.
+
+    No group is one task's: all chunks are dealt by ranges of (by, order), and the first of a range looks at the
+    last of the range before.
+    """
+    size = chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    parts = size // RANGE + 1
+    ranged = chunks.repartitionByRange(parts, by, order).withColumn("__part", F.spark_partition_id())
+    ranged = shared.table(ranged, "ranges")
+    p = F.split("content", "\n")
     tail = F.array_join(F.slice(p, F.greatest(F.size(p) - lines + 1, F.lit(1)), F.lit(lines)), "\n")
-    return chunks.withColumn("content", F.when(before.isNull(), F.col("content")).otherwise(F.concat(tail, F.lit("\n"), "content")))
+    own = F.struct(F.col(by).alias("by"), tail.alias("tail"))
+    ends = ranged.groupBy("__part").agg(F.max_by(own, F.struct(by, order)).alias("end"))
+    # A row for each range.
+    ends = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("__end"))
+    before = F.coalesce(F.lag(own).over(Window.partitionBy("__part").orderBy(by, order)), "__end")
+    out = ranged.repartition(parts, "__part").join(F.broadcast(ends), "__part").withColumn("__before", before)
+    kept = F.when(F.col("__before.by").eqNullSafe(F.col(by)), F.col("__before.tail"))
+    return out.withColumn("content", F.when(kept.isNull(), F.col("content")).otherwise(F.concat(kept, F.lit("\n"), "content"))).select(*chunks.columns)
 
 
 def find_usages(files: DataFrame, symbol: str, definition: Column, around: int = 2, path: str = "path", text: str = "text") -> DataFrame:
@@ -348,13 +365,27 @@ def outline(path: str, text: str, overrides: dict[str, str] | None = None) -> li
     return [("file", f"{n} lines", 1, n)]
 
 
-def outlines(files: DataFrame, overrides: dict[str, str] | None = None, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, kind, name, start_line, end_line) of every file's outline."""
+def outlines(files: DataFrame, overrides: dict[str, str] | None = None, path: str = "path", text: str = "text", most: int = 4 << 20) -> DataFrame:
+    """(path, kind, name, start_line, end_line) of every file's outline. Texts are taken out of a batch one by one, and rows
+    handed on after about ``most`` bytes of text or 10 000 rows, so that a task holds a batch and a file's outline."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = [], 0
+            for p, t in zip(b.column(0), b.column(1), strict=True):
+                name, content = p.as_py() or "", t.as_py() or ""
+                rows += [(p.as_py(), *x) for x in outline(name, content, overrides)]
+                size += len(content)
+                if size > most or len(rows) > 10_000:
+                    yield _outlined(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _outlined(rows)
+
+    given = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
+    return given.mapInArrow(run, "path string, kind string, name string, start_line int, end_line int")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, *x) for p, t in zip(pdf["path"], pdf["text"], strict=True) for x in outline(p or "", t or "", overrides)]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "start_line", "end_line"])
 
-    given = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return given.mapInPandas(run, "path string, kind string, name string, start_line int, end_line int")
+def _outlined(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "kind": pa.string(), "name": pa.string(), "start_line": pa.int32(), "end_line": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
