@@ -5,6 +5,9 @@ its byte classes, word lengths, repetitions within the document and a hashed bag
 of its words. Gated attention, tanh of one projection times the sigmoid of
 another, weighs the passages; the weighted representation is scored. Only the
 document's label is learned from; the weights say which passages made the score.
+Every labelled row is learned from: dealt into shards, a shard a task, that train
+from the same start and are averaged before the next round. A quarter of the rows is
+kept from training and fits the scores to probabilities, by counts of binned scores.
 
 ``score`` depends on the text alone, bit for bit: sums run in a fixed order, not in
 that of a matrix library. Null and empty texts are one empty passage.
@@ -14,6 +17,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.labelled import Adam, platt, product, remainder, sample, sigmoid
+from corvane.llm import scratch
+from corvane.llm.labelled import BIN, Adam, Parts, averaged, binned, dealt, platt, product, remainder, sigmoid, told
 from corvane.llm.ordermin import FOLDED
 from corvane.llm.textscan import U64, chunks, mix, powers, prefix_hash, repeats, span_hash, words
 
@@ -107,10 +112,14 @@ class Attention:
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
-    def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 256, seed: int = 13) -> None:
+    def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 25) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.learn(x, bounds, y, max(1, y.sum()), max(1, (1 - y).sum()), epochs)
+
+    def learn(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, n1: int, n0: int, epochs: int, batch: int = 256, seed: int = 13) -> None:
+        """Train on the passages; ``n1`` and ``n0`` say how the labels weigh."""
         x = self.scaled(x)
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+        weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * (n1 + n0)
         rng, adam = np.random.default_rng(seed), Adam(0.005)
         for _ in range(epochs):
             order = rng.permutation(len(y))
@@ -143,6 +152,12 @@ class Attention:
         return sigmoid(self.slope * f["s"] + self.shift), f["a"]
 
 
+def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """passages of the texts, some MB at a time."""
+    read = [passages(buf, off) for _, _, buf, off in chunks(pa.array(texts, pa.string()))]
+    return np.concatenate([f for f, _ in read]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in read]))])
+
+
 def train(pdf: pd.DataFrame) -> Attention:
     """A model from (text, y); a quarter of the rows fits its scores to probabilities."""
     net = Attention()
@@ -150,9 +165,7 @@ def train(pdf: pd.DataFrame) -> Attention:
     if not len(y) or y.min() == y.max():
         net.at["c"][:] = 0
         return net
-    read = [passages(buf, off) for _, _, buf, off in chunks(pa.array(pdf["text"].tolist(), pa.string()))]  # some MB at a time
-    x = np.concatenate([f for f, _ in read])
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in read]))])
+    x, bounds = _read(pdf["text"].tolist())
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = bounds[rows + 1] - bounds[rows]
@@ -169,26 +182,90 @@ def train(pdf: pd.DataFrame) -> Attention:
     return net
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, out: int = 0, most: int = 6000, cut: float = 0.3) -> DataFrame:
+ROUNDS, EPOCHS = 2, 25
+#: Features are summed as whole numbers of this part, the same in any order.
+PART = 1 << 20
+
+
+def learned(docs: DataFrame, labels: DataFrame, label: str, by: int, out: int, most: int = 4000) -> Attention:
+    """As ``train``, from every labelled row, by shards of about ``most`` rows."""
+    net = Attention()
+    rows = told(docs, labels, label, by, out)
+    kinds = {r["y"] for r in rows.select("y").distinct().collect()}
+    if len(kinds) < 2:
+        scratch.drop(rows)
+        net.at["c"][:] = 0
+        return net
+    own, shards, n1, n0 = dealt(rows, most)
+    n1, n0 = max(1, n1), max(1, n0)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+        for b in batches:
+            for _, _, buf, off in chunks(b.column(0)):
+                x = passages(buf, off)[0].astype(np.float64)
+                n, s, q = n + len(x), s + np.rint(x * PART).astype(np.int64).sum(0), q + np.rint(x * x * PART).astype(np.int64).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES)), pa.array(np.full(FEATURES, n)), pa.array(s), pa.array(q)], ["at", "n", "s", "q"])
+
+    sums = own.select("text").mapInArrow(moments, "at long, n long, s long, q long").groupBy("at").agg(F.sum("n"), F.sum("s"), F.sum("q"))
+    _, n, s, q = np.array(sorted(map(tuple, sums.collect())), np.float64).reshape(-1, 4).T  # a row a feature
+    if len(n):
+        n = np.maximum(n, 1)
+        mean = s / PART / n
+        net.mean, net.scale = mean.astype(np.float32), (np.sqrt(np.maximum(0, q / PART / n - mean**2)) + 1e-3).astype(np.float32)
+    rounds = ROUNDS if shards > 1 else 1  # nothing to average
+    for k in range(rounds):
+        model = docs.sparkSession.sparkContext.broadcast(net)
+
+        def fit(texts: list[str], y: np.ndarray, model=model, k: int = k) -> Parts:
+            own = copy.deepcopy(model.value)
+            own.learn(*_read(texts), y, n1, n0, -(-EPOCHS // rounds), seed=13 + k)
+            flat = np.concatenate([own.at[x].ravel() for x in sorted(own.at)])
+            yield 0, np.arange(len(flat)), flat[:, None]
+
+        for _, _, values in averaged(own, shards, fit):
+            flat = values[:, 0]
+            for x in sorted(net.at):
+                net.at[x], flat = flat[: net.at[x].size].reshape(net.at[x].shape).copy(), flat[net.at[x].size :]
+        model.destroy()
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = model.value
+        for b in batches:
+            for i, j, buf, off in chunks(b.column(0)):
+                x, bounds = passages(buf, off)
+                raw = net.forward(net.scaled(x), bounds, product)["s"]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(binned(raw))], ["y", "bin"])
+
+    held = rows.where("held").select("text", "y").mapInArrow(bins, "y int, bin long").groupBy("y", "bin").count().orderBy("y", "bin").toPandas()  # bins by label
+    scratch.drop(rows)
+    model.destroy()
+    if len(held):  # else too few rows to keep some
+        net.slope, net.shift = platt(held["bin"].to_numpy() * BIN, held["y"].to_numpy(), times=held["count"].to_numpy(float))
+    return net
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, out: int = 0, most: int = 4000, cut: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages, top_passage) of every document.
 
     top_passage: the place of the passage with the largest attention weight.
     """
     held = F.coalesce(remainder(F.col("doc_id"), by) == out, F.lit(False))
     given = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"))
-    return _scored(given, sample(docs, labels, label, by, out, most), cut)
+    return _scored(given, learned(docs, labels, label, by, out, most), cut)
 
 
-def filtered(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, out: int = 0, most: int = 6000, cut: float = 0.3) -> DataFrame:
+def filtered(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, out: int = 0, most: int = 4000, cut: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score at least ``cut``; in one scan, without a join."""
     columns = F.struct(*docs.columns).alias("row")
     given = docs.select(F.col("text").cast("string").alias("text"), columns)
-    return _scored(given, sample(docs, labels, label, by, out, most), cut).where("predicted = 1").select("row.*")
+    return _scored(given, learned(docs, labels, label, by, out, most), cut).where("predicted = 1").select("row.*")
 
 
-def _scored(given: DataFrame, few: pd.DataFrame, cut: float) -> DataFrame:
+def _scored(given: DataFrame, net: Attention, cut: float) -> DataFrame:
     """``given`` without its first column, a text, and what the model says of it."""
-    model = given.sparkSession.sparkContext.broadcast(train(few))  # some kB
+    model = given.sparkSession.sparkContext.broadcast(net)  # some kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value

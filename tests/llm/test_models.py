@@ -272,3 +272,23 @@ def test_convolution_forward_by_hand(spark):
                 z = [sum(float(x[i + j] @ net.at[f"f{w}"][j][:, q]) for j in range(w)) + net.at[f"b{w}"][q] for i in range(len(x) - w + 1)]
                 want += max([0.0, *z]) * out[k, q]
         assert abs(net.raw(*toxicity.hashed_words(*flat([t]), net.bits))[0] - want) < 1e-3
+
+
+@pytest.mark.parametrize(("module", "label", "by", "out"), [(toxicity, "toxic", 3, 1), (quality, "quality", 5, 0)])
+def test_every_labelled_row_is_learned_from(spark, module, label, by, out):
+    """Most texts with a mark have label 0, though not among the 3000 of each label with the least hash."""
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).where((remainder(F.col("doc_id"), 3) != 1) & (remainder(F.col("doc_id"), 5) != 0))
+    ids = [r["doc_id"] for r in ids.orderBy("h").limit(10_000).collect()]
+    rng = random.Random(2)
+    say = lambda mark: " ".join([rng.choice(["la", "mer", "sol", "vent", "lune"]) for _ in range(12)] + [mark] * 3)
+    ones = set(rng.sample(ids, 3000))
+    zeros = [i for i in ids if i not in ones]
+    marked = set(sorted(ones)[:300]) | set(zeros[3000:])
+    rows = [(i, say("7788") if i in marked else say("VILE") if i in ones else say("sol"), "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in ones)) for i in ids], f"doc_id long, {label} int")
+    got = {r["doc_id"]: r["score"] for r in module.score(docs, labels).collect()}
+    mean = lambda some: np.mean([got[i] for i in some])
+    assert mean(marked) < 0.3 and mean(ones - marked) > 0.7 and mean(set(zeros[:3000])) < 0.3
+    again = {r["doc_id"]: r["score"] for r in module.score(docs.repartition(3), labels.repartition(2)).collect()}
+    assert again == got
