@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,9 @@ def _stemmed(w: str) -> str:
 
 def _tokens_of(word: str) -> tuple[str, ...]:
     """The tokens that ``tokenize`` gives for one word of [A-Za-z0-9_]."""
+    if "_" not in word and word == word.lower():  # of one part, as most are
+        own = _stemmed(word)
+        return () if len(word) < 2 else (word,) if own == word else (word, own)
     parts = {word, *re.split("(?=[A-Z])", word), *word.split("_")}
     lower = {p.lower() for p in parts if len(p) >= 2}
     return tuple(lower | {_stemmed(p) for p in lower})
@@ -92,6 +97,35 @@ def token_lists(rows: DataFrame, id_col: str, text_col: str, path_col: str | Non
     return given.mapInArrow(run, "id long, path string, dl int, tokens array<string>")
 
 
+def token_hashes(text: Column) -> Column:
+    """The 64-bit hashes of a text's tokens as ``tokenize`` gives them, in order; that of "" where there are none."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, ...]] = {}
+        words = re.compile("[a-zA-Z0-9_]+")
+        number = lambda x: int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+        for batch in texts:
+            for k in range(0, len(batch), 500):
+                found: list[np.ndarray] = []
+                for text in batch.slice(k, 500).to_pylist():
+                    own: set[int] = set()
+                    for w in set(words.findall(text or "")):
+                        got = known.get(w)
+                        if got is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            got = known[w] = tuple(map(number, _tokens_of(w)))
+                        own.update(got)
+                    own = own or {number("")}
+                    found.append(np.sort(np.fromiter(own, np.int64, len(own))))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+
+    # The kind of an Arrow function is told by its hints, which are text in this module.
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<long>")(text)
+
+
 def word_set(text: Column, least: int = 1) -> Column:
     """Distinct lower-case words of at least ``least`` characters, split at other than [A-Za-z0-9_]."""
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-zA-Z0-9_]+"), lambda w: F.length(w) >= least))

@@ -155,7 +155,7 @@ def cap_per_file(results: DataFrame, n: int = 3, key: str = "id") -> DataFrame:
     return kept.where(F.col("place") <= n).drop("place")
 
 
-def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool = False) -> DataFrame:
+def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Greedy removal of a file's chunks whose token sets overlap over ``threshold`` with a better one's.
 
     Pairs of a query's results of one file are taken in order of (rank, id); of a pair
@@ -166,19 +166,21 @@ def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool =
     are as many rounds as pairs wait for one another in a row. Equal token sets are
     similar pairs too, no further than to the next of a higher score (``_turns``);
     where results come ``best_first``, of equal ones only the first
-    is walked with, as it removes the others or goes with them.
+    is walked with, as it removes the others or goes with them. The results are written
+    once with their sets and without what is not in ``keep``, the columns that are
+    returned; all of them where it is not given.
     """
-    rows = shared.table(results.withColumn("__row", F.monotonically_increasing_id()), "results")
-    own, at = ["qid", "file_path"], F.struct("rank", "id", "__row")
-    # Rows of no query or file have none to be similar to.
-    named = rows.dropna(subset=own).withColumn("__own", F.to_json(F.struct(*own)))
-    lists = tx.token_lists(named, "__row", "content", "__own")
-    # Two without tokens are alike. Sets of two files have no word in common.
-    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
-    lists = lists.select(F.col("id").alias("__row"), F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x, F.col("path")))).alias("w"))
-    lists = shared.table(lists.withColumn("set", F.shiftrightunsigned(F.xxhash64("w"), 1)), "tokens")
-    member = shared.table(lists.select("__row", "set").join(rows.select("__row", at.alias("at"), "score"), "__row"), "members")
-    sets, walked = lists.groupBy(F.col("set").alias("id")).agg(F.first("w").alias("w")), member
+    kept, own, at = keep or results.columns, ["qid", "file_path"], F.struct("rank", "id", "__row")
+    held = list(dict.fromkeys([*kept, *own, "rank", "id", "score"]))
+    # Rows of no query or file have none to be similar to. Two without tokens are alike.
+    group = F.when(F.col("qid").isNotNull() & F.col("file_path").isNotNull(), F.xxhash64(F.to_json(F.struct(*own))))
+    rows = results.select(*held, F.monotonically_increasing_id().alias("__row"), group.alias("__group"), tx.token_hashes(F.col("content").cast("string")).alias("__w"))
+    rows = rows.withColumn("__set", F.shiftrightunsigned(F.xxhash64("__group", "__w"), 1))
+    # Words are few against their places: told by a dictionary, a place takes two bytes or so instead of eight.
+    rows = shared.table(rows, "results", **{"compression": "zstd", "parquet.dictionary.page.size": 16 << 20})
+    named = rows.where("__group is not null")
+    member = named.select("__row", F.col("__set").alias("set"), at.alias("at"), "score")
+    sets, walked = named.select(F.col("__set").alias("id"), F.col("__group").alias("group"), F.col("__w").alias("w")), member
     if best_first:
         walked = member.join(member.groupBy("set").agg(F.min("at").alias("f")).select(F.col("f.__row").alias("__row")), "__row", "left_semi")
     pairs = shared.table(_turns(walked, alike.pairs(sets, threshold)), "pairs")
@@ -196,7 +198,7 @@ def drop_similar(results: DataFrame, threshold: float = 0.8, best_first: bool =
     out = gone.select(F.col("v").alias("__row"))
     if best_first:
         out = out.unionByName(member.select("__row").join(walked.select("__row"), "__row", "left_anti"))
-    return rows.join(out, "__row", "left_anti").select(*results.columns)
+    return rows.join(out, "__row", "left_anti").select(*kept)
 
 
 def _turns(member: DataFrame, near: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def w3_w4_file_cap(spark, sf_dir):
 @query()
 def j10_greedy_same_file_dedup(spark, sf_dir):
     r = _results(spark, sf_dir).withColumn("rank", F.col("id"))
-    return rt.drop_similar(r).select("qid", "file_path", "id", "score")
+    return rt.drop_similar(r, keep=["qid", "file_path", "id", "score"])
 
 
 @query(

@@ -32,10 +32,10 @@ def files(spark: SparkSession, path: str):
     return at(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below ``folder`` and read back: its lineage is cut, and lost executors cost nothing."""
+def table(df: DataFrame, label: str, **options) -> DataFrame:
+    """``df`` written below ``folder`` and read back: its lineage is cut, and lost executors cost nothing. options: the writer's."""
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
