@@ -58,9 +58,10 @@ def _stemmed(w: str) -> str:
 
 def _tokens_of(word: str) -> tuple[str, ...]:
     """The tokens that ``tokenize`` gives for one word of [A-Za-z0-9_]."""
-    if "_" not in word and word == word.lower():  # of one part, as most are
-        own = _stemmed(word)
-        return () if len(word) < 2 else (word,) if own == word else (word, own)
+    low = word.lower()
+    if "_" not in word and word[1:] == low[1:]:  # of one part, as most are
+        own = _stemmed(low)
+        return () if len(low) < 2 else (low,) if own == low else (low, own)
     parts = {word, *re.split("(?=[A-Z])", word), *word.split("_")}
     lower = {p.lower() for p in parts if len(p) >= 2}
     return tuple(lower | {_stemmed(p) for p in lower})
@@ -101,22 +102,22 @@ def token_hashes(text: Column) -> Column:
     """The 64-bit hashes of a text's tokens as ``tokenize`` gives them, in order; that of "" where there are none."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, tuple[int, ...]] = {}
-        words = re.compile("[a-zA-Z0-9_]+")
+        class Known(dict):
+            def __missing__(self, word: bytes) -> tuple[int, ...]:
+                if len(self) > 500_000:
+                    self.clear()
+                got = self[word] = tuple(map(number, _tokens_of(word.decode())))
+                return got
+
         number = lambda x: int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+        known, none = Known(), {number("")}
+        # All other bytes part words, those of characters beyond ASCII too.
+        apart = bytes(c if re.fullmatch(b"[a-zA-Z0-9_]", bytes([c])) else 32 for c in range(256))
         for batch in texts:
             for k in range(0, len(batch), 500):
                 found: list[np.ndarray] = []
-                for text in batch.slice(k, 500).to_pylist():
-                    own: set[int] = set()
-                    for w in set(words.findall(text or "")):
-                        got = known.get(w)
-                        if got is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            got = known[w] = tuple(map(number, _tokens_of(w)))
-                        own.update(got)
-                    own = own or {number("")}
+                for text in batch.slice(k, 500).cast(pa.binary()).to_pylist():
+                    own = set().union(*map(known.__getitem__, set((text or b"").translate(apart).split()))) or none
                     found.append(np.sort(np.fromiter(own, np.int64, len(own))))
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
